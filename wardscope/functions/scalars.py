@@ -101,25 +101,17 @@ def short_district(name: Column) -> Column:
 
 def source_text(column: Column) -> Column:
     """14-digit source stamp from text that may have been written as a float."""
-    value = F.trim(column.cast("string")).try_cast("decimal(24,4)")
-    whole = F.when(value == F.floor(value), value.cast("bigint")).cast("string")
-    return F.when(F.length(whole) <= 14, F.lpad(whole, 14, "0"))
+    plain = F.trim(column.cast("string")).try_cast("decimal(24,4)").cast("string")
+    digits = F.nullif(F.regexp_extract(plain, r"^(\d{1,14})\.0000$", 1), F.lit(""))
+    return F.lpad(digits, 14, "0")
 
 
 def source_time(column: Column, zone: str = V.SOURCE_ZONE) -> Column:
     """Instant of a local 14-digit stamp; impossible dates give NULL.
 
-    Built from its parts with an explicit zone, so the session zone has no say.
+    The zone is part of the parsed text, so the session zone has no say.
     """
-    text = source_text(column)
-
-    def part(start: int, width: int) -> Column:
-        return F.substring(text, start, width).try_cast("int")
-
-    return F.try_make_timestamp(
-        part(1, 4), part(5, 2), part(7, 2), part(9, 2), part(11, 2),
-        F.substring(text, 13, 2).try_cast("decimal(16,6)"), F.lit(zone),
-    )
+    return F.try_to_timestamp(F.concat(source_text(column), F.lit(zone)), F.lit("yyyyMMddHHmmssVV"))
 
 
 def instant(column: Column) -> Column:
