@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 BUCKETS = 64
 BUILTIN_LIMIT = 1_000_000
+WINDOW_LIMIT = 100_000
 
 
 def _bucket(value: Column, edges: list[float]) -> Column:
@@ -102,26 +103,34 @@ def _ranks(n: int, p: float) -> tuple[int, int]:
     return low, min(low + 1, n - 1) if position > low else low
 
 
-def global_rank(df: DataFrame, column: str, name: str = "rank", descending: bool = True) -> DataFrame:
-    """1 + number of rows strictly ahead; equal values share a rank, NULL gets NULL."""
+def global_rank(df: DataFrame, column: str, name: str = "rank", descending: bool = True, rows: int | None = None) -> DataFrame:
+    """1 + number of rows strictly ahead; equal values share a rank, NULL gets NULL.
+
+    ``rows`` is the row count if the caller already has it.  Up to
+    ``WINDOW_LIMIT`` rows one ordered window does it; beyond that the rank is
+    looked up in ``running_counts``.
+    """
+    rows = df.count() if rows is None else rows
+    if rows <= WINDOW_LIMIT:
+        key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+        return df.withColumn(name, F.when(F.col(column).isNotNull(), F.rank().over(Window.orderBy(key)).cast("bigint")))
     table = running_counts(df, column)
     if descending:
-        total = df.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("_total"))
-        position = table.join(F.broadcast(total)).select(
-            F.col("value").alias("_v"), (F.col("_total") - F.col("before") - F.col("n") + 1).alias(name)
-        )
+        total = df.filter(F.col(column).isNotNull()).count()
+        place = F.lit(total) - F.col("before") - F.col("n") + 1
     else:
-        position = table.select(F.col("value").alias("_v"), (F.col("before") + 1).alias(name))
+        place = F.col("before") + 1
+    position = table.select(F.col("value").alias("_v"), place.alias(name))
     keyed = df.withColumn("_v", F.col(column).cast("double"))
     return keyed.join(position, "_v", "left").select(*df.columns, name)
 
 
-def percent_rank(df: DataFrame, column: str, name: str) -> DataFrame:
-    """(rank - 1) / (rows - 1) ascending, 0 for a single row."""
-    ranked = global_rank(df, column, "_r", descending=False)
-    total = df.filter(F.col(column).isNotNull()).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.coalesce(F.try_divide((F.col("_r") - 1).cast("double"), (F.col("_n") - 1).cast("double")), F.lit(0.0))
-    return ranked.join(F.broadcast(total)).select(*df.columns, F.when(F.col("_r").isNotNull(), share).alias(name))
+def percent_rank(df: DataFrame, column: str, name: str, rows: int | None = None) -> DataFrame:
+    """(rank - 1) / (rows - 1) ascending over the present values, 0 for a single row."""
+    ranked = global_rank(df, column, "_r", descending=False, rows=rows)
+    present = df.filter(F.col(column).isNotNull()).count()
+    share = (F.col("_r") - 1) / F.lit(float(max(present - 1, 1)))
+    return ranked.select(*df.columns, share.alias(name))
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str = "rank") -> DataFrame:

@@ -92,7 +92,7 @@ def variance_inflation(df: DataFrame, columns: list[str]) -> DataFrame:
         beta = np.linalg.lstsq(cov[np.ix_(others, others)], cov[others, i], rcond=None)[0]
         explained = float(beta @ cov[others, i])
         r2 = explained / cov[i, i] if cov[i, i] > 0 else 1.0
-        rows.append((c, math.inf if r2 >= 1 else 1.0 / (1.0 - r2)))
+        rows.append((c, math.inf if r2 >= 1 else float(1.0 / (1.0 - r2))))
     return df.sparkSession.createDataFrame(rows, "variable string, vif double")
 
 
@@ -152,8 +152,9 @@ def quintile_grade(df: DataFrame, column: str, name: str = "quintile") -> DataFr
 def main_factor(risk: DataFrame, names: dict[str, str]) -> DataFrame:
     """Percentile rank of each component among complete regions; the highest one leads."""
     data = risk.filter(F.col("risk").isNotNull())
+    rows = data.count()
     for c in names:
-        data = percent_rank(data, c, f"pr_{c}")
+        data = percent_rank(data, c, f"pr_{c}", rows)
     entries = F.array(
         *[F.struct(F.col(f"pr_{c}").alias("p"), F.lit(-i).alias("turn"), F.lit(label).alias("label")) for i, (c, label) in enumerate(names.items())]
     )
