@@ -79,7 +79,7 @@ def freshness(spark: SparkSession, sf: str) -> DataFrame:
     "q57_analysis_snapshot",
     with_ctes(
         *SERVE_PARTS,
-        f"asof AS (SELECT min(collected_at) AS t FROM snapshot)",
+        "as_of_row AS (SELECT min(collected_at) AS t FROM snapshot)",
         select=f"""
 SELECT count(risk) AS source_complete, count(*) FILTER (risk IS NOT NULL AND coalesce(first_expiry > t, false)) AS source_policy_valid,
   count(*) FILTER (risk IS NOT NULL AND NOT coalesce(first_expiry > t, false)) AS source_policy_invalid,
@@ -87,7 +87,7 @@ SELECT count(risk) AS source_complete, count(*) FILTER (risk IS NOT NULL AND coa
   count(*) FILTER (risk IS NOT NULL AND NOT coalesce(first_expiry > TIMESTAMP '{FRESH_NOW}', false)) AS expired_regions,
   count(*) AS regions, CAST(floor(epoch(TIMESTAMP '{FRESH_NOW}' - any_value(t)) / 60 + 0.5) AS BIGINT) AS data_age_minutes, 'degraded' AS status,
   (SELECT count(*) FROM fac WHERE saturation IS NOT NULL AND valid_until <= TIMESTAMP '{FRESH_NOW}') AS expired_facilities
-FROM det, asof""",
+FROM det, as_of_row""",
     ),
 )
 def analysis_snapshot(spark: SparkSession, sf: str) -> DataFrame:
