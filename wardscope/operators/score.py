@@ -8,27 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
-from wardscope.functions.scalars import clip, count_present, ratio, risk_grade, risk_grade_name
-from wardscope.operators.ordering import exact_quantiles
+from wardscope.functions.scalars import count_present, ratio, risk_grade, risk_grade_name
+from wardscope.operators.ordering import BUILTIN_LIMIT, exact_quantiles
 
 
 def percentile_score(
-    df: DataFrame, column: str, name: str, higher_is_risk: bool = True, shares: tuple[float, float] = (0.05, 0.95)
+    df: DataFrame, column: str, name: str, higher_is_risk: bool = True, shares: tuple[float, float] = (0.05, 0.95),
+    rows: int | None = None,
 ) -> DataFrame:
     """Scale ``column`` to 0..100 between its low and high quantile.
 
     No value at all gives NULL everywhere; equal quantiles give 50 to every
-    row, NULL ones included.  The two quantiles enter the plan as constants,
-    so the scoring itself is a projection and needs neither join nor shuffle.
+    row, NULL ones included.  With a known small row count the quantiles are a
+    scalar subquery of the same plan; otherwise they are worked out first by
+    ``exact_quantiles`` and enter the plan as constants.  Either way the
+    scoring itself is a projection without join or shuffle.
     """
-    low, high = exact_quantiles(df, column, list(shares))
-    if low is None:
-        score = F.lit(None).cast("double")
-    elif high <= low:
-        score = F.lit(50.0)
+    value = F.col(column).cast("double")
+    if rows is not None and rows <= BUILTIN_LIMIT:
+        bounds = df.agg(F.percentile(value, list(shares)).alias("q")).scalar()
+        low, high = F.get(F.col("_q"), 0), F.get(F.col("_q"), 1)
+        source = df.withColumn("_q", bounds)
     else:
-        score = (clip(F.col(column).cast("double"), low, high) - F.lit(low)) / F.lit(high - low) * 100
-    return df.withColumn(name, score if higher_is_risk or low is None else F.lit(100.0) - score)
+        low, high = (F.lit(v).cast("double") for v in exact_quantiles(df, column, list(shares)))
+        source = df
+    scaled = (F.when(value.isNotNull(), F.least(F.greatest(value, low), high)) - low) / F.nullif(high - low, F.lit(0.0)) * 100
+    score = F.when(low.isNull(), None).when(high <= low, 50.0).otherwise(scaled)
+    return source.select(*df.columns, (score if higher_is_risk else F.lit(100.0) - score).alias(name))
 
 
 def group_totals(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
@@ -36,22 +42,22 @@ def group_totals(df: DataFrame, keys: list[str], values: dict[str, str]) -> Data
     return df.groupBy(*keys).agg(*[F.sum(F.col(c).cast("double")).alias(n) for n, c in values.items()])
 
 
-def ratio_component(df: DataFrame, numerator: str, denominator: str, ratio_name: str, score_name: str) -> DataFrame:
+def ratio_component(df: DataFrame, numerator: str, denominator: str, ratio_name: str, score_name: str, rows: int | None = None) -> DataFrame:
     """Ratio of two totals (NULL for a zero divisor) and its percentile score."""
     with_ratio = df.withColumn(ratio_name, ratio(F.col(numerator), F.col(denominator)))
-    return percentile_score(with_ratio, ratio_name, score_name)
+    return percentile_score(with_ratio, ratio_name, score_name, rows=rows)
 
 
-def population_component(population: DataFrame, totals: DataFrame) -> DataFrame:
+def population_component(population: DataFrame, totals: DataFrame, rows: int | None = None) -> DataFrame:
     """Residents per bed; ``population`` (region_key, population), ``totals`` (region_key, total_beds)."""
     joined = population.join(totals, "region_key", "left")
-    return ratio_component(joined, "population", "total_beds", "residents_per_bed", "s_pop")
+    return ratio_component(joined, "population", "total_beds", "residents_per_bed", "s_pop", rows)
 
 
-def staff_component(staff: DataFrame, totals: DataFrame) -> DataFrame:
+def staff_component(staff: DataFrame, totals: DataFrame, rows: int | None = None) -> DataFrame:
     """Beds per specialist; a confirmed zero staff count scores exactly 100, beds known or not."""
     joined = staff.join(totals, "region_key", "left").withColumn("no_staff", F.col("specialists") == 0)
-    scored = ratio_component(joined, "total_beds", "specialists", "beds_per_specialist", "s_staff")
+    scored = ratio_component(joined, "total_beds", "specialists", "beds_per_specialist", "s_staff", rows)
     return scored.withColumn(
         "s_staff", F.when(F.coalesce("no_staff", F.lit(False)), F.lit(100.0)).otherwise(F.col("s_staff"))
     )
@@ -68,10 +74,9 @@ def load_component(facilities: DataFrame) -> DataFrame:
 
 def without_placeholder(df: DataFrame, column: str, placeholder: float = 50.0) -> DataFrame:
     """A column whose only distinct value is the placeholder counts as missing."""
-    facts = df.agg(F.min(column).alias("lo"), F.max(column).alias("hi")).first()
-    if facts["lo"] is not None and facts["lo"] == facts["hi"] == placeholder:
-        return df.withColumn(column, F.lit(None).cast("double"))
-    return df
+    only = df.agg(((F.min(column) == placeholder) & (F.max(column) == placeholder)).alias("only")).scalar()
+    kept = F.when(~F.coalesce(only, F.lit(False)), F.col(column))
+    return df.select(*[kept.alias(c) if c == column else F.col(c) for c in df.columns])
 
 
 def weighted_total(weights: dict[str, float]) -> Column:

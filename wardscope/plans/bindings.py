@@ -168,13 +168,14 @@ def region_facts(spark: SparkSession, sf: str) -> DataFrame:
 def components(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     """The four component tables, computed from region-level rows only."""
     facts = region_facts(spark, sf)
+    n = facts.count()
     totals = facts.filter("total_beds is not null").select("region_key", "total_beds")
     served = facts.filter("has_orders")
     return {
         "load": facts.filter("district is not null").select("region_key", "district", "s_load", "n_reporting"),
-        "access": percentile_score(served.select("region_key", "road_km"), "road_km", "s_access"),
-        "population": population_component(served.select("region_key", "population"), totals),
-        "staff": staff_component(facts.select("region_key", "specialists"), totals),
+        "access": percentile_score(served.select("region_key", "road_km"), "road_km", "s_access", rows=n),
+        "population": population_component(served.select("region_key", "population"), totals, rows=n),
+        "staff": staff_component(facts.select("region_key", "specialists"), totals, rows=n),
     }
 
 
