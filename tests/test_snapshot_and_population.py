@@ -48,7 +48,7 @@ def test_omitted_row_keeps_its_last_value(spark):
     master = [("A", "S", "J"), ("B", "S", "J")]
     snapshot, audit = build(
         spark, master, [("A", 1.0, 2.0, "20260904085500", 1)],
-        [("B", 1.0, 4.0, "20260904080000", OLD, 1), ("B", 2.0, 4.0, "20260904081000", OLD, 2)], [],
+        [("B", 1.0, 4.0, "20260904080000", OLD, 1), ("B", 2.0, 4.0, "20260904080300", OLD, 2)], [],
     )
     assert rows(snapshot.filter("entity_id = 'B'"), "available", "saturation") == [(2.0, 50.0)]
     assert audit["omitted_retained"] == 1
