@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, TimestampNTZType, TimestampType
 
 from wardscope.functions import fixed_values as V
 
@@ -16,6 +17,18 @@ def number(column: Column | str) -> Column:
     return F.when(F.isnan(value) | F.abs(value).isin(float("inf")), None).otherwise(value)
 
 
+def number_of(df: DataFrame, name: str) -> Column:
+    """``number`` for a text column, the column itself if it is numeric already."""
+    kind = df.schema[name].dataType
+    return F.col(name).cast("double") if isinstance(kind, NumericType) else number(name)
+
+
+def instant_of(df: DataFrame, name: str) -> Column:
+    """``instant`` for a text column, the column itself if it is a timestamp already."""
+    kind = df.schema[name].dataType
+    return F.col(name).cast("timestamp") if isinstance(kind, (TimestampType, TimestampNTZType)) else instant(F.col(name))
+
+
 def clip(value: Column, low, high) -> Column:
     """Clamp that keeps NULL; plain greatest/least would turn NULL into a bound."""
     bounded = F.least(F.greatest(value, F.lit(low)), F.lit(high))

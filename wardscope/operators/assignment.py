@@ -88,18 +88,32 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["entity_id", "catalog_id", "score"])
 
 
+def _spread(edges: DataFrame) -> DataFrame:
+    """One exchange of labels: candidates take the smallest of their targets, targets of their candidates."""
+    by_candidate = edges.groupBy("catalog_id").agg(F.min("component").alias("_c"))
+    seen = edges.join(by_candidate, "catalog_id")
+    by_target = seen.groupBy("entity_id").agg(F.min("_c").alias("_t"))
+    return seen.join(by_target, "entity_id").select("entity_id", "catalog_id", "score", F.col("_t").alias("component"))
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected component of every edge by spreading the smallest target id.
 
-    Each round is two combinable aggregates over the edge list; lineage is cut
-    by a reliable checkpoint so that a lost executor costs one round.
+    A round makes two exchanges, each of them combinable aggregates over the
+    edge list, and then writes the labels, so a lost executor costs one round
+    at most.  The labels are final when the second exchange changed nothing.
     """
-    current = cut_lineage(edges.withColumn("component", F.col("entity_id")))
+    current = edges.withColumn("component", F.col("entity_id"))
     for _ in range(max_rounds):
-        by_candidate = current.groupBy("catalog_id").agg(F.min("component").alias("_c"))
-        seen = current.join(by_candidate, "catalog_id")
-        by_target = seen.groupBy("entity_id").agg(F.min("_c").alias("_t"))
-        moved = cut_lineage(seen.join(by_target, "entity_id").select("entity_id", "catalog_id", "score", F.col("_t").alias("component"), (F.col("_t") != F.col("component")).alias("_moved")))
+        once = _spread(current).withColumn("_was", F.col("component"))
+        seen = once.groupBy("catalog_id").agg(F.min("component").alias("_c"))
+        joined = once.join(seen, "catalog_id")
+        best = joined.groupBy("entity_id").agg(F.min("_c").alias("_t"))
+        moved = cut_lineage(
+            joined.join(best, "entity_id").select(
+                "entity_id", "catalog_id", "score", F.col("_t").alias("component"), (F.col("_t") != F.col("_was")).alias("_moved")
+            )
+        )
         current = moved.drop("_moved")
         if moved.filter("_moved").isEmpty():
             return current

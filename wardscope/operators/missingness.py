@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
-from wardscope.functions.scalars import instant, missing_names, non_empty, number, region_key, source_time, text_map
+from wardscope.functions.scalars import instant_of, missing_names, non_empty, number_of, region_key, source_time, text_map
 from wardscope.operators.snapshot import source_fresh
 
 REPORT_COLUMNS = [
@@ -15,10 +15,10 @@ REPORT_COLUMNS = [
 ]
 
 
-def bed_reason() -> Column:
+def bed_reason(snapshot: DataFrame) -> Column:
     """First applicable reason code; staleness is judged before the numbers are looked at."""
-    a, t, s = number("available"), number("total"), number("saturation")
-    fresh = source_fresh(source_time(F.col("source_ts")), instant(F.col("collected_ts")))
+    a, t, s = (number_of(snapshot, c) for c in ("available", "total", "saturation"))
+    fresh = source_fresh(source_time(F.col("source_ts")), instant_of(snapshot, "collected_ts"))
     return (
         F.when(~non_empty(F.col("source_ts")), "BED_API_NO_RESPONSE")
         .when(~fresh, "BED_SOURCE_STALE")
@@ -31,7 +31,7 @@ def bed_reason() -> Column:
 
 def bed_issues(snapshot: DataFrame) -> DataFrame:
     keyed = snapshot.withColumn("region_key", region_key(F.col("province"), F.col("district"))).withColumn(
-        "reason_code", bed_reason()
+        "reason_code", bed_reason(snapshot)
     )
     return keyed.filter("reason_code is not null").select(
         F.lit("hospital_bed").alias("entity_type"),
@@ -60,7 +60,7 @@ def region_issues(snapshot: DataFrame, risk: DataFrame, issues: DataFrame) -> Da
     checked = (
         snapshot.withColumn("region_key", region_key(F.col("province"), F.col("district")))
         .groupBy("region_key")
-        .agg(F.max(instant(F.col("collected_ts"))).alias("checked"))
+        .agg(F.max(instant_of(snapshot, "collected_ts")).alias("checked"))
     )
     missing = missing_names(V.COMPONENT_NAMES)
     open_rows = risk.withColumn("missing", missing).filter((F.size("missing") > 0) | F.col("risk").isNull())

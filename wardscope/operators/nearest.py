@@ -51,30 +51,31 @@ def _search_level(origins: DataFrame, facilities: DataFrame, k: int) -> DataFram
     """
     row, col = _axis_cells(F.col("dest_lat"), F.col("dest_lon"))
     fine = facilities.groupBy(row.alias("r"), col.alias("c")).agg(F.count(F.lit(1)).alias("n"))
-    # shifts are integer halvings of the finest row / column
-    levels = F.array(*[F.lit(level) for level in LEVELS])
-    spread = fine.select("n", "r", "c", F.explode(levels).alias("level"))
-    shift = F.pow(F.lit(2.0), F.lit(G.FINEST_LEVEL) - F.col("level")).cast("bigint")
-    wide = F.pow(F.lit(2.0), F.col("level")).cast("bigint")
-    occupied = spread.groupBy(
-        "level", F.floor(F.col("r") / shift).cast("bigint").alias("r"),
-        F.pmod(F.floor(F.col("c") / shift).cast("bigint"), wide).alias("c"),
-    ).agg(F.sum("n").alias("n"))
+    # a coarser row or column is an integer halving of the finest one
+    def coarse(level: int, r: Column, c: Column) -> Column:
+        half = 1 << (G.FINEST_LEVEL - level)
+        return G.pack_cell(F.lit(level), F.floor(r / half), F.floor(c / half))
+
+    up = F.array(*[F.struct(F.lit(v).alias("level"), coarse(v, F.col("r"), F.col("c")).alias("cell")) for v in LEVELS])
+    occupied = fine.select("n", F.inline(up)).groupBy("cell").agg(F.sum("n").alias("n"))
     orow, ocol = _axis_cells(F.col("origin_lat"), F.col("origin_lon"))
     homes = origins.select(orow.alias("hr"), ocol.alias("hc")).distinct()
+    levels = F.array(*[F.lit(v) for v in LEVELS])
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    around = (
-        homes.select("hr", "hc", F.explode(levels).alias("level"))
-        .select("hr", "hc", "level", F.explode(steps).alias("dr"))
-        .select("hr", "hc", "level", "dr", F.explode(steps).alias("dc"))
-        .select(
-            "hr", "hc", "level", (F.floor(F.col("hr") / shift).cast("bigint") + F.col("dr")).alias("r"),
-            F.pmod(F.floor(F.col("hc") / shift).cast("bigint") + F.col("dc"), wide).alias("c"),
+
+    def block(level: Column) -> Column:
+        half = F.pow(F.lit(2.0), F.lit(G.FINEST_LEVEL) - level)
+        r, c = F.floor(F.col("hr") / half), F.floor(F.col("hc") / half)
+        return F.transform(
+            steps,
+            lambda dr: F.transform(
+                steps, lambda dc: F.struct(level.alias("level"), G.pack_cell(level, r + dr, c + dc).alias("cell"))
+            ),
         )
-        .distinct()
-    )
+
+    around = homes.select("hr", "hc", F.inline(F.array_distinct(F.flatten(F.flatten(F.transform(levels, block))))))
     filled = (
-        around.join(occupied, ["level", "r", "c"])
+        around.join(occupied, "cell")
         .groupBy("hr", "hc", "level")
         .agg(F.sum("n").alias("n"))
         .filter((F.col("n") >= k) | (F.col("level") == 0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
 from wardscope.functions.scalars import (
-    age_minutes, hours, instant, key_province, load_status, missing_names, number, region_key, ratio,
+    age_minutes, hours, instant_of, key_province, missing_names, number_of, ratio, region_key,
     set_fingerprint, source_time,
 )
 from wardscope.operators.nearest import distance_basis
@@ -22,7 +22,7 @@ from wardscope.operators.score import top_factors
 def facility_detail(master: DataFrame, snapshot: DataFrame, routes: DataFrame | None = None, max_age_hours: float = V.SOURCE_MAX_AGE_HOURS) -> DataFrame:
     """Master row with its usable load values, their expiry and its route."""
     values = snapshot.select(
-        "entity_id", number("available").alias("_a"), number("total").alias("_t"), number("saturation").alias("_s"),
+        "entity_id", number_of(snapshot, "available").alias("_a"), number_of(snapshot, "total").alias("_t"), number_of(snapshot, "saturation").alias("_s"),
         F.col("status").alias("_status"), F.col("source_ts").cast("string").alias("source_ts"), "collected_ts",
     )
     good = F.coalesce((F.col("_a") >= 0) & (F.col("_t") > 0) & F.col("_s").isNotNull(), F.lit(False))
@@ -98,7 +98,7 @@ def next_expiry(regions: DataFrame, now: Column) -> DataFrame:
 
 
 def oldest_snapshot(snapshot: DataFrame) -> DataFrame:
-    return snapshot.agg(F.min(instant(F.col("collected_ts"))).alias("as_of"))
+    return snapshot.agg(F.min(instant_of(snapshot, "collected_ts")).alias("as_of"))
 
 
 def indicators(risk: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def health_summary(regions: DataFrame, facilities: DataFrame, as_of: Column, now
 
 def source_deadline(snapshot: DataFrame, max_age_hours: float = V.SOURCE_MAX_AGE_HOURS) -> DataFrame:
     """Earliest source expiry of usable rows and a fingerprint of the ids that share it."""
-    a, t, s = number("available"), number("total"), number("saturation")
+    a, t, s = (number_of(snapshot, c) for c in ("available", "total", "saturation"))
     at = source_time(F.col("source_ts"))
     rows = snapshot.filter((t > 0) & (a >= 0) & s.isNotNull() & at.isNotNull()).select(
         F.trim(F.col("entity_id").cast("string")).alias("entity_id"), at.alias("source_at")

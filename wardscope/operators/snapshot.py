@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
 from wardscope.functions.scalars import (
-    clip, hours, instant, load_status, minutes_between, non_empty, number, region_key, saturation,
+    clip, hours, instant_of, load_status, minutes_between, non_empty, number_of, region_key, saturation,
     source_time, usable,
 )
 from wardscope.operators.dedupe import keep_last
@@ -60,7 +60,7 @@ def source_fresh(
 
 def validity_masks(df: DataFrame, source: str, collected: str, reference: Column) -> DataFrame:
     """The two masks against a common time and against each row's own collection time."""
-    own = instant(F.col(collected))
+    own = instant_of(df, collected)
     parsed = df.withColumn("source_at", source_time(F.col(source)))
     at = F.col("source_at")
     return (
@@ -88,11 +88,11 @@ def last_known(previous: DataFrame, reference: Column, order: list[str]) -> Data
     )
     last = keep_last(rows.select("entity_id", *VALUE_COLUMNS, *[c for c in order if c not in VALUE_COLUMNS]), ["entity_id"], order)
     checked = validity_masks(
-        last.withColumn("available", number("available")).withColumn("total", number("total")),
+        last.withColumn("available", number_of(last, "available")).withColumn("total", number_of(last, "total")),
         "source_ts", "collected_ts", reference,
     )
     collected_ok = F.coalesce(
-        instant(F.col("collected_ts")) <= reference + hours(V.FUTURE_SKEW_MINUTES / 60.0), F.lit(False)
+        instant_of(checked, "collected_ts") <= reference + hours(V.FUTURE_SKEW_MINUTES / 60.0), F.lit(False)
     )
     ok = (
         usable(F.col("available"), F.col("total"))
@@ -114,7 +114,7 @@ def merge_decisions(
     new = keep_last(
         feed.withColumn("entity_id", F.trim(F.col("entity_id").cast("string"))), ["entity_id"], feed_order
     ).select(
-        "entity_id", number("available").alias("new_available"), number("total").alias("new_total"),
+        "entity_id", number_of(feed, "available").alias("new_available"), number_of(feed, "total").alias("new_total"),
         F.col("source_ts").cast("string").alias("new_source_ts"), F.lit(True).alias("in_feed"),
     )
     old = last_known(previous, reference, previous_order).select(
@@ -145,7 +145,7 @@ def merged_rows(decisions: DataFrame, reference: Column) -> DataFrame:
     chosen = (
         decisions.withColumn("has_row", F.col("in_feed") | fallback)
         .withColumn("source_ts", pick("source_ts"))
-        .withColumn("collected_ts", F.when(F.col("in_feed"), reference).when(fallback, instant(F.col("old_collected_ts"))))
+        .withColumn("collected_ts", F.when(F.col("in_feed"), reference).when(fallback, instant_of(decisions, "old_collected_ts")))
         .withColumn("source_at", source_time(F.col("source_ts")))
         .withColumn("row_valid_time", source_valid(F.col("source_at"), reference))
         .withColumn("row_fresh", source_fresh(F.col("source_at"), reference))
@@ -233,7 +233,7 @@ def trim_history(history: DataFrame, collected: str, reference: Column, retentio
         return history
     if int(retention_days) < 1:
         raise ValueError("retention_days must be a positive integer")
-    at = instant(F.col(collected))
+    at = instant_of(history, collected)
     return history.filter(at.isNull() | (at >= reference - hours(24.0 * int(retention_days))))
 
 
@@ -244,13 +244,13 @@ def reuse_violations(
     known = master.select(F.trim(F.col("entity_id").cast("string")).alias("entity_id"))
     rows = snapshot.withColumn("entity_id", F.trim(F.col("entity_id").cast("string")))
     ids = rows.select("entity_id")
-    a, t, s = number("available"), number("total"), number("saturation")
+    a, t, s = (number_of(snapshot, c) for c in ("available", "total", "saturation"))
     good_values = usable(a, t)
     expected = saturation(a, t)
     sane = good_values & s.between(0, 100) & (F.abs(s - expected) <= tolerance)
     text = F.trim(F.col("collected_ts").cast("string"))
     has_time = non_empty(F.col("collected_ts"))
-    at = instant(F.col("collected_ts"))
+    at = instant_of(snapshot, "collected_ts")
     usable_row = F.coalesce(sane, F.lit(False)) & source_valid(source_time(F.col("source_ts")), reference)
 
     def report(df: DataFrame, check: str, detail: Column) -> DataFrame:
@@ -277,12 +277,12 @@ def reuse_violations(
 def reuse_audit(snapshot: DataFrame, reference: Column, max_age_hours: float = 12.0, max_source_age_hours: float = 12.0) -> DataFrame:
     """Age and freshness facts of a reusable snapshot in one row."""
     positive(max_age_hours, "max_age_hours")
-    a, t, s = number("available"), number("total"), number("saturation")
+    a, t, s = (number_of(snapshot, c) for c in ("available", "total", "saturation"))
     sane = F.coalesce(usable(a, t) & (F.abs(s - saturation(a, t)) <= 1e-8), F.lit(False))
     at = source_time(F.col("source_ts"))
     valid, fresh = source_valid(at, reference), source_fresh(at, reference, max_source_age_hours)
     facts = snapshot.agg(
-        F.min(instant(F.col("collected_ts"))).alias("snapshot_collected_at"),
+        F.min(instant_of(snapshot, "collected_ts")).alias("snapshot_collected_at"),
         F.count_if(sane & valid).alias("usable"),
         F.count_if(non_empty(F.col("source_ts")) & valid & ~fresh).alias("stale_source"),
         F.count_if(sane & valid & ~fresh).alias("retained_stale"),

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
-from wardscope.functions.scalars import correlation_level, instant, number
+from wardscope.functions.scalars import correlation_level, instant_of, number_of
 from wardscope.operators.ordering import exact_quantiles, global_rank, percent_rank
 
 MINIMUM_ROWS = 10
@@ -21,8 +21,8 @@ MINIMUM_ROWS = 10
 
 def heatmap_cells(history: DataFrame, collected: str = "collected_ts", value: str = "saturation", zone: str = V.SOURCE_ZONE) -> DataFrame:
     """Mean per local weekday (Monday 0) and hour in long form."""
-    local = F.from_utc_timestamp(instant(F.col(collected)), zone)
-    rows = history.select(F.weekday(local).alias("day_no"), F.hour(local).alias("hour"), number(value).alias("v"))
+    local = F.from_utc_timestamp(instant_of(history, collected), zone)
+    rows = history.select(F.weekday(local).alias("day_no"), F.hour(local).alias("hour"), number_of(history, value).alias("v"))
     return rows.dropna().groupBy("day_no", "hour").agg(F.avg("v").alias("mean_value"))
 
 
