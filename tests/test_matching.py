@@ -111,8 +111,10 @@ def test_copies_in_the_catalogue_keep_the_smallest_twenty_ids(spark):
     assert rows(run(spark, [target("N1")], many)["states"], "match_state") == [(V.STATE_AMBIGUOUS,)]
 
 
-def test_evidence_join_finds_every_pair_that_can_matter(spark):
-    """Random places: everything at the threshold, and every gate pass, is among the generated pairs."""
+@pytest.mark.parametrize("hot", [10_000, 3])
+def test_evidence_join_finds_every_pair_that_can_matter(spark, monkeypatch, hot):
+    """Random places: every gate pass (and without crowded keys everything at the threshold) is generated."""
+    monkeypatch.setattr(M, "HOT_KEY_ROWS", hot)
     random.seed(7)
     names = ["새봄중앙병원", "새봄중앙의료원", "푸른의원", "푸른병원", "한빛병원", "한빛중앙병원"]
     roads = ["테헤란로 10", "테헤란로 11", "중앙로 3", "중앙로 3-0"]
@@ -129,7 +131,7 @@ def test_evidence_join_finds_every_pair_that_can_matter(spark):
     candidates = [pick(f"C{i}", "c") for i in range(60)]
     t, c = M.prepare_targets(spark.createDataFrame(targets, T)), M.prepare_catalog(spark.createDataFrame(candidates, C))
     made = M.scored_pairs(M.evidence_pairs(t, c, M.target_tiers(t, c, PROVINCES)))
-    wanted = full_pairs(spark, targets, candidates).filter("gate_passed or match_score >= 0.84")
+    wanted = full_pairs(spark, targets, candidates).filter("gate_passed or match_score >= 0.84" if hot > 100 else "gate_passed")
     key = ["entity_id", "catalog_id"]
     assert wanted.count() > 20
     assert wanted.join(made.select(*key), key, "left_anti").isEmpty()
@@ -166,6 +168,26 @@ def test_global_optimum_beats_greedy(spark):
     assert rows(got) == [("A", "H2", 0.85), ("B", "H1", 0.90)]
 
 
+def test_name_tokens_cover_every_similar_name(spark):
+    random.seed(2)
+    words = ["".join(random.choice("가나다라마") for _ in range(random.randint(1, 14))) for _ in range(150)]
+    from wardscope.functions.identity_text import contains_either_way, sequence_ratio
+
+    df = spark.createDataFrame([(w,) for w in words], "a string")
+    pairs = df.crossJoin(df.withColumnRenamed("a", "b"))
+    alike = pairs.filter((sequence_ratio("a", "b") >= 0.72) | contains_either_way(F.col("a"), F.col("b")) | (F.col("a") == F.col("b")))
+    assert alike.count() > 200
+    assert alike.filter(~F.arrays_overlap(M.name_tokens(F.col("a")), M.name_tokens(F.col("b")))).isEmpty()
+
+
+def test_a_candidate_wanted_by_a_crowd_needs_no_big_component(spark):
+    crowd = [(f"t{i:04d}", "H1", 0.9) for i in range(500)] + [(f"u{i:04d}", c, s) for i in range(500) for c, s in (("H1", 0.95), ("H2", 0.9))]
+    edges = spark.createDataFrame(crowd, "entity_id string, catalog_id string, score double")
+    assert A.interchangeable_cut(edges).count() == 1 + 2 * 2
+    got = A.assign(edges).collect()
+    assert sorted(r["catalog_id"] for r in got) == ["H1", "H2"] and sum(r["score"] for r in got) == pytest.approx(1.85)
+
+
 def test_distributed_assignment_equals_one_big_solve(spark):
     random.seed(11)
     edges = [(f"t{i:02d}", f"c{random.randint(0, 30):02d}", round(random.uniform(0.84, 1.0), 4)) for i in range(40) for _ in range(3)]

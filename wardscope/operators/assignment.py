@@ -1,10 +1,10 @@
 """Global one-to-one assignment: most pairs first, then the highest total score.
 
-The eligible edges are settled in three steps.  Uncontested best choices are
-taken directly (nobody else can use them, so this never costs optimality).
-What is left is split into connected components, and each component is solved
-on its own with a sparse shortest-augmenting-path method whose memory is linear
-in its edges.
+The eligible edges are settled in four steps.  Interchangeable targets are cut
+to as many as can matter.  Uncontested best choices are taken directly (nobody
+else can use them, so this never costs optimality).  What is left is split into
+connected components, and each component is solved on its own with a sparse
+shortest-augmenting-path method whose memory is linear in its edges.
 """
 
 from __future__ import annotations
@@ -16,9 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardscope.operators.ordering import best_row
+from wardscope.functions.fixed_values import MATCH_TOP_CANDIDATES as MAX_CANDIDATES
+from wardscope.operators.ordering import best_row, top_per_group
 from wardscope.session import cut_lineage
 
+# the solver keeps a component's edges in one task; its memory is linear in them
+MAX_COMPONENT_EDGES = 5_000_000
+
 PAIR_SCHEMA = T.StructType(
     [
         T.StructField("entity_id", T.StringType()),
@@ -120,17 +124,47 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("component labels did not settle")
 
 
+def interchangeable_cut(pairs: DataFrame) -> DataFrame:
+    """Drop targets that cannot change the optimum, however many copies there are.
+
+    Targets with the very same candidates and scores are interchangeable: of
+    such a group at most as many as it has candidates can be matched, so that
+    many (smallest ids) stay.  Of the targets with a single candidate only the
+    best per candidate can win it.  Both cuts are exact and combine map-side,
+    which dissolves a candidate wanted by a third of all targets.
+    """
+    # at most 20 candidates per target, so the list per target is bounded
+    shape = pairs.groupBy("entity_id").agg(
+        F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("catalog_id", "score")))), 256).alias("_s"), F.count(F.lit(1)).alias("_d")
+    )
+    kept = top_per_group(shape, ["_s"], [F.col("entity_id")], MAX_CANDIDATES, "_r").filter("_r <= _d").select("entity_id", "_d")
+    rows = pairs.join(kept, "entity_id")
+    single = best_row(rows.filter("_d = 1"), ["catalog_id"], [-F.col("score"), F.col("entity_id")])
+    return rows.filter("_d > 1").unionByName(single.select(*rows.columns)).drop("_d")
+
+
+def _uncontested(pairs: DataFrame) -> DataFrame:
+    """Targets whose best candidate no other target can use."""
+    best = best_row(pairs, ["entity_id"], [-F.col("score"), F.col("catalog_id")])
+    once = pairs.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("catalog_id")
+    return best.join(once, "catalog_id", "left_semi").select("entity_id", "catalog_id", "score")
+
+
 def assign(edges: DataFrame) -> DataFrame:
-    """(entity_id, catalog_id, score) pairs of the optimal one-to-one assignment."""
+    """(entity_id, catalog_id, score) pairs of the optimal one-to-one assignment.
+
+    ``edges`` hold at most 20 candidates per target.
+    """
     pairs = edges.select(
         F.col("entity_id").cast("string").alias("entity_id"), F.col("catalog_id").cast("string").alias("catalog_id"), F.col("score").cast("double").alias("score")
     )
-    pairs = cut_lineage(pairs)
-    best = best_row(pairs, ["entity_id"], [-F.col("score"), F.col("catalog_id")])
-    wanted_once = pairs.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("catalog_id")
-    direct = best.join(wanted_once, "catalog_id", "left_semi").select("entity_id", "catalog_id", "score")
+    pairs = cut_lineage(interchangeable_cut(cut_lineage(pairs)))
+    direct = cut_lineage(_uncontested(pairs))
     rest = pairs.join(direct.select("entity_id"), "entity_id", "left_anti")
     if rest.isEmpty():
         return direct
-    solved = components(rest).groupBy("component").applyInPandas(_solve, PAIR_SCHEMA)
-    return direct.unionByName(solved)
+    grouped = components(rest)
+    largest = grouped.groupBy("component").count().agg(F.max("count")).first()[0]
+    if largest > MAX_COMPONENT_EDGES:
+        raise RuntimeError(f"a component of {largest} edges exceeds one task; raise the margin or review the ledger")
+    return direct.unionByName(grouped.groupBy("component").applyInPandas(_solve, PAIR_SCHEMA))

@@ -116,36 +116,36 @@ def longest_contained(
 ) -> DataFrame:
     """Longest name occurring inside each text (spaces ignored), ties by name.
 
-    Names are matched by equality on their leading characters at every text
-    position, so the work follows text length and not texts times names.
+    Each text lists its substrings of the lengths that names really have, and
+    those are joined to the names by equality.  Only true occurrences are ever
+    paired, and the work follows text length instead of texts times names.
     """
-    squeezed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "")
     keys = [text_id] + ([scope] if scope else [])
-    short = 2
-    wanted = names.select(*([scope] if scope else []), F.col(name).alias("_name")).distinct()
-    wanted = wanted.withColumn("_bare", F.regexp_replace("_name", r"\s+", "")).filter("_bare <> ''")
-    wanted = wanted.withColumn("_probe", F.substring("_bare", 1, short))
-    source = texts.select(*keys, squeezed.alias("_text"))
-    probes = source.select(
-        *keys,
-        "_text",
-        F.explode(
-            F.array_distinct(
-                F.flatten(
-                    F.transform(
-                        F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1))),
-                        lambda i: F.transform(
-                            F.sequence(F.lit(1), F.lit(short)), lambda w: F.substring(F.col("_text"), i, w)
-                        ),
-                    )
-                )
-            )
-        ).alias("_probe"),
+    scoped = [scope] if scope else []
+    wanted = (
+        names.select(*scoped, F.col(name).alias("_name"))
+        .withColumn("_bare", F.regexp_replace("_name", r"\s+", ""))
+        .filter("_bare <> ''")
+        .groupBy(*scoped, "_bare")
+        .agg(F.min("_name").alias("_name"))
+    )
+    # distinct name lengths: a handful, never more than the longest name has characters
+    lengths = sorted(r[0] for r in wanted.select(F.length("_bare")).distinct().collect())
+    if not lengths:
+        return texts.withColumn("matched_name", F.lit(None).cast("string"))
+    squeezed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "")
+    source = texts.select(*keys, squeezed.alias("_text")).filter(F.length("_text") >= lengths[0])
+    parts = F.flatten(
+        F.transform(
+            F.array(*[F.lit(w) for w in lengths]),
+            lambda w: F.when(
+                F.length("_text") >= w,
+                F.transform(F.sequence(F.lit(1), F.length("_text") - w + 1), lambda i: F.substring(F.col("_text"), i, w)),
+            ).otherwise(F.array().cast("array<string>")),
+        )
     )
-    hits = probes.join(wanted, ([scope] if scope else []) + ["_probe"]).filter(F.col("_text").contains(F.col("_bare")))
-    best = best_row(
-        hits.select(*keys, "_name", "_bare"), keys, [-F.length("_bare"), F.col("_name")]
-    ).select(*keys, F.col("_name").alias("matched_name"))
+    found = source.select(*keys, F.explode(F.array_distinct(parts)).alias("_bare")).join(wanted, scoped + ["_bare"])
+    best = best_row(found, keys, [-F.length("_bare"), F.col("_name")]).select(*keys, F.col("_name").alias("matched_name"))
     return texts.join(best, keys, "left")
 
 
