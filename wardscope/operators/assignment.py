@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardscope.functions.fixed_values import MATCH_TOP_CANDIDATES as MAX_CANDIDATES
-from wardscope.operators.ordering import best_row, top_per_group
+from wardscope.operators.dedupe import keep_first
+from wardscope.operators.ordering import top_per_group
 from wardscope.session import cut_lineage
 
 # the solver keeps a component's edges in one task; its memory is linear in them
@@ -139,13 +140,13 @@ def interchangeable_cut(pairs: DataFrame) -> DataFrame:
     )
     kept = top_per_group(shape, ["_s"], [F.col("entity_id")], MAX_CANDIDATES, "_r").filter("_r <= _d").select("entity_id", "_d")
     rows = pairs.join(kept, "entity_id")
-    single = best_row(rows.filter("_d = 1"), ["catalog_id"], [-F.col("score"), F.col("entity_id")])
+    single = keep_first(rows.filter("_d = 1"), ["catalog_id"], [-F.col("score"), F.col("entity_id")])
     return rows.filter("_d > 1").unionByName(single.select(*rows.columns)).drop("_d")
 
 
 def _uncontested(pairs: DataFrame) -> DataFrame:
     """Targets whose best candidate no other target can use."""
-    best = best_row(pairs, ["entity_id"], [-F.col("score"), F.col("catalog_id")])
+    best = keep_first(pairs, ["entity_id"], [-F.col("score"), F.col("catalog_id")])
     once = pairs.groupBy("catalog_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n = 1").select("catalog_id")
     return best.join(once, "catalog_id", "left_semi").select("entity_id", "catalog_id", "score")
 

@@ -1,8 +1,8 @@
 """One row per key, and duplicate detection, without sending a hot key to one task.
 
-``max_by`` over a struct combines on the map side: a key that owns a third of
-the input leaves each map task as a single row.  A row_number window would
-ship and sort every one of its rows in one task.
+The greatest ``struct(order, rest)`` combines on the map side: a key that owns
+a third of the input leaves each map task as a single row.  A row_number window
+would ship and sort every one of its rows in one task.
 """
 
 from __future__ import annotations
@@ -11,20 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _pick(df: DataFrame, keys: list[str], order: list[str | Column], chooser) -> DataFrame:
-    rest = [c for c in df.columns if c not in keys]
-    order_by = F.struct(*[F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)])
-    picked = df.groupBy(*keys).agg(chooser(F.struct(*rest), order_by).alias("_row"))
+def _pick(df: DataFrame, keys: list[str], order: list[str | Column], extreme) -> DataFrame:
+    """Row whose (order, remaining columns) tuple is extreme; ties in ``order`` are thus settled too."""
+    named = [c for c in order if isinstance(c, str)]
+    rest = [c for c in df.columns if c not in keys and c not in named]
+    lead = [F.col(c) if isinstance(c, str) else c.alias(f"_o{i}") for i, c in enumerate(order)]
+    picked = df.groupBy(*keys).agg(extreme(F.struct(*lead, *rest)).alias("_row"))
     return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The row with the greatest ``order`` tuple of each key."""
-    return _pick(df, keys, order, F.max_by)
+    return _pick(df, keys, order, F.max)
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    return _pick(df, keys, order, F.min_by)
+    """The row with the smallest ``order`` tuple of each key."""
+    return _pick(df, keys, order, F.min)
 
 
 def key_counts(df: DataFrame, keys: list[str], name: str = "n_rows") -> DataFrame:

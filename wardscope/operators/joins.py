@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
 from wardscope.functions.scalars import parent_city
-from wardscope.operators.ordering import best_row
+from wardscope.operators.dedupe import keep_first
 
 
 def conform(population: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -145,7 +145,7 @@ def longest_contained(
         )
     )
     found = source.select(*keys, F.explode(F.array_distinct(parts)).alias("_bare")).join(wanted, scoped + ["_bare"])
-    best = best_row(found, keys, [-F.length("_bare"), F.col("_name")]).select(*keys, F.col("_name").alias("matched_name"))
+    best = keep_first(found, keys, [-F.length("_bare"), F.col("_name")]).select(*keys, F.col("_name").alias("matched_name"))
     return texts.join(best, keys, "left")
 
 

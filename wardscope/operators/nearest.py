@@ -9,16 +9,14 @@ All joins are equi-joins on a packed cell number.
 
 from __future__ import annotations
 
-from datetime import datetime
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
 from wardscope.functions import geodesy as G
 from wardscope.functions.scalars import hours, instant, number
-from wardscope.operators.dedupe import keep_last
-from wardscope.operators.ordering import best_row, top_per_group
+from wardscope.operators.dedupe import keep_first, keep_last
+from wardscope.operators.ordering import top_per_group
 
 LEVELS = list(range(0, G.FINEST_LEVEL + 1, 2))
 HALF_WORLD_KM = 20_040.0
@@ -100,6 +98,16 @@ def _within(origins: DataFrame, facilities: DataFrame, radius: Column, strict: b
     return pairs.filter(near | (F.col("_radius") >= HALF_WORLD_KM)).drop("_cell", "_level", "_radius")
 
 
+def one_per_spot(facilities: DataFrame) -> DataFrame:
+    """The smallest id of each destination point.
+
+    A route depends on its end points only, so facilities on one spot share a
+    route, and the first of them in rank order is the smallest id.  Searching
+    over spots gives the same best road with one row per route.
+    """
+    return facilities.groupBy("dest_lat", "dest_lon").agg(F.min("entity_id").alias("entity_id")).select("entity_id", "dest_lat", "dest_lon")
+
+
 def nearest_candidates(origins: DataFrame, facilities: DataFrame, k: int = V.ROUTE_INITIAL_CANDIDATES) -> DataFrame:
     """The k nearest facilities of each origin by straight line, ties by id.
 
@@ -160,7 +168,7 @@ def valid_route() -> Column:
 def best_by_road(candidates: DataFrame) -> DataFrame:
     """Shortest road per region, first in rank order on ties."""
     usable = candidates.filter(valid_route() & F.col("eta_min").isNotNull())
-    return best_row(usable, ["region_key"], [F.col("road_km"), F.col("rank")])
+    return keep_first(usable, ["region_key"], [F.col("road_km"), F.col("rank")])
 
 
 def proof_violations(
@@ -257,7 +265,7 @@ def probe_points(origins: DataFrame, local: DataFrame) -> DataFrame:
     Emits (region_key, turn, lat, lon); keep those inside the region with
     ``polygons.points_in_polygons`` and drop repeats at seven decimals there.
     """
-    nearest = best_row(
+    nearest = keep_first(
         local_facilities(origins, local).select("region_key", "entity_id", "straight_km", "dest_lat", "dest_lon"),
         ["region_key"], [F.col("straight_km"), F.col("entity_id")],
     ).select("region_key", "dest_lat", "dest_lon")
@@ -276,4 +284,4 @@ def probe_points(origins: DataFrame, local: DataFrame) -> DataFrame:
         "lat is not null and lon is not null"
     )
     spot = rows.withColumn("_a", F.round("lat", 7)).withColumn("_b", F.round("lon", 7))
-    return best_row(spot, ["region_key", "_a", "_b"], [F.col("turn")]).drop("_a", "_b")
+    return keep_first(spot, ["region_key", "_a", "_b"], [F.col("turn")]).drop("_a", "_b")

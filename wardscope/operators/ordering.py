@@ -141,11 +141,3 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], limit: in
     """
     ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.filter(F.col(rank) <= limit)
-
-
-def best_row(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The single first row per key, combined map-side."""
-    rest = [c for c in df.columns if c not in keys]
-    by = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), by).alias("_row"))
-    return picked.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns])

@@ -33,6 +33,10 @@ def facilities(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "supplier").select(k.alias("entity_id"), B.spread_lat(k).alias("dest_lat"), B.spread_lon(k).alias("dest_lon"))
 
 
+# one facility per spot: the smallest id
+SPOTS_SQL = POINTS_SQL.replace("FROM o, f)", "FROM o, (SELECT min(entity_id) AS entity_id, fa, fo FROM f GROUP BY fa, fo))")
+
+
 @query(
     "q40_haversine_candidates",
     with_ctes(POINTS_SQL, select="SELECT region_key, entity_id, rank, round(km, 6) AS straight_km FROM ranked WHERE rank <= 10"),
@@ -63,14 +67,18 @@ def with_roads(df: DataFrame) -> DataFrame:
     return rows.withColumn("road_km", F.when(ok, road)).withColumn("eta_min", F.when(ok, road * 1.5))
 
 
+def spots(spark: SparkSession, sf: str) -> DataFrame:
+    return R.one_per_spot(facilities(spark, sf))
+
+
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
-    return R.evaluated_candidates(origins(spark, sf), facilities(spark, sf), with_roads, initial=3)
+    return R.evaluated_candidates(origins(spark, sf), spots(spark, sf), with_roads, initial=3)
 
 
 @query(
     "q41_prefix_pruned_nearest",
     with_ctes(
-        POINTS_SQL, ROADS_SQL,
+        SPOTS_SQL, ROADS_SQL,
         select="""
 SELECT b.region_key, b.entity_id, b.rank, round(b.km, 6) AS straight_km, round(b.road, 6) AS road_km, n AS n_evaluated
 FROM best b JOIN (SELECT region_key, count(*) AS n FROM ev GROUP BY 1) e ON e.region_key = b.region_key""",
@@ -85,7 +93,7 @@ def prefix_pruned_nearest(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q42_optimality_proof",
     with_ctes(
-        POINTS_SQL, ROADS_SQL,
+        SPOTS_SQL, ROADS_SQL,
         "kept AS (SELECT * FROM ev WHERE rank <= 4)",
         "kb AS (SELECT region_key, min(CASE WHEN st = '성공' THEN road END) AS best FROM kept GROUP BY 1)",
         select="""
@@ -98,7 +106,7 @@ UNION ALL SELECT 'not_evaluated', r.region_key::VARCHAR, entity_id::VARCHAR FROM
 def optimality_proof(spark: SparkSession, sf: str) -> DataFrame:
     # a search that stopped after four candidates: the proof must name what it skipped
     kept = cut_lineage(evaluated(spark, sf).filter("rank <= 4"))
-    return R.proof_violations(kept, facilities(spark, sf), origins(spark, sf))
+    return R.proof_violations(kept, spots(spark, sf), origins(spark, sf))
 
 
 CACHE_SQL = """
