@@ -101,6 +101,11 @@ def missingness_report(snapshot: DataFrame, risk: DataFrame, matches: DataFrame
     return report.select(*REPORT_COLUMNS)
 
 
+def sorted_report(report: DataFrame) -> DataFrame:
+    """Report in reading order: priority, kind, region, entity."""
+    return report.orderBy("priority", "entity_type", "region_key", "entity_id")
+
+
 def missingness_summary(report: DataFrame, risk: DataFrame) -> DataFrame:
     """Long-form counters: open items, per entity type, per reason, per missing component."""
     def rows(df: DataFrame, kind: str, item: Column) -> DataFrame:

@@ -82,7 +82,7 @@ def _search_level(origins: DataFrame, facilities: DataFrame, k: int) -> DataFram
     return origins.withColumn("hr", orow).withColumn("hc", ocol).join(best, ["hr", "hc"]).drop("hr", "hc")
 
 
-def _within(origins: DataFrame, facilities: DataFrame, radius: Column, strict: bool) -> DataFrame:
+def within_radius(origins: DataFrame, facilities: DataFrame, radius: Column, strict: bool) -> DataFrame:
     """Origin-facility pairs closer than each origin's radius."""
     reach = origins.withColumn("_radius", F.least(radius, F.lit(HALF_WORLD_KM)))
     level = _even(G.level_for_radius(F.col("_radius")))
@@ -120,7 +120,7 @@ def nearest_candidates(origins: DataFrame, facilities: DataFrame, k: int = V.ROU
     radius = F.when(F.col("level") == 0, F.lit(HALF_WORLD_KM)).otherwise(
         G.cell_degrees(F.col("level")) * (BLOCK_REACH * G.KM_PER_DEGREE)
     )
-    pairs = _within(levelled, reduced, radius, strict=False).drop("level")
+    pairs = within_radius(levelled, reduced, radius, strict=False).drop("level")
     return top_per_group(pairs, ["region_key"], [F.col("straight_km"), F.col("entity_id")], k)
 
 
@@ -146,7 +146,7 @@ def evaluated_candidates(
     reach = origins.join(best, "region_key").withColumn(
         "_circle", F.greatest(F.coalesce("_best", F.lit(HALF_WORLD_KM)), F.col("_seen") * (1 + 1e-12) + 1e-9)
     )
-    inside = _within(reach, facilities, F.col("_circle"), strict=False).drop("_best", "_seen", "_circle")
+    inside = within_radius(reach, facilities, F.col("_circle"), strict=False).drop("_best", "_seen", "_circle")
     by = Window.partitionBy("region_key").orderBy("straight_km", "entity_id")
     ranked = attach_route(inside).withColumn("rank", F.row_number().over(by))
     before = F.min(F.when(valid, F.col("road_km"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -189,7 +189,7 @@ def proof_violations(
         F.lit("uncertain_failure").alias("check"), F.col("region_key").cast("string").alias("key"), F.col(keep).cast("string").alias("detail")
     )
     circle = origins.join(proven, "region_key")
-    near = _within(circle, facilities, F.col("best"), strict=True)
+    near = within_radius(circle, facilities, F.col("best"), strict=True)
     unseen = near.join(evaluated.select("region_key", keep), ["region_key", keep], "left_anti").select(
         F.lit("not_evaluated").alias("check"), F.col("region_key").cast("string").alias("key"), F.col(keep).cast("string").alias("detail")
     )

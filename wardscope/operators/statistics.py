@@ -130,6 +130,14 @@ def linear_regression(df: DataFrame, key: str, features: list[str], target: str,
     return table, {"status": "complete", "rows": rows, "r2": r2, "mae": test["mae"], "intercept": intercept}
 
 
+def regression_display(table: DataFrame, metrics: dict, labels: dict[str, str]) -> DataFrame:
+    """Finite coefficients under their display names, in the given order; nothing if the fit is incomplete."""
+    order = F.create_map(*[F.lit(x) for i, (c, label) in enumerate(labels.items()) for x in (c, F.struct(F.lit(i).alias("turn"), F.lit(label).alias("label")))])
+    entry = F.try_element_at(order, F.col("variable"))
+    rows = table.filter(F.lit(metrics.get("status") == "complete") & (F.abs("coefficient") < float("inf")))
+    return rows.filter(entry.isNotNull()).select(entry["turn"].alias("turn"), entry["label"].alias("label"), "coefficient").orderBy("turn")
+
+
 def distribution_summary(df: DataFrame, column: str) -> DataFrame:
     """Mean, median, quintile edges and maximum."""
     p20, p40, median, p60, p80 = exact_quantiles(df, column, [0.2, 0.4, 0.5, 0.6, 0.8])
