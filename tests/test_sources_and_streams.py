@@ -152,3 +152,18 @@ def test_miss_counters(spark):
     polls = [("a", d, p) for d, p in ((1, True), (2, False), (3, False))] + [("b", 1, False), ("b", 2, True), ("c", 1, False)]
     got = S.miss_counters(spark.createDataFrame(polls, "entity_id string, polled_at int, present boolean"))
     assert rows(got) == [("a", 2, 3, 2), ("c", 1, 1, 1)]
+
+
+def test_running_deadline_and_partial_failure(spark, tmp_path):
+    stream = arrivals(spark, str(tmp_path / "in"), BATCHES)
+    out = S.run_available(S.earliest_deadline(stream, "ts", 12), "d", "complete", location=str(tmp_path / "o"))
+    last = S.read_output(spark, out).orderBy(F.col("batch").desc()).first()
+    assert last["deadline_at"] == dt.datetime(2026, 9, 4, 11, 50)
+    failed = spark.createDataFrame([("b",)], "entity_id string")
+
+    def advance(batch, batch_id):
+        return batch.join(failed, "entity_id", "left_anti").withColumn("run", F.lit(batch_id))
+
+    again = S.read_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], EVENT).schema, files_per_batch=1)
+    out = S.refresh_batches(again, "r", advance, location=str(tmp_path / "p"))
+    assert rows(S.read_output(spark, out).groupBy("entity_id").count()) == [("a", 4)]

@@ -106,3 +106,11 @@ def test_degenerate_clusters_are_typed_and_empty(spark):
     for df in (same, same.limit(2)):
         evaluation, labelled = K.choose_clusters(df, COLUMNS)
         assert evaluation.columns == ["k", "silhouette"] and evaluation.isEmpty() and labelled.isEmpty() and "cluster" in labelled.columns
+
+
+def test_regression_display_keeps_order_and_drops_incomplete(spark):
+    table = spark.createDataFrame([("b", 2.0), ("a", 1.0), ("c", None), ("x", 9.0)], "variable string, coefficient double")
+    labels = {"a": "first", "b": "second", "c": "third"}
+    got = T.regression_display(table, {"status": "complete"}, labels).collect()
+    assert [(r["label"], r["coefficient"]) for r in got] == [("first", 1.0), ("second", 2.0)]
+    assert T.regression_display(table, {"status": "insufficient_data"}, labels).isEmpty()

@@ -8,8 +8,10 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardscope.functions import fixed_values as V
+from wardscope.session import cut_lineage
 
 SILHOUETTE_LIMIT = 50_000
 BLOCK = 512
@@ -25,16 +27,16 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def silhouette_per_row(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+def silhouette_per_row(df: DataFrame, columns: list[str], label: str, rows: int | None = None) -> DataFrame:
     """Euclidean silhouette of every row.
 
     It compares each row with all rows, so it is meant for the region level.
     The vectors are sent to the tasks only after their number is checked; a
     task then handles blocks of rows as matrices and emits one value per row.
     """
-    points = df.select(*columns, label).toPandas() if df.count() <= SILHOUETTE_LIMIT else None
-    if points is None:
+    if (df.count() if rows is None else rows) > SILHOUETTE_LIMIT:
         raise ValueError(f"silhouette needs at most {SILHOUETTE_LIMIT} rows")
+    points = df.select(*columns, label).toPandas()
     matrix = points[columns].to_numpy(float)
     names, codes = np.unique(points[label].to_numpy(), return_inverse=True)
     member = np.eye(len(names))[codes]
@@ -61,24 +63,22 @@ def silhouette_per_row(df: DataFrame, columns: list[str], label: str) -> DataFra
                 parts.append(rows.assign(silhouette=value))
             yield pd.concat(parts) if parts else batch.assign(silhouette=pd.Series(dtype=float))
 
-    from pyspark.sql import types as T
-
     schema = T.StructType(df.schema.fields + [T.StructField("silhouette", T.DoubleType())])
     return df.mapInPandas(score, schema)
 
 
-def silhouette(df: DataFrame, columns: list[str], label: str) -> float:
-    return silhouette_per_row(df, columns, label).agg(F.avg("silhouette")).first()[0]
+def silhouette(df: DataFrame, columns: list[str], label: str, rows: int | None = None) -> float:
+    return silhouette_per_row(df, columns, label, rows).agg(F.avg("silhouette")).first()[0]
 
 
-def _fit(data: DataFrame, k: int, seed: int, restarts: int) -> DataFrame:
-    """Best of several seeded fits by within-cluster cost."""
+def _fit(data: DataFrame, k: int, seed: int, restarts: int) -> tuple[DataFrame, int]:
+    """Best of several seeded fits by within-cluster cost, and its number of used clusters."""
     best, cost = None, None
     for turn in range(restarts):
         model = KMeans(k=k, seed=seed + turn, maxIter=100, featuresCol="features", predictionCol="cluster").fit(data)
         if cost is None or model.summary.trainingCost < cost:
             best, cost = model, model.summary.trainingCost
-    return best.transform(data)
+    return best.transform(data), sum(n > 0 for n in best.summary.clusterSizes)
 
 
 def choose_clusters(
@@ -93,16 +93,17 @@ def choose_clusters(
     if n < 3:
         return no_eval, empty
     z = [f"z_{c}" for c in columns]
-    scaled = standardise(data, columns).persist()
+    scaled = cut_lineage(standardise(data, columns))
     top = min(max_k, n - 1, scaled.select(*z).distinct().count())
     if top < 2:
         return no_eval, empty
     features = VectorAssembler(inputCols=z, outputCol="features").transform(scaled)
     found = []
     for k in range(2, top + 1):
-        labelled = _fit(features, k, seed, restarts).drop("features").persist()
-        if labelled.select("cluster").distinct().count() >= 2:
-            found.append((k, silhouette(labelled, z, "cluster"), labelled))
+        fitted, used = _fit(features, k, seed, restarts)
+        if used >= 2:
+            labelled = cut_lineage(fitted.drop("features"))
+            found.append((k, silhouette(labelled, z, "cluster", n), labelled))
     if not found:
         return no_eval, empty
     evaluation = spark.createDataFrame([(k, s) for k, s, _ in found], "k int, silhouette double")
