@@ -38,7 +38,7 @@ def shared_root(spark: SparkSession) -> str:
     setting is required, since a machine-local path would be lost together
     with its executor.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
