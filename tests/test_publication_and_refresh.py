@@ -9,6 +9,7 @@ from wardscope.operators import nearest as R
 from wardscope.operators import publication as P
 from wardscope.operators import score
 from wardscope.plans import refresh
+from wardscope.session import cut_lineage
 from wardscope.sources import sinks
 
 NOW = dt.datetime(2026, 9, 4, 0, 0, tzinfo=dt.timezone.utc)
@@ -47,8 +48,9 @@ def routes(spark):
         df = df.withColumn("eta_min", F.col("road_km") * 2).withColumn("route_code", F.lit(0)).withColumn("route_status", F.lit(V.ROUTE_OK))
         return df.withColumn("route_key", R.route_key(*[F.col(c) for c in ("origin_lat", "origin_lon", "dest_lat", "dest_lon")]))
 
-    found = R.evaluated_candidates(origins, places, attach, 3)
-    best = R.best_by_road(found)
+    origins, places = cut_lineage(origins), cut_lineage(places)
+    found = cut_lineage(R.evaluated_candidates(origins, places, attach, 3))
+    best = cut_lineage(R.best_by_road(found))
     access = score.percentile_score(best, "road_km", "s_access")
     own = attach(R.local_facilities(origins, places.join(keyed.select("entity_id", "region_key"), "entity_id")))
     return origins, found, best, access, places, own, m
