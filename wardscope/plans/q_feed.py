@@ -287,20 +287,20 @@ def missing_report(spark: SparkSession, sf: str) -> DataFrame:
     with_ctes(
         *REPORT_PARTS,
         select="""
-SELECT 'total_open_items' AS kind, 'all' AS item, count(*) AS n, CAST(NULL AS BIGINT) AS n_unscored FROM report
+SELECT 'total_open_items' AS kind, 'all' AS item, count(*) AS n, CAST(NULL AS DOUBLE) AS n_unscored FROM report
 UNION ALL SELECT 'entity_type', entity_type, count(*), NULL FROM report GROUP BY 2
 UNION ALL SELECT 'reason', reason_code, count(*), NULL FROM report WHERE entity_type <> 'region' GROUP BY 2
 UNION ALL SELECT 'missing_component', c, count(*), NULL FROM (SELECT unnest(string_split(names, ', ')) AS c FROM miss) WHERE c <> '' GROUP BY 2
-UNION ALL SELECT 'reason_by_state', reason_code, count(*), count(*) FILTER (region_key IN (SELECT region_key FROM risks WHERE risk IS NULL)) FROM report WHERE entity_type <> 'region' GROUP BY 2""",
+UNION ALL SELECT 'reason_by_state', reason_code, count(*), (count(*) FILTER (region_key IN (SELECT region_key FROM risks WHERE risk IS NULL)))::DOUBLE FROM report WHERE entity_type <> 'region' GROUP BY 2""",
     ),
 )
 def missing_summary(spark: SparkSession, sf: str) -> DataFrame:
     rows, risk = report(spark, sf)
     stored = cut_lineage(rows)
     cross = M.reason_by_score_state(stored, risk).select(
-        F.lit("reason_by_state").alias("kind"), F.col("reason_code").alias("item"), F.col("n_all").alias("n"), "n_unscored"
+        F.lit("reason_by_state").alias("kind"), F.col("reason_code").alias("item"), F.col("n_all").alias("n"), F.col("n_unscored").cast("double").alias("n_unscored")
     )
-    return M.missingness_summary(stored, risk).withColumn("n_unscored", F.lit(None).cast("bigint")).unionByName(cross)
+    return M.missingness_summary(stored, risk).withColumn("n_unscored", F.lit(None).cast("double")).unionByName(cross)
 
 
 @query(
@@ -382,9 +382,9 @@ staffing AS (
         select="""
 SELECT s.province, s.district, n_total, n_matched, n_known, round(n_matched::DOUBLE / n_total, 6) AS match_rate,
   CASE WHEN n_matched::DOUBLE / n_total >= 0.8 THEN '사용가능' ELSE '검토필요' END AS quality, CASE WHEN n_matched::DOUBLE / n_total >= 0.8 THEN s.s END AS specialists,
-  CASE WHEN n_matched::DOUBLE / n_total < 0.8 THEN greatest(ceil(n_total::DOUBLE * 0.8::DOUBLE)::BIGINT - n_matched, 0) END AS additional_needed,
-  CASE WHEN n_matched::DOUBLE / n_total < 0.8 THEN coalesce(n, 0) END AS n_excluded,
-  CASE WHEN n_matched::DOUBLE / n_total < 0.8 THEN greatest(ceil(n_total::DOUBLE * 0.8::DOUBLE)::BIGINT - n_matched, 0) <= coalesce(n, 0) END AS explained
+  CASE WHEN n_matched::DOUBLE / n_total < 0.8 THEN greatest(ceil(n_total::DOUBLE * 0.8::DOUBLE)::BIGINT - n_matched, 0)::DOUBLE END AS additional_needed,
+  CASE WHEN n_matched::DOUBLE / n_total < 0.8 THEN coalesce(n, 0)::DOUBLE END AS n_excluded,
+  CASE WHEN n_matched::DOUBLE / n_total < 0.8 THEN greatest(ceil(n_total::DOUBLE * 0.8::DOUBLE)::BIGINT - n_matched, 0) <= coalesce(n, 0) END::VARCHAR AS explained
 FROM staffing s LEFT JOIN ex ON ex.province = s.province AND ex.district = s.district""",
     ),
 )
@@ -396,5 +396,8 @@ def quality_gap(spark: SparkSession, sf: str) -> DataFrame:
         "entity_id", "province", "district", state.alias("match_state"), F.when(good, (F.col("c_custkey") % 6).cast("double")).alias("specialists")
     )
     staffing = M.staffing_by_region(detail)
-    gaps = M.quality_gaps(staffing, detail).select("province", "district", "additional_needed", "n_excluded", "explained")
+    gaps = M.quality_gaps(staffing, detail).select(
+        "province", "district", F.col("additional_needed").cast("double").alias("additional_needed"),
+        F.col("n_excluded").cast("double").alias("n_excluded"), F.col("explained").cast("string").alias("explained"),
+    )
     return staffing.join(gaps, ["province", "district"], "left").withColumn("match_rate", F.round("match_rate", 6))

@@ -77,14 +77,14 @@ def staff_component(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RISK_COLUMNS_SQL = """region_key, district, round(s_load, 6) AS s_load, n_reporting, round(s_access, 6) AS s_access,
-  round(s_pop, 6) AS s_pop, round(s_staff, 6) AS s_staff, n_components, round(risk, 6) AS risk, risk_grade, risk_grade_name, calc_state"""
+  round(s_pop, 6) AS s_pop, round(s_staff, 6) AS s_staff, n_components, round(risk, 6) AS risk, risk_grade::DOUBLE AS risk_grade, risk_grade_name, calc_state"""
 
 
 @query("q05_composite_risk", with_ctes(B.RISK_SQL, select=f"SELECT {RISK_COLUMNS_SQL} FROM risks"))
 def composite_risk(spark: SparkSession, sf: str) -> DataFrame:
     return B.region_risk(spark, sf).select(
         "region_key", "district", r6("s_load"), "n_reporting", r6("s_access"), r6("s_pop"), r6("s_staff"),
-        "n_components", r6("risk"), "risk_grade", "risk_grade_name", "calc_state",
+        "n_components", r6("risk"), F.col("risk_grade").cast("double").alias("risk_grade"), "risk_grade_name", "calc_state",
     )
 
 
@@ -139,7 +139,7 @@ def duplicate_flag(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "q09_left_population_join",
     """
-SELECT s_suppkey, s_name, n_lines, round(revenue, 4) AS revenue
+SELECT s_suppkey, s_name, n_lines::DOUBLE AS n_lines, round(revenue, 4) AS revenue
 FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS n_lines, sum(l_extendedprice * (1 - l_discount)) AS revenue
   FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 GROUP BY 1) ON s_suppkey = l_suppkey""",
 )
@@ -149,14 +149,14 @@ def left_population_join(spark: SparkSession, sf: str) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.expr("l_extendedprice * (1 - l_discount)")).alias("revenue"))
     )
     return J.conform(table(spark, sf, "supplier").select("s_suppkey", "s_name"), facts, ["s_suppkey"]).select(
-        "s_suppkey", "s_name", "n_lines", F.round("revenue", 4).alias("revenue")
+        "s_suppkey", "s_name", F.col("n_lines").cast("double").alias("n_lines"), F.round("revenue", 4).alias("revenue")
     )
 
 
 @query(
     "q10_full_outer_coalesce",
     """
-SELECT coalesce(a.k, b.k) AS custkey, urgent_orders, open_total,
+SELECT coalesce(a.k, b.k) AS custkey, urgent_orders::DOUBLE AS urgent_orders, open_total,
   CASE WHEN a.k IS NOT NULL AND b.k IS NOT NULL THEN 'both' WHEN a.k IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS origin
 FROM (SELECT o_custkey AS k, count(*) AS urgent_orders FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) a
 FULL JOIN (SELECT o_custkey AS k, round(sum(o_totalprice), 4) AS open_total FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) b ON a.k = b.k""",
@@ -165,7 +165,7 @@ def full_outer_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").withColumnRenamed("o_custkey", "custkey")
     urgent = o.filter("o_orderpriority = '1-URGENT'").groupBy("custkey").agg(F.count(F.lit(1)).alias("urgent_orders"))
     opened = o.filter("o_orderstatus = 'O'").groupBy("custkey").agg(F.round(F.sum("o_totalprice"), 4).alias("open_total"))
-    return J.outer_with_origin(urgent, opened, ["custkey"]).select("custkey", "urgent_orders", "open_total", "origin")
+    return J.outer_with_origin(urgent, opened, ["custkey"]).select("custkey", F.col("urgent_orders").cast("double").alias("urgent_orders"), "open_total", "origin")
 
 
 @query(

@@ -67,7 +67,7 @@ def _corr_sql() -> str:
         strength = "NULL, NULL" if a == "target" else (
             f"CASE WHEN abs(corr({a}, target)) >= 0.8 THEN '매우 강함' WHEN abs(corr({a}, target)) >= 0.6 THEN '강함' "
             f"WHEN abs(corr({a}, target)) >= 0.4 THEN '보통' WHEN abs(corr({a}, target)) >= 0.2 THEN '약함' ELSE '매우 약함' END, "
-            f"CAST(floor(abs(corr({a}, target)) * 100 + 0.5) AS BIGINT)"
+            f"CAST(floor(abs(corr({a}, target)) * 100 + 0.5) AS DOUBLE)"
         )
         rows.append(f"SELECT '{a}', {cells}, {strength} FROM f")
     names = ", ".join(["variable", *CORR_COLUMNS, "level", "percent"])
@@ -78,7 +78,7 @@ def _corr_sql() -> str:
 def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
     matrix = T.correlation_matrix(features(spark, sf), CORR_COLUMNS)
     strength = T.correlation_ranking(matrix, "target", FEATURES).select("variable", "level", "percent")
-    return matrix.join(strength, "variable", "left").select("variable", *[r6(c) for c in CORR_COLUMNS], "level", "percent")
+    return matrix.join(strength, "variable", "left").select("variable", *[r6(c) for c in CORR_COLUMNS], "level", F.col("percent").cast("double").alias("percent"))
 
 
 def _elimination_sql(prefix: str, source: str, size: int) -> tuple[str, str]:
@@ -248,7 +248,7 @@ def percentile_main_factor(spark: SparkSession, sf: str) -> DataFrame:
         "p AS (SELECT cluster, avg(s_load) AS s_load, avg(s_access) AS s_access, avg(s_pop) AS s_pop, avg(s_staff) AS s_staff, avg(s_load) AS risk, count(*) AS n FROM g GROUP BY 1)",
         "l AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY risk DESC, cluster DESC) = 1 THEN '접근성·의료진 복합취약형' ELSE '접근성 양호·병상부담형' END AS label FROM p)",
         select="""
-SELECT cluster AS item, label, round(s_load, 4) AS s_load, round(s_access, 4) AS s_access, round(s_pop, 4) AS s_pop, round(s_staff, 4) AS s_staff, n AS n_regions FROM l
+SELECT cluster AS item, label, round(s_load, 4) AS s_load, round(s_access, 4) AS s_access, round(s_pop, 4) AS s_pop, round(s_staff, 4) AS s_staff, n::DOUBLE AS n_regions FROM l
 UNION ALL SELECT 'BUILDING-MACHINERY', NULL, round(sum(CASE cluster WHEN 'BUILDING' THEN s_load WHEN 'MACHINERY' THEN -s_load END), 4),
   round(sum(CASE cluster WHEN 'BUILDING' THEN s_access WHEN 'MACHINERY' THEN -s_access END), 4), round(sum(CASE cluster WHEN 'BUILDING' THEN s_pop WHEN 'MACHINERY' THEN -s_pop END), 4),
   round(sum(CASE cluster WHEN 'BUILDING' THEN s_staff WHEN 'MACHINERY' THEN -s_staff END), 4), NULL FROM p""",
@@ -257,10 +257,10 @@ UNION ALL SELECT 'BUILDING-MACHINERY', NULL, round(sum(CASE cluster WHEN 'BUILDI
 def cluster_labels_profile(spark: SparkSession, sf: str) -> DataFrame:
     profile = cut_lineage(K.cluster_profile(groups(spark, sf).withColumn("risk", F.col("s_load")), [*GROUP_FEATURES, "risk"]))
     named = K.cluster_labels(profile).select(
-        F.col("cluster").alias("item"), F.col("cluster_label").alias("label"), *[F.round(c, 4).alias(c) for c in GROUP_FEATURES], "n_regions"
+        F.col("cluster").alias("item"), F.col("cluster_label").alias("label"), *[F.round(c, 4).alias(c) for c in GROUP_FEATURES], F.col("n_regions").cast("double").alias("n_regions")
     )
     gap = K.mean_difference(profile, GROUP_FEATURES, "BUILDING", "MACHINERY")
     wide = gap.groupBy().pivot("component", GROUP_FEATURES).agg(F.round(F.first("difference"), 4))
     return named.unionByName(
-        wide.select(F.lit("BUILDING-MACHINERY").alias("item"), F.lit(None).cast("string").alias("label"), *GROUP_FEATURES, F.lit(None).cast("bigint").alias("n_regions"))
+        wide.select(F.lit("BUILDING-MACHINERY").alias("item"), F.lit(None).cast("string").alias("label"), *GROUP_FEATURES, F.lit(None).cast("double").alias("n_regions"))
     )
