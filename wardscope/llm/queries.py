@@ -7,8 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardscope.llm import packing, simhash, token_files
-from wardscope.llm.common import documents
+from wardscope.llm import contamination, language, packing, passages, quality, secret_scan, simhash, token_files, topk
+from wardscope.llm.common import documents, held_out
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    scored = quality.classify(documents(spark, folder), _table(spark, folder, "labels"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op2_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,10 +33,38 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(documents(spark, folder))
 
 
+def op5_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(_table(spark, folder, "embeddings"))
+
+
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(documents(spark, folder), _table(spark, folder, "benchmark"))
+
+
+def op7_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, folder))
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, folder))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    found = language.identify(documents(spark, folder))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
     "op3_simhash": op3_simhash,
     "op4_packing": op4_packing,
+    "op5_topk": op5_topk,
+    "op6_decontamination": op6_decontamination,
+    "op7_passages": op7_passages,
+    "op8_secrets": op8_secrets,
+    "op10_language": op10_language,
 }
 
 #: None of the contracts so far is plain SQL: tokens, XXH64 and reachability are not in DuckDB.

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardscope.llm.common import cut_lineage, per_text, ship_package
+from wardscope.llm.graph import components
 
 SEED = 42
 SHINGLE = 3
@@ -123,29 +124,6 @@ def _to_smallest(df: DataFrame, *keys) -> DataFrame:
     return rows.join(least, names).filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, root): the smallest node reachable, by alternating large-star and small-star steps.
-
-    Each step writes its edges once; steps grow with the logarithm of the longest chain.
-    """
-    edges = cut_lineage(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).filter("u < v").distinct())
-    state = None
-    while True:
-        # large star: larger neighbours of each node to the smallest of its neighbourhood
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("m").alias("u"), "v").filter("u < v").distinct()
-        # small star: smaller neighbours and the node itself to the smallest
-        down = large.select(F.col("v").alias("n"), F.col("u").alias("w"))
-        low = down.groupBy("n").agg(F.min("w").alias("m"))
-        small = down.join(low, "n").select(F.col("m").alias("u"), F.col("w").alias("v")).unionByName(low.select(F.col("m").alias("u"), F.col("n").alias("v")))
-        edges = cut_lineage(small.filter("u < v").distinct())
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("v").alias("node"), F.col("u").alias("root"))
-        state = now
-
-
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (smallest document id reachable) for every row."""
     docs = cut_lineage(fingerprints(df))
