@@ -58,7 +58,7 @@ def per_text(df: DataFrame, make: Callable[[list], dict[str, list]], schema: str
     ``make`` returns; kept columns come first and keep their values.
     """
     keep = ["doc_id"] if keep is None else keep
-    source = df.select(*keep, F.col(text).alias("_text"))
+    source = df.select(*keep, F.col(text).alias("_wardscope_text"))
     out = ", ".join([f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)]] + [schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

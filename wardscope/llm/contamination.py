@@ -229,13 +229,13 @@ def _frequencies(df: DataFrame, terms: list[str]) -> tuple[Counter, int]:
     return counts, counts.pop("", 0)
 
 
-def contaminated(df: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, rank: int = RANK) -> DataFrame:
-    """doc_id, item_id, first_word, end_word, share, cosine for every passage found in a document."""
+def contaminated(df: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK, rank: int = RANK, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (doc_id by default), item_id, first_word, end_word, share, cosine for every passage found in a document."""
     spark = df.sparkSession
     ship_package(spark)
     kind = dict(benchmark.dtypes)["item_id"]
-    doc_kind = dict(df.dtypes)["doc_id"]
-    schema = f"doc_id {doc_kind}, item_id {kind}, first_word int, end_word int, share double, cosine double"
+    keep = keep or ["doc_id"]
+    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keep) + f", item_id {kind}, first_word int, end_word int, share double, cosine double"
     n_items = benchmark.count()
     found = spark.createDataFrame([], schema)
     blocks = max(1, math.ceil(n_items / item_block))
@@ -265,9 +265,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
                 name: [[h[k] for h in one] for one in hits] for k, name in ((1, "first"), (2, "end"), (3, "share"), (4, "close"))
             }
 
-        made = per_text(df, make, "items array<string>, first array<int>, end array<int>, share array<double>, close array<double>")
-        hit = made.filter(F.size("items") > 0).select("doc_id", F.explode(F.arrays_zip("items", "first", "end", "share", "close")).alias("h"))
+        made = per_text(df, make, "items array<string>, first array<int>, end array<int>, share array<double>, close array<double>", keep=keep)
+        hit = made.filter(F.size("items") > 0).select(*keep, F.explode(F.arrays_zip("items", "first", "end", "share", "close")).alias("h"))
         found = found.unionByName(
-            hit.select("doc_id", F.col("h.items").cast(kind).alias("item_id"), F.col("h.first").alias("first_word"), F.col("h.end").alias("end_word"), F.col("h.share").alias("share"), F.col("h.close").alias("cosine"))
+            hit.select(*keep, F.col("h.items").cast(kind).alias("item_id"), F.col("h.first").alias("first_word"), F.col("h.end").alias("end_word"), F.col("h.share").alias("share"), F.col("h.close").alias("cosine"))
         )
     return found if blocks == 1 else cut_lineage(found)

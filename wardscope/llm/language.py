@@ -221,8 +221,8 @@ def training_sample(df: DataFrame, per_language: int = TRAIN_DOCS, characters: i
     return [r.part for r in rows], [r.lang for r in rows]
 
 
-def identify(df: DataFrame, per_language: int = TRAIN_DOCS, keep: list[str] | None = None) -> DataFrame:
-    """The kept columns (doc_id by default), lang_pred and score for every row of ``df``."""
+def identify(df: DataFrame, per_language: int = TRAIN_DOCS, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """The kept columns (doc_id by default), lang_pred and score (their names after ``prefix``) for every row of ``df``."""
     spark = df.sparkSession
     ship_package(spark)
     fitted = train(*training_sample(df, per_language))
@@ -230,13 +230,13 @@ def identify(df: DataFrame, per_language: int = TRAIN_DOCS, keep: list[str] | No
     def make(texts: list) -> dict[str, list]:
         plain = [has_letter(t) for t in texts]
         if fitted is None:
-            return {"lang_pred": [UNDETERMINED] * len(texts), "score": [0.0] * len(texts)}
+            return {f"{prefix}lang_pred": [UNDETERMINED] * len(texts), f"{prefix}score": [0.0] * len(texts)}
         names, p = fitted
         q = document_probabilities(p, [t.encode("utf-8", "replace") if ok else b"" for t, ok in zip(texts, plain)])
         best = q.argmax(axis=1)
         return {
-            "lang_pred": [names[k] if ok else UNDETERMINED for k, ok in zip(best, plain)],
-            "score": [float(min(1.0, q[i, k])) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, plain))],
+            f"{prefix}lang_pred": [names[k] if ok else UNDETERMINED for k, ok in zip(best, plain)],
+            f"{prefix}score": [float(min(1.0, q[i, k])) if ok else 0.0 for i, (k, ok) in enumerate(zip(best, plain))],
         }
 
-    return per_text(df, make, "lang_pred string, score double", keep=keep)
+    return per_text(df, make, f"{prefix}lang_pred string, {prefix}score double", keep=keep)

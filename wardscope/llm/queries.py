@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardscope.llm import contamination, language, packing, passages, quality, secret_scan, simhash, token_files, topk
+from wardscope.llm import contamination, language, packing, passages, quality, repeats, secret_scan, simhash, token_files, topk
 from wardscope.llm.common import documents, held_out
 
 
@@ -50,6 +50,10 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.without_repeats(documents(spark, folder)).drop("kept")
+
+
 def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     found = language.identify(documents(spark, folder))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_passages": op7_passages,
     "op8_secrets": op8_secrets,
+    "op9_repeats": op9_repeats,
     "op10_language": op10_language,
 }
 

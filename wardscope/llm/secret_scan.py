@@ -226,9 +226,9 @@ def redact(df: DataFrame, mark: str = "[secret]") -> DataFrame:
     rest = [c for c in df.columns if c != "text"]
 
     def make(texts: list) -> dict[str, list]:
-        return {"text_clean": [None if t is None else without_secrets(t, mark) for t in texts]}
+        return {"_wardscope_clean": [None if t is None else without_secrets(t, mark) for t in texts]}
 
-    return per_text(df, make, "text_clean string", keep=rest).withColumnRenamed("text_clean", "text").select(*schema.names)
+    return per_text(df, make, "_wardscope_clean string", keep=rest).withColumnRenamed("_wardscope_clean", "text").select(*schema.names)
 
 
 def without_secrets(text: str, mark: str) -> str:

@@ -54,10 +54,10 @@ def fingerprint(text: str | None, words: int = SHINGLE, chunk: int = 65_536) ->
     return int(value)
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint of every whole text, as a signed long."""
+def fingerprints(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (doc_id by default) and fp, the fingerprint of every whole text as a signed long."""
     ship_package(df.sparkSession)
-    return per_text(df, lambda texts: {"fp": [fingerprint(t) for t in texts]}, "fp long")
+    return per_text(df, lambda texts: {"fp": [fingerprint(t) for t in texts]}, "fp long", keep=keep)
 
 
 def _segment(fp: Column, segment: int) -> Column:
@@ -124,13 +124,17 @@ def _to_smallest(df: DataFrame, *keys) -> DataFrame:
     return rows.join(least, names).filter("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def near_duplicates(df: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (smallest document id reachable) for every row."""
-    docs = cut_lineage(fingerprints(df))
+def near_duplicates(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The kept columns (doc_id among them), fp, root (names the group) and component_id for every row.
+
+    component_id is the smallest document id of the group; a null id is never the smallest
+    unless all are null.
+    """
+    docs = cut_lineage(fingerprints(df, keep))
     distinct = cut_lineage(docs.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
     roots = components(links(distinct.select("fp")))
-    # fingerprints with a link only; each takes the smallest document of its component
+    # fingerprints with a link only; each takes the smallest document of its group
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    final = named.join(least, "root").select("fp", "component_id")
-    return docs.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = named.join(least, "root").select("fp", "root", "component_id")
+    return docs.join(final, "fp").select(*(keep or ["doc_id"]), "fp", "root", "component_id")
