@@ -12,30 +12,24 @@ from wardscope.operators import dedupe as D
 from wardscope.operators import ordering as O
 
 
-@pytest.fixture
-def tiny_limits(monkeypatch):
-    monkeypatch.setattr(O, "BUILTIN_LIMIT", 0)
-    monkeypatch.setattr(O, "WINDOW_LIMIT", 0)
-
-
 SHARES = [0.0, 0.05, 0.2, 0.5, 0.95, 1.0]
 
 
 @pytest.mark.parametrize("n,spread", [(1, 5), (2, 2), (57, 9), (1000, 10_000), (1000, 3)])
-def test_distributed_quantiles_are_exact(spark, tiny_limits, n, spread):
+def test_distributed_quantiles_are_exact(spark, n, spread):
     random.seed(n + spread)
     values = [float(random.randint(0, spread)) for _ in range(n)]
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
     assert O.exact_quantiles(df, "x", SHARES) == pytest.approx(list(np.quantile(values, SHARES)))
 
 
-def test_quantiles_with_one_value_holding_most_rows(spark, tiny_limits):
+def test_quantiles_with_one_value_holding_most_rows(spark):
     values = [5.0] * 900 + [float(i) for i in range(100)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
     assert O.exact_quantiles(df, "x", SHARES) == pytest.approx(list(np.quantile(values, SHARES)))
 
 
-def test_builtin_and_empty_quantiles(spark):
+def test_small_and_empty_quantiles(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (4.0,)], "x double")
     assert O.exact_quantiles(df, "x", [0.5, 0.75]) == [2.0, 3.0]
     assert O.exact_quantiles(df.limit(0), "x", [0.5]) == [None]
@@ -43,7 +37,7 @@ def test_builtin_and_empty_quantiles(spark):
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.one_of(st.none(), st.integers(-5, 5)), min_size=1, max_size=40))
-def test_global_ranks_equal_pandas(spark, tiny_limits, values):
+def test_global_ranks_equal_pandas(spark, values):
     df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(values)], "i int, x double")
     got = {r["i"]: r["rank"] for r in O.global_rank(df, "x").collect()}
     want = pd.Series([np.nan if v is None else v for v in values], dtype=float).rank(method="min", ascending=False)
@@ -55,7 +49,11 @@ def test_global_ranks_equal_pandas(spark, tiny_limits, values):
         assert share[i] is None if np.isnan(r) else share[i] == pytest.approx((r - 1) / max(n - 1, 1))
 
 
-def test_window_path_gives_the_same_ranks(spark):
+def test_ranks_keep_the_type_of_the_value(spark):
+    big = spark.createDataFrame([(1, 2**53), (2, 2**53 + 1), (3, None)], "i int, x bigint")
+    assert rows(O.global_rank(big, "x"), "i", "rank") == [(1, 2), (2, 1), (3, None)]
+    text = spark.createDataFrame([(1, "b"), (2, "a"), (3, "b")], "i int, x string")
+    assert rows(O.global_rank(text, "x", descending=False), "i", "rank") == [(1, 2), (2, 1), (3, 2)]
     df = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, None), (4, 1.0)], "i int, x double")
     assert rows(O.global_rank(df, "x"), "i", "rank") == [(1, 1), (2, 1), (3, None), (4, 3)]
 

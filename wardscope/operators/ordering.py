@@ -1,23 +1,21 @@
 """Exact order statistics and ranks that never need one task to see all rows.
 
-Everything rests on ``running_counts``: rows are first reduced to value counts
-(map-side, so repeated values cost nothing), spread over ordered buckets whose
-edges come from a fixed-size quantile sketch, and only then accumulated inside
-each bucket.  The edges steer the balance, not the result: any edges give the
-same exact answer.
+Everything rests on ``running_counts``, whatever the number of rows: rows are first
+reduced to value counts (map-side, so repeated values cost nothing), spread over ordered
+buckets whose edges come from a fixed-size quantile sketch, and only then accumulated
+inside each bucket.  The edges steer the balance, not the result: any edges give the same
+exact answer.  One bounded aggregate gives edges and count when a plan is made; the rest
+stays lazy, and quantiles enter it as a scalar subquery.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-from math import floor
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 64
-BUILTIN_LIMIT = 1_000_000
-WINDOW_LIMIT = 100_000
 
 
 def _bucket(value: Column, edges: list[float]) -> Column:
@@ -32,103 +30,65 @@ def _bucket(value: Column, edges: list[float]) -> Column:
     return branch(0, len(edges))
 
 
-def split_points(df: DataFrame, column: str, buckets: int = BUCKETS) -> list[float]:
-    """At most ``buckets - 1`` distinct edges from one bounded sketch."""
+def split_points(df: DataFrame, column: str, buckets: int = BUCKETS) -> tuple[list[float], int]:
+    """At most ``buckets - 1`` ordered edges from one bounded sketch, and the number of present values."""
     shares = [i / buckets for i in range(1, buckets)]
-    row = df.agg(F.percentile_approx(F.col(column).cast("double"), shares, 10_000).alias("e")).first()
-    return sorted(set(row["e"] or []))
+    # text has no number; its values all meet in one bucket, where they are ordered by themselves
+    value = F.lit(None).cast("double") if dict(df.dtypes)[column] == "string" else F.col(column).cast("double")
+    row = df.agg(F.percentile_approx(value, shares, 10_000).alias("e"), F.count(column).alias("n")).first()
+    return sorted(set(row["e"] or [])), row["n"]
 
 
-def running_counts(df: DataFrame, column: str, edges: list[float] | None = None) -> DataFrame:
-    """Per distinct non-null value: ``n`` rows, and ``before`` rows with a smaller value."""
-    counts = (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("double").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    if edges is None:
-        edges = split_points(df, column)
-    counts = counts.withColumn("bucket", _bucket(F.col("value"), edges))
+def running_counts(df: DataFrame, column: str, edges: list[float]) -> DataFrame:
+    """Per distinct non-null value, in its own type: ``n`` rows, and ``before`` rows with a smaller value."""
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.withColumn("bucket", _bucket(F.col("value").cast("double"), edges) if edges else F.lit(0))
     totals = counts.groupBy("bucket").agg(F.sum("n").alias("t"))
-    # at most len(edges) + 1 rows, so a single ordered window is safe here
-    offsets = totals.select(
-        "bucket",
-        F.coalesce(
-            F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("offset"),
-    )
+    # at most BUCKETS rows, so a single ordered window is safe here
+    before = F.sum("t").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = totals.select("bucket", F.coalesce(before, F.lit(0)).alias("offset"))
     inside = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    return (
-        counts.join(F.broadcast(offsets), "bucket")
-        .select("value", "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before"))
+    return counts.join(F.broadcast(offsets), "bucket").select(
+        "value", "n", (F.col("offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("before")
     )
 
 
-def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
-    """Linearly interpolated quantiles (position ``(n - 1) * p``), exact at any size.
+def quantiles(df: DataFrame, column: str, shares: list[float]) -> DataFrame:
+    """One row with ``q``: linearly interpolated quantiles (position ``(n - 1) * p``), all NULL without a value."""
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null")
+    edges, total = split_points(values, "v")
+    table = running_counts(values, "v", edges)
 
-    Up to ``BUILTIN_LIMIT`` rows the built-in aggregate is used, whose buffer
-    is then bounded; beyond it the wanted order statistics are looked up in
-    ``running_counts``.
-    """
-    values = df.select(F.col(column).cast("double").alias("v"))
-    n = values.filter("v is not null").count()
-    if n == 0:
-        return [None] * len(shares)
-    if n <= BUILTIN_LIMIT:
-        return list(values.agg(F.percentile("v", shares).alias("q")).first()["q"])
-    wanted = sorted({r for p in shares for r in _ranks(n, p)})
-    table = running_counts(values, "v")
-    hit = None
-    for r in wanted:
-        here = (F.col("before") <= r) & (F.lit(r) < F.col("before") + F.col("n"))
-        hit = here if hit is None else hit | here
-    rows = sorted((r["before"], r["value"]) for r in table.filter(hit).collect())  # one row per wanted rank
-    starts = [b for b, _ in rows]
-
-    def at(rank: int) -> float:
-        return rows[bisect_right(starts, rank) - 1][1]
-
-    result = []
+    def at(rank: int) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (F.lit(rank) < F.col("before") + F.col("n")), F.col("value")))
+
+    parts = []
     for p in shares:
-        low, high = _ranks(n, p)
-        part = (n - 1) * p - low
-        result.append(at(low) + (at(high) - at(low)) * part)
-    return result
+        position = (total - 1) * p
+        low, high = at(floor(position)), at(ceil(position))
+        parts.append(low + (high - low) * (position - floor(position)))
+    return table.agg(F.array(*parts).alias("q"))
 
 
-def _ranks(n: int, p: float) -> tuple[int, int]:
-    position = (n - 1) * p
-    low = floor(position)
-    return low, min(low + 1, n - 1) if position > low else low
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float | None]:
+    return list(quantiles(df, column, shares).first()["q"])
 
 
-def global_rank(df: DataFrame, column: str, name: str = "rank", descending: bool = True, rows: int | None = None) -> DataFrame:
-    """1 + number of rows strictly ahead; equal values share a rank, NULL gets NULL.
+def global_rank(df: DataFrame, column: str, name: str = "rank", descending: bool = True) -> DataFrame:
+    """1 + number of rows strictly ahead; equal values share a rank, NULL gets NULL."""
+    return _ranked(df, column, name, descending)[0]
 
-    ``rows`` is the row count if the caller already has it.  Up to
-    ``WINDOW_LIMIT`` rows one ordered window does it; beyond that the rank is
-    looked up in ``running_counts``.
-    """
-    rows = df.count() if rows is None else rows
-    if rows <= WINDOW_LIMIT:
-        key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
-        return df.withColumn(name, F.when(F.col(column).isNotNull(), F.rank().over(Window.orderBy(key)).cast("bigint")))
-    table = running_counts(df, column)
-    if descending:
-        total = df.filter(F.col(column).isNotNull()).count()
-        place = F.lit(total) - F.col("before") - F.col("n") + 1
-    else:
-        place = F.col("before") + 1
-    position = table.select(F.col("value").alias("_v"), place.alias(name))
-    keyed = df.withColumn("_v", F.col(column).cast("double"))
-    return keyed.join(position, "_v", "left").select(*df.columns, name)
-
-
-def percent_rank(df: DataFrame, column: str, name: str, rows: int | None = None) -> DataFrame:
+
+def _ranked(df: DataFrame, column: str, name: str, descending: bool) -> tuple[DataFrame, int]:
+    edges, total = split_points(df, column)
+    place = F.lit(total) - F.col("before") - F.col("n") + 1 if descending else F.col("before") + 1
+    position = running_counts(df, column, edges).select(F.col("value").alias("_v"), place.cast("bigint").alias(name))
+    return df.join(position, F.col(column) == F.col("_v"), "left").select(*df.columns, name), total
+
+
+def percent_rank(df: DataFrame, column: str, name: str) -> DataFrame:
     """(rank - 1) / (rows - 1) ascending over the present values, 0 for a single row."""
-    ranked = global_rank(df, column, "_r", descending=False, rows=rows)
-    present = df.filter(F.col(column).isNotNull()).count()
+    ranked, present = _ranked(df, column, "_r", descending=False)
     share = (F.col("_r") - 1) / F.lit(float(max(present - 1, 1)))
     return ranked.select(*df.columns, share.alias(name))
 

@@ -9,32 +9,29 @@ from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
 from wardscope.functions.scalars import count_present, ratio, risk_grade, risk_grade_name
-from wardscope.operators.ordering import BUILTIN_LIMIT, exact_quantiles
+from wardscope.operators.ordering import quantiles
 
 
 def percentile_score(
-    df: DataFrame, column: str, name: str, higher_is_risk: bool = True, shares: tuple[float, float] = (0.05, 0.95),
-    rows: int | None = None,
+    df: DataFrame, column: str, name: str, higher_is_risk: bool = True, shares: tuple[float, float] = (0.05, 0.95)
 ) -> DataFrame:
     """Scale ``column`` to 0..100 between its low and high quantile.
 
     No value at all gives NULL everywhere; equal quantiles give 50 to every
-    row, NULL ones included.  With a known small row count the quantiles are a
-    scalar subquery of the same plan; otherwise they are worked out first by
-    ``exact_quantiles`` and enter the plan as constants.  Either way the
-    scoring itself is a projection without join or shuffle.
+    row, NULL ones included.  The quantiles are a scalar subquery, so scoring
+    itself is a projection without join or shuffle.
     """
+    return percentile_scores(df, column, {name: higher_is_risk}, shares)
+
+
+def percentile_scores(df: DataFrame, column: str, names: dict[str, bool], shares: tuple[float, float] = (0.05, 0.95)) -> DataFrame:
+    """Several scores (name: is a higher value riskier) of one column from one pair of bounds."""
     value = F.col(column).cast("double")
-    if rows is not None and rows <= BUILTIN_LIMIT:
-        bounds = df.agg(F.percentile(value, list(shares)).alias("q")).scalar()
-        low, high = F.get(F.col("_q"), 0), F.get(F.col("_q"), 1)
-        source = df.withColumn("_q", bounds)
-    else:
-        low, high = (F.lit(v).cast("double") for v in exact_quantiles(df, column, list(shares)))
-        source = df
+    source = df.withColumn("_q", quantiles(df, column, list(shares)).scalar())
+    low, high = F.get(F.col("_q"), 0), F.get(F.col("_q"), 1)
     scaled = (F.when(value.isNotNull(), F.least(F.greatest(value, low), high)) - low) / F.nullif(high - low, F.lit(0.0)) * 100
     score = F.when(low.isNull(), None).when(high <= low, 50.0).otherwise(scaled)
-    return source.select(*df.columns, (score if higher_is_risk else F.lit(100.0) - score).alias(name))
+    return source.select(*df.columns, *[(score if up else F.lit(100.0) - score).alias(n) for n, up in names.items()])
 
 
 def group_totals(df: DataFrame, keys: list[str], values: dict[str, str]) -> DataFrame:
@@ -42,22 +39,22 @@ def group_totals(df: DataFrame, keys: list[str], values: dict[str, str]) -> Data
     return df.groupBy(*keys).agg(*[F.sum(F.col(c).cast("double")).alias(n) for n, c in values.items()])
 
 
-def ratio_component(df: DataFrame, numerator: str, denominator: str, ratio_name: str, score_name: str, rows: int | None = None) -> DataFrame:
+def ratio_component(df: DataFrame, numerator: str, denominator: str, ratio_name: str, score_name: str) -> DataFrame:
     """Ratio of two totals (NULL for a zero divisor) and its percentile score."""
     with_ratio = df.withColumn(ratio_name, ratio(F.col(numerator), F.col(denominator)))
-    return percentile_score(with_ratio, ratio_name, score_name, rows=rows)
+    return percentile_score(with_ratio, ratio_name, score_name)
 
 
-def population_component(population: DataFrame, totals: DataFrame, rows: int | None = None) -> DataFrame:
+def population_component(population: DataFrame, totals: DataFrame) -> DataFrame:
     """Residents per bed; ``population`` (region_key, population), ``totals`` (region_key, total_beds)."""
     joined = population.join(totals, "region_key", "left")
-    return ratio_component(joined, "population", "total_beds", "residents_per_bed", "s_pop", rows)
+    return ratio_component(joined, "population", "total_beds", "residents_per_bed", "s_pop")
 
 
-def staff_component(staff: DataFrame, totals: DataFrame, rows: int | None = None) -> DataFrame:
+def staff_component(staff: DataFrame, totals: DataFrame) -> DataFrame:
     """Beds per specialist; a confirmed zero staff count scores exactly 100, beds known or not."""
     joined = staff.join(totals, "region_key", "left").withColumn("no_staff", F.col("specialists") == 0)
-    scored = ratio_component(joined, "total_beds", "specialists", "beds_per_specialist", "s_staff", rows)
+    scored = ratio_component(joined, "total_beds", "specialists", "beds_per_specialist", "s_staff")
     return scored.withColumn(
         "s_staff", F.when(F.coalesce("no_staff", F.lit(False)), F.lit(100.0)).otherwise(F.col("s_staff"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
 from wardscope.functions.scalars import correlation_level, instant_of, number_of
-from wardscope.operators.ordering import exact_quantiles, global_rank, percent_rank
+from wardscope.operators.ordering import global_rank, percent_rank, quantiles
 
 MINIMUM_ROWS = 10
 
@@ -140,29 +140,24 @@ def regression_display(table: DataFrame, metrics: dict, labels: dict[str, str])
 
 def distribution_summary(df: DataFrame, column: str) -> DataFrame:
     """Mean, median, quintile edges and maximum."""
-    p20, p40, median, p60, p80 = exact_quantiles(df, column, [0.2, 0.4, 0.5, 0.6, 0.8])
-    return df.agg(
-        F.count(column).alias("n"), F.avg(column).alias("mean"), F.max(column).alias("maximum"),
-    ).select(
-        "n", "mean", *[F.lit(v).cast("double").alias(k) for k, v in (("p20", p20), ("p40", p40), ("median", median), ("p60", p60), ("p80", p80))], "maximum"
-    )
+    shares = {"p20": 0.2, "p40": 0.4, "median": 0.5, "p60": 0.6, "p80": 0.8}
+    totals = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.max(column).alias("maximum"))
+    both = totals.withColumn("_q", quantiles(df, column, list(shares.values())).scalar())
+    return both.select("n", "mean", *[F.get(F.col("_q"), i).alias(k) for i, k in enumerate(shares)], "maximum")
 
 
 def quintile_grade(df: DataFrame, column: str, name: str = "quintile") -> DataFrame:
     """Grade 1..5 by the quintile edges, each bin closed on the left."""
-    edges = exact_quantiles(df, column, [0.2, 0.4, 0.6, 0.8])
-    grade = F.when(F.col(column).isNull() | F.lit(edges[0] is None), None)
-    for i, edge in enumerate(edges, start=1):
-        grade = grade.when(F.col(column) < F.lit(edge), i)
-    return df.withColumn(name, grade.otherwise(5))
+    edges = quantiles(df, column, [0.2, 0.4, 0.6, 0.8]).scalar()
+    below = F.size(F.filter(F.col("_q"), lambda e: e <= F.col(column).cast("double")))
+    return df.withColumn("_q", edges).select(*df.columns, F.when(F.col(column).isNotNull(), below + 1).alias(name))
 
 
 def main_factor(risk: DataFrame, names: dict[str, str]) -> DataFrame:
     """Percentile rank of each component among complete regions; the highest one leads."""
     data = risk.filter(F.col("risk").isNotNull())
-    rows = data.count()
     for c in names:
-        data = percent_rank(data, c, f"pr_{c}", rows)
+        data = percent_rank(data, c, f"pr_{c}")
     entries = F.array(
         *[F.struct(F.col(f"pr_{c}").alias("p"), F.lit(-i).alias("turn"), F.lit(label).alias("label")) for i, (c, label) in enumerate(names.items())]
     )

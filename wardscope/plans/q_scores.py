@@ -33,8 +33,7 @@ def percentile_score(spark: SparkSession, sf: str) -> DataFrame:
     spend = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("spend"))
     rows = c.select("c_custkey").join(spend, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "spend")
     rows = cut_lineage(rows)
-    up = S.percentile_score(rows, "spend", "score")
-    both = S.percentile_score(up, "spend", "inverse_score", higher_is_risk=False)
+    both = S.percentile_scores(rows, "spend", {"score": True, "inverse_score": False})
     return both.select("c_custkey", r6("spend"), r6("score"), r6("inverse_score"))
 
 
@@ -49,8 +48,7 @@ def percentile_score_degenerate(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("s_suppkey") % 11 != 0, 7.0).alias("constant"),  # NULL rows get 50 as well
         F.lit(None).cast("double").alias("empty"),
     )
-    rows = S.percentile_score(s, "constant", "constant_score")
-    rows = S.percentile_score(rows, "constant", "constant_inverse", higher_is_risk=False)
+    rows = S.percentile_scores(s, "constant", {"constant_score": True, "constant_inverse": False})
     return S.percentile_score(rows, "empty", "empty_score").select("s_suppkey", "constant_score", "constant_inverse", "empty_score")
 
 
