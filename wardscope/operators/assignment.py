@@ -3,8 +3,9 @@
 The eligible edges are settled in four steps.  Interchangeable targets are cut
 to as many as can matter.  Uncontested best choices are taken directly (nobody
 else can use them, so this never costs optimality).  What is left is split into
-connected components, and each component is solved on its own with a sparse
-shortest-augmenting-path method whose memory is linear in its edges.
+connected components (in a number of steps that grows with the logarithm of the longest
+chain), and each component is solved on its own with a sparse shortest-augmenting-path method
+whose memory is linear in its edges.
 """
 
 from __future__ import annotations
@@ -12,18 +13,14 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardscope.functions.fixed_values import MATCH_TOP_CANDIDATES as MAX_CANDIDATES
+from wardscope.operators.components import components
 from wardscope.operators.dedupe import keep_first
-from wardscope.operators.ordering import top_per_group
 from wardscope.session import cut_lineage
 
-# the solver keeps a component's edges in one task; its memory is linear in them
-MAX_COMPONENT_EDGES = 5_000_000
-
 PAIR_SCHEMA = T.StructType(
     [
         T.StructField("entity_id", T.StringType()),
@@ -93,36 +90,13 @@ def _solve(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["entity_id", "catalog_id", "score"])
 
 
-def _spread(edges: DataFrame) -> DataFrame:
-    """One exchange of labels: candidates take the smallest of their targets, targets of their candidates."""
-    by_candidate = edges.groupBy("catalog_id").agg(F.min("component").alias("_c"))
-    seen = edges.join(by_candidate, "catalog_id")
-    by_target = seen.groupBy("entity_id").agg(F.min("_c").alias("_t"))
-    return seen.join(by_target, "entity_id").select("entity_id", "catalog_id", "score", F.col("_t").alias("component"))
-
-
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """Connected component of every edge by spreading the smallest target id.
-
-    A round makes two exchanges, each of them combinable aggregates over the
-    edge list, and then writes the labels, so a lost executor costs one round
-    at most.  The labels are final when the second exchange changed nothing.
-    """
-    current = edges.withColumn("component", F.col("entity_id"))
-    for _ in range(max_rounds):
-        once = _spread(current).withColumn("_was", F.col("component"))
-        seen = once.groupBy("catalog_id").agg(F.min("component").alias("_c"))
-        joined = once.join(seen, "catalog_id")
-        best = joined.groupBy("entity_id").agg(F.min("_c").alias("_t"))
-        moved = cut_lineage(
-            joined.join(best, "entity_id").select(
-                "entity_id", "catalog_id", "score", F.col("_t").alias("component"), (F.col("_t") != F.col("_was")).alias("_moved")
-            )
-        )
-        current = moved.drop("_moved")
-        if moved.filter("_moved").isEmpty():
-            return current
-    raise RuntimeError("component labels did not settle")
+def labelled(edges: DataFrame) -> DataFrame:
+    """The edges with ``component``, the smallest target of their connected component."""
+    # targets sort before candidates, so the root of a component is a target
+    target, candidate = F.concat(F.lit("t"), F.col("entity_id")), F.concat(F.lit("u"), F.col("catalog_id"))
+    roots = components(edges.select(target.alias("a"), candidate.alias("b")))
+    named = edges.withColumn("_node", target).join(roots, F.col("_node") == roots.node, "left")
+    return named.select(*edges.columns, F.substr(F.coalesce("root", "_node"), F.lit(2)).alias("component"))
 
 
 def interchangeable_cut(pairs: DataFrame) -> DataFrame:
@@ -134,11 +108,12 @@ def interchangeable_cut(pairs: DataFrame) -> DataFrame:
     best per candidate can win it.  Both cuts are exact and combine map-side,
     which dissolves a candidate wanted by a third of all targets.
     """
-    # at most 20 candidates per target, so the list per target is bounded
+    # a target has as many candidates as its ranking keeps, so the list per target is bounded
     shape = pairs.groupBy("entity_id").agg(
         F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("catalog_id", "score")))), 256).alias("_s"), F.count(F.lit(1)).alias("_d")
     )
-    kept = top_per_group(shape, ["_s"], [F.col("entity_id")], MAX_CANDIDATES, "_r").filter("_r <= _d").select("entity_id", "_d")
+    turn = F.row_number().over(Window.partitionBy("_s").orderBy("entity_id"))
+    kept = shape.withColumn("_r", turn).filter("_r <= _d").select("entity_id", "_d")
     rows = pairs.join(kept, "entity_id")
     single = keep_first(rows.filter("_d = 1"), ["catalog_id"], [-F.col("score"), F.col("entity_id")])
     return rows.filter("_d > 1").unionByName(single.select(*rows.columns)).drop("_d")
@@ -152,10 +127,7 @@ def _uncontested(pairs: DataFrame) -> DataFrame:
 
 
 def assign(edges: DataFrame) -> DataFrame:
-    """(entity_id, catalog_id, score) pairs of the optimal one-to-one assignment.
-
-    ``edges`` hold at most 20 candidates per target.
-    """
+    """(entity_id, catalog_id, score) pairs of the optimal one-to-one assignment."""
     pairs = edges.select(
         F.col("entity_id").cast("string").alias("entity_id"), F.col("catalog_id").cast("string").alias("catalog_id"), F.col("score").cast("double").alias("score")
     )
@@ -164,8 +136,4 @@ def assign(edges: DataFrame) -> DataFrame:
     rest = pairs.join(direct.select("entity_id"), "entity_id", "left_anti")
     if rest.isEmpty():
         return direct
-    grouped = components(rest)
-    largest = grouped.groupBy("component").count().agg(F.max("count")).first()[0]
-    if largest > MAX_COMPONENT_EDGES:
-        raise RuntimeError(f"a component of {largest} edges exceeds one task; raise the margin or review the ledger")
-    return direct.unionByName(grouped.groupBy("component").applyInPandas(_solve, PAIR_SCHEMA))
+    return direct.unionByName(labelled(rest).groupBy("component").applyInPandas(_solve, PAIR_SCHEMA))

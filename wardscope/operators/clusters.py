@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from wardscope.functions import fixed_values as V
 from wardscope.session import cut_lineage
 
-SILHOUETTE_LIMIT = 50_000
 BLOCK = 512
 
 
@@ -27,48 +23,39 @@ def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def silhouette_per_row(df: DataFrame, columns: list[str], label: str, rows: int | None = None) -> DataFrame:
-    """Euclidean silhouette of every row.
+def silhouette_per_row(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """Euclidean silhouette of every row, however many there are.
 
-    It compares each row with all rows, so it is meant for the region level.
-    The vectors are sent to the tasks only after their number is checked; a
-    task then handles blocks of rows as matrices and emits one value per row.
+    The measure compares each row with all rows.  Rows of a cluster are packed
+    into blocks of about ``BLOCK``, each row meets each block once, and its sums
+    per cluster are added up; nothing is collected or broadcast.
     """
-    if (df.count() if rows is None else rows) > SILHOUETTE_LIMIT:
-        raise ValueError(f"silhouette needs at most {SILHOUETTE_LIMIT} rows")
-    points = df.select(*columns, label).toPandas()
-    matrix = points[columns].to_numpy(float)
-    names, codes = np.unique(points[label].to_numpy(), return_inverse=True)
-    member = np.eye(len(names))[codes]
-    sizes = member.sum(axis=0)
-    shared = df.sparkSession.sparkContext.broadcast((matrix, member, sizes, names))
-
-    def score(batches):
-        everyone, belongs, count, labels = shared.value
-        for batch in batches:
-            parts = []
-            for at in range(0, len(batch), BLOCK):
-                rows = batch.iloc[at : at + BLOCK]
-                x = rows[columns].to_numpy(float)
-                own = np.searchsorted(labels, rows[label].to_numpy())
-                gap = np.sqrt(((x[:, None, :] - everyone[None, :, :]) ** 2).sum(axis=2))
-                total = gap @ belongs
-                here = np.arange(len(rows))
-                inside = total[here, own] / np.maximum(count[own] - 1, 1)
-                mean = total / count
-                mean[here, own] = np.inf
-                outside = mean.min(axis=1)
-                larger = np.maximum(inside, outside)
-                value = np.where((count[own] > 1) & (larger > 0), (outside - inside) / np.where(larger > 0, larger, 1), 0.0)
-                parts.append(rows.assign(silhouette=value))
-            yield pd.concat(parts) if parts else batch.assign(silhouette=pd.Series(dtype=float))
-
-    schema = T.StructType(df.schema.fields + [T.StructField("silhouette", T.DoubleType())])
-    return df.mapInPandas(score, schema)
-
-
-def silhouette(df: DataFrame, columns: list[str], label: str, rows: int | None = None) -> float:
-    return silhouette_per_row(df, columns, label, rows).agg(F.avg("silhouette")).first()[0]
+    rows = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+    n_blocks = max(1, -(-rows.count() // BLOCK))
+    point = F.array(*[F.col(c).cast("double") for c in columns])
+    block = F.pmod(F.xxhash64("_id"), F.lit(n_blocks)).cast("int")
+    packed = rows.select(block.alias("_block"), F.col(label).alias("_other"), point.alias("_p")).groupBy("_block", "_other").agg(F.collect_list("_p").alias("_points"))
+    each = rows.select("_id", F.col(label).alias("_own"), point.alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_block"))
+
+    def gap(p):
+        squares = F.zip_with(F.col("_x"), p, lambda u, v: (u - v) * (u - v))
+        return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda t, v: t + v))
+
+    total = F.aggregate(F.transform("_points", gap), F.lit(0.0), lambda t, v: t + v)
+    sums = each.join(packed, "_block").groupBy("_id", "_own", "_other").agg(F.sum(total).alias("_t"), F.sum(F.size("_points")).alias("_n"))
+    same = F.col("_other") == F.col("_own")
+    measured = sums.groupBy("_id").agg(
+        F.max(F.when(same, F.col("_t") / F.greatest(F.col("_n") - 1, F.lit(1)))).alias("_in"),
+        F.max(F.when(same, F.col("_n"))).alias("_size"),
+        F.min(F.when(~same, F.col("_t") / F.col("_n"))).alias("_out"),
+    )
+    larger = F.greatest("_in", "_out")
+    value = F.when((F.col("_size") > 1) & (larger > 0), (F.col("_out") - F.col("_in")) / larger).otherwise(0.0)
+    return rows.join(measured, "_id").select(*df.columns, value.alias("silhouette"))
+
+
+def silhouette(df: DataFrame, columns: list[str], label: str) -> float:
+    return silhouette_per_row(df, columns, label).agg(F.avg("silhouette")).first()[0]
 
 
 def _fit(data: DataFrame, k: int, seed: int, restarts: int) -> tuple[DataFrame, int]:
@@ -82,7 +69,7 @@ def _fit(data: DataFrame, k: int, seed: int, restarts: int) -> tuple[DataFrame,
 
 
 def choose_clusters(
-    risk: DataFrame, columns: list[str], max_k: int = 8, seed: int = 42, restarts: int = 1
+    risk: DataFrame, columns: list[str], max_k: int = 8, seed: int = 42, restarts: int = 20
 ) -> tuple[DataFrame, DataFrame]:
     """(k evaluation, labelled rows); both empty but typed when there is too little data."""
     spark = risk.sparkSession
@@ -103,7 +90,7 @@ def choose_clusters(
         fitted, used = _fit(features, k, seed, restarts)
         if used >= 2:
             labelled = cut_lineage(fitted.drop("features"))
-            found.append((k, silhouette(labelled, z, "cluster", n), labelled))
+            found.append((k, silhouette(labelled, z, "cluster"), labelled))
     if not found:
         return no_eval, empty
     evaluation = spark.createDataFrame([(k, s) for k, s, _ in found], "k int, silhouette double")

@@ -17,6 +17,7 @@ from wardscope.functions import geodesy as G
 from wardscope.functions.scalars import hours, instant, number
 from wardscope.operators.dedupe import keep_first, keep_last
 from wardscope.operators.ordering import top_per_group
+from wardscope.session import cut_lineage
 
 LEVELS = list(range(0, G.FINEST_LEVEL + 1, 2))
 HALF_WORLD_KM = 20_040.0
@@ -98,16 +99,6 @@ def within_radius(origins: DataFrame, facilities: DataFrame, radius: Column, str
     return pairs.filter(near | (F.col("_radius") >= HALF_WORLD_KM)).drop("_cell", "_level", "_radius")
 
 
-def one_per_spot(facilities: DataFrame) -> DataFrame:
-    """The smallest id of each destination point.
-
-    A route depends on its end points only, so facilities on one spot share a
-    route, and the first of them in rank order is the smallest id.  Searching
-    over spots gives the same best road with one row per route.
-    """
-    return facilities.groupBy("dest_lat", "dest_lon").agg(F.min("entity_id").alias("entity_id")).select("entity_id", "dest_lat", "dest_lon")
-
-
 def nearest_candidates(origins: DataFrame, facilities: DataFrame, k: int = V.ROUTE_INITIAL_CANDIDATES) -> DataFrame:
     """The k nearest facilities of each origin by straight line, ties by id.
 
@@ -134,15 +125,25 @@ def evaluated_candidates(
     is evaluated while its straight distance is below the best road before it.
     The facilities inside the first best road are a superset of those, and
     because straight distances only grow and the best road only falls, the
-    running minimum decides each of them exactly.
+    running minimum decides each of them exactly.  An origin whose first
+    candidates have no road is searched again with four times as many until one
+    has; only an origin that no facility can be reached from meets them all,
+    which is what its proof takes.
     """
     if not 1 <= initial <= 30:
         raise ValueError("initial candidates must be 1..30")
-    first = attach_route(nearest_candidates(origins, facilities, initial).drop("rank"))
     valid = valid_route()
-    best = first.groupBy("region_key").agg(
-        F.min(F.when(valid, F.col("road_km"))).alias("_best"), F.max("straight_km").alias("_seen")
-    )
+
+    def found(some: DataFrame, k: int) -> DataFrame:
+        rows = attach_route(nearest_candidates(some, facilities, k).drop("rank"))
+        return cut_lineage(rows.groupBy("region_key").agg(F.min(F.when(valid, F.col("road_km"))).alias("_best"), F.max("straight_km").alias("_seen")))
+
+    k, total = initial, facilities.count()
+    best = found(origins, k)
+    while k < total and not (open_rows := best.filter("_best is null")).isEmpty():
+        k *= 4
+        again = found(origins.join(open_rows.select("region_key"), "region_key", "left_semi"), k)
+        best = best.filter("_best is not null").unionByName(again)
     reach = origins.join(best, "region_key").withColumn(
         "_circle", F.greatest(F.coalesce("_best", F.lit(HALF_WORLD_KM)), F.col("_seen") * (1 + 1e-12) + 1e-9)
     )

@@ -51,11 +51,16 @@ def ring_measure(ring: Column) -> Column:
     )
 
 
+def _holes(rings: Column) -> Column:
+    """All rings but the first, however many."""
+    return F.filter(rings, lambda _, i: i > 0)
+
+
 def polygon_measure(rings: Column) -> Column:
     """struct(area, x, y) of the outer ring minus its holes."""
     parts = F.transform(rings, ring_measure)
     outer = F.get(parts, 0)
-    holes = F.slice(parts, 2, 1_000_000)
+    holes = _holes(parts)
     net = outer["area"] - _sum(F.transform(holes, lambda h: h["area"]))
     x = outer["area"] * outer["x"] - _sum(F.transform(holes, lambda h: h["area"] * h["x"]))
     y = outer["area"] * outer["y"] - _sum(F.transform(holes, lambda h: h["area"] * h["y"]))
@@ -79,7 +84,7 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
 
 
 def in_polygon(x: Column, y: Column, rings: Column) -> Column:
-    in_hole = F.exists(F.slice(rings, 2, 1_000_000), lambda h: in_ring(x, y, h))
+    in_hole = F.exists(_holes(rings), lambda h: in_ring(x, y, h))
     return F.coalesce((F.size(rings) > 0) & in_ring(x, y, F.get(rings, 0)) & ~in_hole, F.lit(False))
 
 

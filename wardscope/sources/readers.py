@@ -48,8 +48,8 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def read_csv(spark: SparkSession, path, required: list[str] | None = None, strict: bool = False) -> DataFrame:
-    """All-text CSV by header (a byte-order mark is dropped); ``strict`` fails on a malformed line."""
+def read_csv(spark: SparkSession, path, required: list[str] | None = None, strict: bool = True) -> DataFrame:
+    """All-text CSV by header (a byte-order mark is dropped); a malformed line is an error unless ``strict`` is off."""
     reader = spark.read.option("header", True).option("inferSchema", False).option("ignoreLeadingWhiteSpace", False)
     df = reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").csv(path)
     if required:
@@ -84,7 +84,7 @@ def read_ledgers(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFr
 
 def read_registry(spark: SparkSession, path) -> DataFrame:
     """Registry resident file in the Korean code page, all text."""
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the scan looks it up when it runs
     return spark.read.option("header", True).option("encoding", KOREAN_CHARSET).csv(path)
 
 
@@ -106,7 +106,9 @@ def newest_file(spark: SparkSession, folder: str, pattern: str) -> str | None:
     """Last path by name among those matching a glob."""
     try:
         files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    except AnalysisException:
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error.getCondition()):
+            raise
         return None
     return files.agg(F.max("path")).first()[0]
 
@@ -170,8 +172,8 @@ MASTER_ITEM = T.StructType(
 )
 
 
-def master_rows(items: DataFrame) -> DataFrame:
-    """Typed master rows from raw list records, one per id."""
+def master_rows(items: DataFrame, received: str | None = None) -> DataFrame:
+    """Typed master rows from raw list records, the first received per id (by the ``received`` number, else by name)."""
     def text(name: str) -> Column:
         return F.nullif(F.coalesce(F.col(name), F.lit("")), F.lit(""))
 
@@ -187,8 +189,9 @@ def master_rows(items: DataFrame) -> DataFrame:
         F.coalesce(text("dutyTel3"), F.col("dutyTel1"), F.lit("")).alias("phone"),
         province.alias("province"), district.alias("district"),
         (text("wgs84Lat").isNull() | text("wgs84Lon").isNull()).alias("coord_missing"),
+        (F.col(received) if received else F.lit(None).cast("bigint")).alias("_received"),
     ).filter("entity_id is not null")
-    return keep_first(rows, ["entity_id"], ["name", "address"])
+    return keep_first(rows, ["entity_id"], ["_received", "name", "address"]).drop("_received")
 
 
 def feed_rows(items: DataFrame) -> DataFrame:
