@@ -13,7 +13,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardscope.llm import contamination, graph, language, packing, passages, quality, repeats, secret_scan, simhash, token_files, tokens, topk
+from wardscope.llm import contamination, language, packing, passages, quality, repeats, secret_scan, simhash, token_files, tokens, topk
+from wardscope.operators.components import components
 
 FOLDER = "/root/testdata/sf0.01"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -104,7 +105,7 @@ def test_links_lose_nothing(spark, monkeypatch, crowd):
             values.add(x)
     values = [x - 2**64 if x >= 2**63 else x for x in values] + [0, 1, 7]
     values = sorted(set(values))
-    roots = {r.node: r.root for r in graph.components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
+    roots = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))).collect()}
     parent = {v: v for v in values}
 
     def find(v):
@@ -122,7 +123,7 @@ def test_links_lose_nothing(spark, monkeypatch, crowd):
 
 def test_components_on_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(200, 200)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(1, 41)} | {k: 100 for k in range(101, 140)}
 
 
