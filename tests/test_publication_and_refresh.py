@@ -134,3 +134,13 @@ def test_refresh_publishes_a_checked_version(spark, tmp_path):
     with pytest.raises(RuntimeError, match="risk_floor"):
         refresh.publish_refresh(spark, inputs, NOW, str(tmp_path / "out"), "8", refresh.Limits(minimum_live=20, complete_regions=13, max_clusters=2))
     assert sinks.current_version(spark, str(tmp_path / "out")) == root
+    with pytest.raises(ValueError, match="already"):
+        sinks.publish(spark, {}, inputs.master.limit(0), str(tmp_path / "out"), "7")
+    # seeded defects in what was written are all named
+    read = {n: spark.read.parquet(f"{root}/{n}") for n in ("snapshot", "risk", "missingness", "clusters", "cluster_evaluation", "component_access")}
+    limits = refresh.Limits(minimum_live=20, complete_regions=12, entities=24, regions=12)
+    inputs.master, inputs.residents = m, inputs.residents.withColumn("admin_code", F.lit("1")).withColumn("period", F.lit("202607"))
+    inputs.match_staffing = inputs.staffing.withColumn("quality", F.lit(V.QUALITY_OK))
+    broken = {**read, "clusters": read["clusters"].limit(3), "missingness": read["missingness"].limit(0), "snapshot": read["snapshot"].limit(21)}
+    assert names(refresh.gate(read, inputs, limits)) == {"resident_code", "resident_code_unique"}
+    assert names(refresh.gate(broken, inputs, limits)) >= {"serving_clustered", "snapshot_population", "resident_code"}

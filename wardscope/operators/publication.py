@@ -120,6 +120,7 @@ def match_contract(
         C.holds(excluded, ID, F.col("catalog_id").isNull() & F.col("specialists").isNull(), "excluded_carries_values"),
         C.unique(review, ["entity_id", "rank"], "review_rank"),
         C.prefix_ranks(review, ID, "rank", "review_prefix"),
+        C.same_set(review.select(*ID).distinct(), detail.filter(state != V.STATE_MANUAL).select(*ID), ID, "review_population"),
         C.disjoint(review, manual, ID, "review_of_manual"),
         C.equal_tables(selected, automatic, ID, ["catalog_id"], ["match_score"], "selected_is_automatic", 1e-12),
         C.holds(selected, ID, F.col("gate_passed") & F.col("facility_matches"), "selected_without_gate"),

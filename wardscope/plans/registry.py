@@ -24,15 +24,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-_SCHEMAS: dict[str, StructType] = {}
+# schema by session, path and file version (names, sizes and times as the listing gives them)
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
+def _version(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    listed = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(at)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in listed))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A driver table; its schema is looked up once per path, which saves a footer job per use."""
+    """A driver table; its schema is looked up once per session and file version, which saves a footer job per use."""
     path = f"{folder}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    key = (id(spark), path, _version(spark, path))
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 def r6(column: Column | str, name: str | None = None) -> Column:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -34,18 +37,19 @@ def build_session(app: str = "wardscope", master: str | None = None, **conf: str
 def shared_root(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A local master may fall back to a temporary folder; on a cluster the
-    setting is required, since a machine-local path would be lost together
-    with its executor.
+    Where it is unset, a local master sets a folder of its own that goes when the
+    process ends; on a cluster the setting is required, since a machine-local
+    path would be lost together with its executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     root = getattr(shared_root, "_local", None)
     if root is None:
         root = tempfile.mkdtemp(prefix="wardscope-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         shared_root._local = root
     return root
 
