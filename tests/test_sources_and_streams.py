@@ -134,8 +134,8 @@ def test_stream_history_has_each_key_once(spark, tmp_path):
 
 def test_last_known_survives_a_late_row(spark, tmp_path):
     stream = arrivals(spark, str(tmp_path / "in"), BATCHES)
-    out = S.run_available(S.last_known_state(stream, "entity_id", ["ts"], ["ts", "value"]), "l", "update", location=str(tmp_path / "o"))
-    assert rows(S.latest_state(spark, out, "entity_id"), "entity_id", "value", "n_seen") == [("a", 3.0, 4), ("b", 2.0, 2)]
+    out = S.run_available(S.last_known_state(stream, "entity_id", ["ts"], ["ts", "value"]), "l", "update", location=str(tmp_path / "o"), newest_of=["entity_id"])
+    assert rows(S.latest_state(spark, out), "entity_id", "value", "n_seen") == [("a", 3.0, 4), ("b", 2.0, 2)]
 
 
 def test_hourly_stream_equals_batch(spark, tmp_path):
@@ -165,5 +165,27 @@ def test_running_deadline_and_partial_failure(spark, tmp_path):
         return batch.join(failed, "entity_id", "left_anti").withColumn("run", F.lit(batch_id))
 
     again = S.read_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], EVENT).schema, files_per_batch=1)
-    out = S.refresh_batches(again, "r", advance, location=str(tmp_path / "p"))
+    out = S.run_available(again, "r", "append", advance, location=str(tmp_path / "p"))
     assert rows(S.read_output(spark, out).groupBy("entity_id").count()) == [("a", 4)]
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
+    for k in range(len(BATCHES)):
+        arrivals(spark, str(tmp_path / f"in/{k}"), BATCHES[k : k + 1])
+        stream = S.read_stream(spark, f"{tmp_path}/in/*/*", spark.createDataFrame([], EVENT).schema, files_per_batch=1)
+        state = S.last_known_state(stream, "entity_id", ["ts"], ["ts", "value"])
+        out = S.run_available(state, "l", "update", location=str(tmp_path / "o"), newest_of=["entity_id"])
+    assert rows(S.latest_state(spark, out), "entity_id", "value", "n_seen") == [("a", 3.0, 4), ("b", 2.0, 2)]
+
+
+def test_rows_behind_the_watermark_are_left_out(spark, tmp_path):
+    day = [[("a", "2026-09-01T00:10:00", 1.0)], [("a", "2026-09-09T00:10:00", 2.0)], [("a", "2026-09-09T00:15:00", 0.0)], [("a", "2026-09-01T00:20:00", 5.0), ("a", "2026-09-09T00:20:00", 4.0)]]
+    stream = arrivals(spark, str(tmp_path / "in"), day)
+    out = S.run_available(S.hourly_means(stream, "ts", "value", "1 day"), "m", "update", location=str(tmp_path / "o"), newest_of=["hour_start"])
+    assert rows(S.latest_state(spark, out), "value_sum", "value_count") == [(1.0, 1), (6.0, 3)]  # rows are told late by the watermark of the batch before
+
+
+def test_misses_since_the_last_sighting(spark):
+    seen = spark.createDataFrame([("a", 1), ("b", 3)], "entity_id string, last_seen int")
+    polls = spark.createDataFrame([(1,), (2,), (3,)], "polled_at int")
+    assert rows(S.misses_since(seen, polls, "entity_id", most=1)) == [("a", 2, 2, 3, True)]

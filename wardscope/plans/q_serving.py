@@ -143,8 +143,20 @@ EVENT_SCHEMA = T.StructType(
 )
 
 
+SLICES = 4
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return S.utc_event_time(S.read_stream(spark, sf, EVENT_SCHEMA, "events.parquet"), "ts")
+    """Events as four arrivals, each a micro-batch; rows of the last half day of a slice may come one slice late."""
+    events = spark.read.schema(EVENT_SCHEMA).parquet(f"{sf}/events.parquet")
+    span = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    at, first = F.col("ts").cast("timestamp").cast("double"), F.lit(span["a"]).cast("timestamp").cast("double")
+    width = (F.lit(span["b"]).cast("timestamp").cast("double") - first) / SLICES
+    place = (at - first) / width
+    late = (F.col("event_id") % 5 == 0) & (((F.floor(place) + 1) - place) * width <= 12 * 3600)
+    arrival = F.least(F.floor(place) + late.cast("int"), F.lit(SLICES - 1))
+    folder, files = S.land_in_slices(events, arrival, SLICES, "events")
+    return S.utc_event_time(S.read_stream(spark, folder, EVENT_SCHEMA, files_per_batch=files), "ts")
 
 
 @query(
@@ -153,7 +165,7 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     rows = event_stream(spark, sf).select("user_id", F.date_trunc("hour", "ts").alias("hour"))
-    out = S.run_available(S.unique_history(rows, ["user_id", "hour"], "hour", "90 days"), "dedup")
+    out = S.run_available(S.unique_history(rows, ["user_id", "hour"], "hour", "2 days"), "dedup")
     return S.read_output(spark, out).select("user_id", Q.stamp("hour"))
 
 
@@ -164,11 +176,9 @@ WITH h AS (SELECT isodow(ts + INTERVAL 9 HOUR) - 1 AS day_no, hour(ts + INTERVAL
 SELECT day_no, hour, round(avg(value), 6) AS mean_value FROM h GROUP BY 1, 2""",
 )
 def stream_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    # complete mode, so that the newest window is written as well
-    out = S.run_available(S.hourly_means(event_stream(spark, sf), "ts", "value"), "hourly", "complete")
-    newest = S.read_output(spark, out)
-    last = newest.agg(F.max("batch")).first()[0]
-    return S.heatmap_from_hours(newest.filter(F.col("batch") == last)).select("day_no", "hour", r6("mean_value"))
+    # update mode: windows that are still open are written too, closed ones leave the state by the watermark
+    out = S.run_available(S.hourly_means(event_stream(spark, sf), "ts", "value", "1 day"), "hourly", "update", newest_of=["hour_start"])
+    return S.heatmap_from_hours(S.latest_state(spark, out)).select("day_no", "hour", r6("mean_value"))
 
 
 @query(
@@ -179,8 +189,8 @@ SELECT user_id, event_id, round(value, 6) AS value, strftime(ts, '%Y-%m-%d %H:%M
 )
 def stream_last_known(spark: SparkSession, sf: str) -> DataFrame:
     state = S.last_known_state(event_stream(spark, sf), "user_id", ["ts", "event_id"], ["ts", "event_id", "value"])
-    out = S.run_available(state, "lastknown", "update")
-    return S.latest_state(spark, out, "user_id").select("user_id", "event_id", r6("value"), Q.stamp("ts"), "n_seen")
+    out = S.run_available(state, "lastknown", "update", newest_of=["user_id"])
+    return S.latest_state(spark, out).select("user_id", "event_id", r6("value"), Q.stamp("ts"), "n_seen")
 
 
 @query(
@@ -195,15 +205,11 @@ FROM polls p JOIN last l ON l.user_id = p.user_id WHERE p.day > last_seen GROUP
 def omission_counters(spark: SparkSession, sf: str) -> DataFrame:
     from wardscope.plans.registry import table
 
-    days = table(spark, sf, "events").select("user_id", F.to_date("ts").alias("day")).distinct()
-    # the poll calendar is one array of days; each entity row expands to its own polls
-    calendar = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.sequence("a", "b")).scalar()
-    members = days.select("user_id").distinct()
-    polls = members.select("user_id", F.explode(calendar).alias("day"))
-    marked = polls.join(days.withColumn("_p", F.lit(True)), ["user_id", "day"], "left").select(
-        "user_id", F.col("day").alias("polled_at"), F.coalesce("_p", F.lit(False)).alias("present")
-    )
-    counted = S.miss_counters(marked, "user_id")
+    # the days of the table are the polls; the stream keeps the last sighting of each entity
+    polls = table(spark, sf, "events").select(F.to_date("ts").alias("polled_at")).distinct()
+    stream = event_stream(spark, sf).select("user_id", F.to_date("ts").alias("day"))
+    out = S.run_available(S.last_seen(stream, "user_id", "day"), "misses", "update", newest_of=["user_id"])
+    counted = S.misses_since(S.latest_state(spark, out), polls, "user_id")
     return counted.select(
         "user_id", "consecutive_misses", F.date_format("first_missing_at", "yyyy-MM-dd").alias("first_missing"), F.date_format("last_missing_at", "yyyy-MM-dd").alias("last_missing")
     )

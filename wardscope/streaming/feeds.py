@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardscope.functions import fixed_values as V
-from wardscope.operators.dedupe import keep_last
-from wardscope.session import fresh_path
+from wardscope.session import cut_lineage, fresh_path
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, name_filter: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -37,12 +36,15 @@ def utc_event_time(df: DataFrame, column: str) -> DataFrame:
 
 def run_available(
     stream: DataFrame, label: str, mode: str = "append", shape: Callable[[DataFrame, int], DataFrame] | None = None,
-    location: str | None = None,
+    location: str | None = None, newest_of: list[str] | None = None,
 ) -> str:
     """Process everything that has arrived, then stop; returns the output folder.
 
     Every micro-batch writes ``batch=<id>``; writing the same batch twice
-    replaces it, which makes the sink exactly-once.
+    replaces it, which makes the sink exactly-once.  With ``newest_of`` a batch
+    folder holds the whole state up to it, one row per those keys, so a reader
+    needs the newest folder only.  A run with the same ``location`` goes on where
+    the last one stopped.
     """
     spark = stream.sparkSession
     root = location or fresh_path(spark, label)
@@ -50,6 +52,10 @@ def run_available(
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = shape(batch, batch_id) if shape else batch
+        if newest_of and batch_id:
+            rows = cut_lineage(rows)  # the state is advanced once, whoever reads the rows
+            before = spark.read.schema(rows.schema).parquet(f"{out}/batch={batch_id - 1}")
+            rows = before.join(rows.select(*newest_of), newest_of, "left_anti").unionByName(rows)
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
@@ -82,10 +88,22 @@ def last_known_state(stream: DataFrame, key: str, order: list[str], values: list
     ).select(key, "n_seen", "row.*")
 
 
-def latest_state(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Newest emitted state per entity over all micro-batches."""
+def latest_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state after the newest micro-batch of a run with ``newest_of``."""
     log = read_output(spark, path)
-    return keep_last(log, [key], ["batch"]).drop("batch")
+    newest = log.agg(F.max("batch")).first()[0]
+    return log.filter(F.col("batch") == newest).drop("batch")
+
+
+def land_in_slices(rows: DataFrame, arrival: Column, slices: int, label: str) -> tuple[str, int]:
+    """Write rows as files that arrive in order of ``arrival`` (0 to slices - 1); (folder, files of the largest slice)."""
+    spark = rows.sparkSession
+    root = fresh_path(spark, label)
+    most = 1
+    for k in range(slices):
+        rows.filter(arrival == k).write.parquet(f"{root}/slice={k}")
+        most = max(most, len(spark.read.schema(rows.schema).parquet(f"{root}/slice={k}").inputFiles()))
+    return f"{root}/*", most
 
 
 def hourly_means(stream: DataFrame, event_time: str, value: str, delay: str = "1 hour") -> DataFrame:
@@ -107,6 +125,27 @@ def heatmap_from_hours(hours: DataFrame, zone: str = V.SOURCE_ZONE) -> DataFrame
     )
 
 
+def last_seen(stream: DataFrame, key: str, at: str) -> DataFrame:
+    """Running last sighting per entity, kept in the state store (update mode)."""
+    return stream.groupBy(key).agg(F.max(at).alias("last_seen"))
+
+
+def misses_since(seen: DataFrame, polls: DataFrame, key: str, at: str = "polled_at", most: int | None = None) -> DataFrame:
+    """Polls after each entity's last sighting; beyond ``most`` misses in a row the entity is marked for review.
+
+    Polls are few (one per collection), so their times enter as one array and
+    no entity is expanded to its polls.
+    """
+    times = polls.agg(F.array_sort(F.collect_set(at)).alias("t")).scalar()
+    after = F.filter(F.col("_polls"), lambda t: t > F.col("last_seen"))
+    rows = seen.withColumn("_polls", times).withColumn("_after", after).filter(F.size("_after") > 0)
+    count = F.size("_after").cast("bigint")
+    return rows.select(
+        key, count.alias("consecutive_misses"), F.element_at("_after", 1).alias("first_missing_at"), F.element_at("_after", -1).alias("last_missing_at"),
+        (count > most if most is not None else F.lit(False)).alias("expired"),
+    )
+
+
 def miss_counters(polls: DataFrame, members: str = "entity_id", present: str = "present", at: str = "polled_at") -> DataFrame:
     """Misses in a row per entity up to its newest poll, with the first miss time.
 
@@ -126,10 +165,3 @@ def earliest_deadline(stream: DataFrame, source_at: str, max_age_hours: float =
     from wardscope.functions.scalars import hours
 
     return stream.agg(F.min(F.col(source_at) + hours(max_age_hours)).alias("deadline_at"))
-
-
-def refresh_batches(
-    stream: DataFrame, label: str, refresh: Callable[[DataFrame, int], DataFrame], location: str | None = None
-) -> str:
-    """Run the incremental refresh once per micro-batch (partial failures are the caller's key set)."""
-    return run_available(stream, label, "append", refresh, location)
