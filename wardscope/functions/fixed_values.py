@@ -181,7 +181,6 @@ NEXT_ACTIONS = {
     "HIRA_MATCH_DEFERRED": "HIRA 공식 상세에서 이름·주소·전화·요양기호 수동검증",
     "REGION_COMPONENT_MISSING": "소속 병원 결측 해소 후 beds → full 순서로 재실행",
 }
-MISSING_ALL_BED_FIELDS = "가용병상|전체병상|포화율"
 MISSING_FIELDS = {
     "BED_API_NO_RESPONSE": "가용병상|전체병상|포화율",
     "BED_SOURCE_STALE": "가용병상|전체병상|포화율",

@@ -6,6 +6,8 @@ or adaptive execution has measured it below ``autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,19 @@ def outer_with_origin(left: DataFrame, right: DataFrame, keys: list[str], origin
     return a.join(b, keys, "full").withColumn(origin, side).drop("_in_left", "_in_right")
 
 
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left", check: str = "join_key") -> tuple[DataFrame, DataFrame]:
+    """(joined rows, violations): keys that repeat on a side, which would multiply rows.
+
+    Violations name the side; a caller that needs the guarantee refuses to go on
+    unless there are none.  Both sides are counted before anything is shuffled.
+    """
+    from wardscope.operators import contract as C
+
+    present = [reduce(lambda d, k: d.filter(F.col(k).isNotNull()), keys, side).select(*keys) for side in (left, right)]
+    violations = C.unique(present[0], keys, f"{check}:left").unionByName(C.unique(present[1], keys, f"{check}:right"))
+    return left.join(right, keys, how), violations
+
+
 def keep_known(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return df.join(keys.select(*on), on, "left_semi")
 

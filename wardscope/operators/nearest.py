@@ -234,6 +234,21 @@ def reusable_routes(stored: list[DataFrame], reference: Column, ttl_days: int =
     return keep_last(union, ["route_key"], ["_turn", "collected_ts", "road_km", "eta_min"]).drop("_turn")
 
 
+def eligible_facilities(facilities: DataFrame, grade: str = "grade", pattern: str = V.ROUTE_TARGET_PATTERN) -> DataFrame:
+    """Facilities that may be a destination, by their grade; one without a grade may not."""
+    return facilities.filter(F.coalesce(F.col(grade).cast("string").rlike(pattern), F.lit(False)))
+
+
+def attach_results(tasks: DataFrame, cache: DataFrame) -> DataFrame:
+    """Route results by request key; a task without one keeps its row with empty fields.
+
+    ``cache`` has one row per key (``reusable_routes``).
+    """
+    fields = [c for c in ("road_km", "eta_min", "route_code", "route_status", "collected_ts") if c in cache.columns]
+    kept = [c for c in tasks.columns if c not in fields]
+    return tasks.select(*kept).join(cache.select("route_key", *fields), "route_key", "left").select(*kept, *fields)
+
+
 def pending_routes(tasks: DataFrame, cache: DataFrame) -> DataFrame:
     """Distinct route keys that still have to be looked up."""
     return tasks.select("route_key").distinct().join(cache.select("route_key"), "route_key", "left_anti")

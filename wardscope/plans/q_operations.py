@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
+from wardscope.operators import joins as J
 from wardscope.operators import matching as M
 from wardscope.operators import nearest as R
 from wardscope.operators import population as P
@@ -188,3 +189,47 @@ def rebuild_identity(spark: SparkSession, sf: str) -> DataFrame:
         "lat", F.col("lat") + F.when(k % 13 == 0, 1e-6).otherwise(1e-12)
     )
     return M.rebuild_violations(stored, master).select("key", "detail")
+
+
+@query(
+    "q79_eligible_facilities",
+    with_ctes(B.PLACES_SQL, B.MASTER_SQL, select="SELECT entity_id, grade FROM master WHERE regexp_matches(grade, 'BUILD|^MACHINERY$')"),
+)
+def eligible_facilities(spark: SparkSession, sf: str) -> DataFrame:
+    return R.eligible_facilities(B.master(spark, sf), pattern="BUILD|^MACHINERY$").select("entity_id", "grade")
+
+
+@query(
+    "q80_route_lookup",
+    """
+WITH cache AS (SELECT o_custkey, max(o_orderdate) AS t, max_by(o_totalprice, (o_orderdate, o_totalprice)) AS road FROM orders
+  WHERE o_orderstatus = 'F' AND o_orderdate <= TIMESTAMP '1998-01-15 00:00:00' AND o_orderdate >= TIMESTAMP '1998-01-15 00:00:00' - INTERVAL 900 DAY GROUP BY 1)
+SELECT o_orderkey, 'r' || o.o_custkey AS route_key, round(road, 6) AS road_km, CASE WHEN road IS NOT NULL THEN '성공' END AS route_status
+FROM orders o LEFT JOIN cache c ON c.o_custkey = o.o_custkey""",
+)
+def route_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("route_key")
+    orders = table(spark, sf, "orders")
+    stored = orders.select(
+        key, F.col("o_totalprice").alias("road_km"), F.lit(1.0).alias("eta_min"), F.lit(0).alias("route_code"),
+        F.when(F.col("o_orderstatus") == "F", V.ROUTE_OK).otherwise("경로오류:1").alias("route_status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("collected_ts"),
+    )
+    cache = R.reusable_routes([stored], _now(), 900)
+    return R.attach_results(orders.select("o_orderkey", key), cache).select("o_orderkey", "route_key", F.round("road_km", 6).alias("road_km"), "route_status")
+
+
+@query(
+    "q81_one_to_one_join",
+    """
+SELECT 'orders:left' AS "check", o_custkey::VARCHAR AS key, count(*)::VARCHAR AS detail FROM orders GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'orders:right', c_nationkey::VARCHAR, count(*)::VARCHAR FROM customer GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT 'joined', NULL, count(*)::VARCHAR FROM orders o LEFT JOIN customer c ON o_custkey = c_nationkey""",
+)
+def one_to_one_join(spark: SparkSession, sf: str) -> DataFrame:
+    """A join on the wrong column: both sides repeat the key, and the contract says so."""
+    left = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("bigint").alias("key"))
+    right = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("bigint").alias("key"))
+    joined, violations = J.one_to_one(left, right, ["key"], check="orders")
+    total = joined.agg(F.count(F.lit(1)).cast("string").alias("detail")).select(F.lit("joined").alias("check"), F.lit(None).cast("string").alias("key"), "detail")
+    return violations.select("check", "key", "detail").unionByName(total)
