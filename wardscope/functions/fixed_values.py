@@ -204,3 +204,23 @@ MERGED_PROVINCE = "전남광주통합특별시"
 MERGED_CITY = "광주광역시"
 MERGED_RURAL = "전라남도"
 MERGED_CITY_DISTRICTS = ["동구", "서구", "남구", "북구", "광산구"]
+
+# region sentence: fixed wording between district, risk, grade, first factor, its score, second factor, its score
+SENTENCE_TEXTS = ["의 종합 위험도는 ", "점 (", ")입니다. 네 요인 중 ", "(", "점)과 ", "(", "점)이 가장 큰 영향을 주고 있어"]
+SENTENCE_LABEL = [", ", " 지역으로 분석됩니다."]
+SENTENCE_END = "입니다."
+
+# road probes: fixed compass moves (east, north) in steps of one kilometre, and parts of the way to the nearest facility
+PROBE_MOVES = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
+PROBE_PARTS = [0.25, 0.5, 0.75]
+KM_PER_LATITUDE = 111.32
+LEAST_LONGITUDE_COSINE = 0.2
+
+# pair score: fixed weights of the evidence, and distance steps (up to km, points)
+PAIR_WEIGHTS = {
+    "name_similarity": 0.40, "name_exact": 0.17, "name_contains": 0.12, "address_similarity": 0.14, "road_matches": 0.16,
+    "address_exact": 0.12, "phone_matches": 0.10, "district_matches": 0.05, "province_matches": 0.02,
+}
+PAIR_DISTANCES = [(0.25, 0.18), (0.75, 0.15), (2.0, 0.10), (5.0, 0.05)]
+OTHER_KIND_FACTOR = 0.20
+FOREIGN_FACTOR = 0.45

@@ -286,12 +286,11 @@ def probe_points(origins: DataFrame, local: DataFrame) -> DataFrame:
         ["region_key"], [F.col("straight_km"), F.col("entity_id")],
     ).select("region_key", "dest_lat", "dest_lon")
     lat, lon = F.col("origin_lat"), F.col("origin_lon")
-    up = F.lit(1 / 111.32)
-    side = 1 / (111.32 * F.greatest(F.cos(F.radians(lat)), F.lit(0.2)))
-    moves = [(1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1)]
-    points = [(lat, lon)] + [(lat + dy * up, lon + dx * side) for dx, dy in moves]
+    km_north = 1 / V.KM_PER_LATITUDE
+    km_east = 1 / (V.KM_PER_LATITUDE * F.greatest(F.cos(F.radians(lat)), F.lit(V.LEAST_LONGITUDE_COSINE)))
+    points = [(lat + north * km_north, lon + east * km_east) for east, north in [(0, 0), *V.PROBE_MOVES]]
     points += [
-        (lat + (F.col("dest_lat") - lat) * part, lon + (F.col("dest_lon") - lon) * part) for part in (0.25, 0.5, 0.75)
+        (lat + (F.col("dest_lat") - lat) * part, lon + (F.col("dest_lon") - lon) * part) for part in V.PROBE_PARTS
     ]
     structs = F.array(
         *[F.struct(F.lit(i).alias("turn"), a.alias("lat"), b.alias("lon")) for i, (a, b) in enumerate(points)]

@@ -111,8 +111,8 @@ def grade(components: DataFrame, weights: dict[str, float] | None = None) -> Dat
     )
 
 
-def top_factors(names: dict[str, str], limit: int = 2) -> Column:
-    """Display names of the highest components of a row, ties in the given order."""
+def top_factors(names: dict[str, str], limit: int = 2, scores: bool = False) -> Column:
+    """Display names (``scores``: with their scores) of the highest components of a row, ties in the given order."""
     entries = F.array(
         *[
             F.struct(F.col(c).alias("score"), F.lit(-i).alias("turn"), F.lit(label).alias("label"))
@@ -120,7 +120,8 @@ def top_factors(names: dict[str, str], limit: int = 2) -> Column:
         ]
     )
     present = F.filter(entries, lambda e: e["score"].isNotNull())
-    return F.transform(F.slice(F.sort_array(present, asc=False), 1, limit), lambda e: e["label"])
+    best = F.slice(F.sort_array(present, asc=False), 1, limit)
+    return F.transform(best, lambda e: F.struct(e["label"].alias("label"), e["score"].alias("score")) if scores else e["label"])
 
 
 def contributions(risk: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

@@ -170,14 +170,16 @@ def content_version(df: DataFrame, identifier: str, length: int = 20) -> DataFra
 
 
 def region_sentence(risk: DataFrame) -> DataFrame:
-    """One sentence per complete region: score, grade, two leading factors, cluster label if known."""
-    factors = top_factors(V.COMPONENT_SHORT)
+    """One sentence per complete region: score, grade, two leading factors with their scores, cluster label if known."""
+    factors = top_factors(V.COMPONENT_SHORT, scores=True)
     label = F.col("cluster_label") if "cluster_label" in risk.columns else F.lit(None).cast("string")
-    text = F.concat(
-        F.col("district"), F.lit("의 종합 위험도는 "), F.format_string("%.1f", F.col("risk")), F.lit("점 ("),
-        F.col("risk_grade_name"), F.lit(")입니다. 네 요인 중 "), F.get(factors, 0), F.lit("과 "), F.get(factors, 1),
-        F.lit("이 가장 큰 영향을 주고 있어"), F.coalesce(F.concat(F.lit(", "), label, F.lit(" 지역으로 분석됩니다.")), F.lit("입니다.")),
-    )
+    values = [F.col("district"), F.format_string("%.1f", F.col("risk")), F.col("risk_grade_name")]
+    for i in (0, 1):
+        factor = F.get(factors, i)
+        values += [factor["label"], F.format_string("%.0f", factor["score"])]
+    told = [part for pair in zip(values, map(F.lit, V.SENTENCE_TEXTS)) for part in pair]
+    before, after = map(F.lit, V.SENTENCE_LABEL)
+    text = F.concat(*told, F.coalesce(F.concat(before, label, after), F.lit(V.SENTENCE_END)))
     return risk.filter("risk is not null").select("region_key", text.alias("sentence"))
 
 

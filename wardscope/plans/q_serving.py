@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wardscope.functions import fixed_values as V
 from wardscope.operators import serving as D
 from wardscope.operators import snapshot as N
 from wardscope.plans import bindings as B
@@ -122,12 +123,18 @@ def deadline_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     "q66_region_sentence",
     with_ctes(
         B.RISK_SQL,
-        """u AS (SELECT region_key, label, row_number() OVER (PARTITION BY region_key ORDER BY v DESC, i) AS rn FROM (
-  SELECT region_key, '병상포화도' AS label, 0 AS i, s_load AS v FROM risks UNION ALL SELECT region_key, '접근성', 1, s_access FROM risks
-  UNION ALL SELECT region_key, '인구대비병상', 2, s_pop FROM risks UNION ALL SELECT region_key, '의료진부족', 3, s_staff FROM risks))""",
-        select="""
-SELECT r.region_key, district || '의 종합 위험도는 ' || printf('%.1f', risk) || '점 (' || risk_grade_name || ')입니다. 네 요인 중 ' || a.label || '과 ' || b.label || '이 가장 큰 영향을 주고 있어입니다.' AS sentence
-FROM risks r JOIN u a ON a.region_key = r.region_key AND a.rn = 1 JOIN u b ON b.region_key = r.region_key AND b.rn = 2 WHERE risk IS NOT NULL""",
+        "u AS (SELECT region_key, label, v, row_number() OVER (PARTITION BY region_key ORDER BY v DESC, i) AS rn FROM ("
+        + " UNION ALL ".join(f"SELECT region_key, '{label}' AS label, {i} AS i, {c} AS v FROM risks" for i, (c, label) in enumerate(V.COMPONENT_SHORT.items()))
+        + "))",
+        select="SELECT r.region_key, "
+        + " || ".join(
+            f"{value} || '{text}'"
+            for value, text in zip(
+                ["district", "printf('%.1f', risk)", "risk_grade_name", "a.label", "printf('%.0f', a.v)", "b.label", "printf('%.0f', b.v)"], V.SENTENCE_TEXTS
+            )
+        )
+        + f" || '{V.SENTENCE_END}' AS sentence FROM risks r JOIN u a ON a.region_key = r.region_key AND a.rn = 1"
+        + " JOIN u b ON b.region_key = r.region_key AND b.rn = 2 WHERE risk IS NOT NULL",
     ),
 )
 def region_sentence(spark: SparkSession, sf: str) -> DataFrame:
