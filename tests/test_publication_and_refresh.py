@@ -67,6 +67,20 @@ def test_route_contract(spark):
     assert names(P.route_rows_contract(zero, ["entity_id"], "r")) == {"r_zero"}
 
 
+def test_sources_bounds_and_explained_gaps(spark):
+    note = spark.createDataFrame([("sgg", "EPSG:4326", "light", "v1", "CC-BY-4.0 x", "from SGIS")], "level string, crs string, resolution string, version string, license string, attribution string")
+    assert P.boundary_source_contract(note, "v1").isEmpty()
+    assert names(P.boundary_source_contract(note.withColumn("crs", F.lit("x")).withColumn("license", F.lit("none")), "v2")) == {"boundary_source_crs", "boundary_source_version", "boundary_source_license"}
+    stored = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1)], "region_key string, rank int")
+    eligible = spark.createDataFrame([("x",), ("y",)], "entity_id string")
+    assert rows(P.candidate_bounds_contract(stored, eligible), "key") == [("a",)]
+    d = "entity_id string, province string, district string, match_state string, specialists double"
+    detail = spark.createDataFrame([("A", "P", "D", V.STATE_LOW, None), ("B", "P", "E", V.STATE_EXCLUDED, None)], d)
+    from wardscope.operators.missingness import staffing_by_region
+
+    assert rows(P.explained_quality_contract(staffing_by_region(detail), detail), "key") == [("P|D",)]
+
+
 RING = "array<array<struct<x:double,y:double>>>"
 
 

@@ -224,3 +224,8 @@ PAIR_WEIGHTS = {
 PAIR_DISTANCES = [(0.25, 0.18), (0.75, 0.15), (2.0, 0.10), (5.0, 0.05)]
 OTHER_KIND_FACTOR = 0.20
 FOREIGN_FACTOR = 0.45
+
+# boundary collection: fixed properties of the published file, and texts its notes must hold
+BOUNDARY_SOURCE = {"level": "sgg", "crs": "EPSG:4326", "resolution": "light"}
+BOUNDARY_SOURCE_TEXTS = {"license": "CC-BY-4.0", "attribution": "SGIS"}
+WEAK_ORIGIN_METHOD = "병원좌표평균"

@@ -16,7 +16,7 @@ from wardscope.operators import contract as C
 from wardscope.operators import joins as J
 from wardscope.operators import nearest as R
 from wardscope.operators import polygons as P
-from wardscope.operators.missingness import staffing_by_region
+from wardscope.operators.missingness import quality_gaps, staffing_by_region
 from wardscope.operators.score import percentile_score
 
 ID = ["entity_id"]
@@ -185,6 +185,46 @@ def boundary_contract(
     return C.union_all(checks)
 
 
+def boundary_source_contract(source: DataFrame, version: str) -> DataFrame:
+    """The boundary collection's own record: level, reference system, resolution, version, licence and attribution."""
+    wanted = {**V.BOUNDARY_SOURCE, "version": version}
+    checks = [C.single_value(source, column, f"boundary_source_{column}", value) for column, value in wanted.items()]
+    for column, text in V.BOUNDARY_SOURCE_TEXTS.items():
+        checks.append(C.holds(source, ["version"], F.col(column).contains(text), f"boundary_source_{column}", F.col(column)))
+    return C.union_all(checks)
+
+
+def origin_contract(origins: DataFrame, master: DataFrame, version: str, box: dict | None = None) -> DataFrame:
+    """Route origins: exactly the master's regions, points in the country, a road found, one version, digest keys."""
+    box = box or V.COUNTRY_BOX
+    checks = [C.unique(origins, REGION, "origin_region"), C.same_set(origins, _keyed(master), REGION, "origin_population")]
+    for place in ("base", "origin"):
+        for axis in ("lat", "lon"):
+            checks.append(C.in_range(origins, REGION, f"{place}_{axis}", *box[axis], f"origin_{place}_{axis}"))
+    return C.union_all(
+        [
+            *checks,
+            C.holds(origins, REGION, F.col("adjust_km") >= 0, "origin_adjustment", F.col("adjust_km")),
+            C.in_domain(origins, REGION, "probe_status", [V.ROUTE_OK], "origin_probe"),
+            C.in_domain(origins, REGION, "boundary_version", [version], "origin_version"),
+            C.holds(origins, REGION, ~F.col("method").contains(V.WEAK_ORIGIN_METHOD), "origin_method", F.col("method")),
+            C.matches_format(origins, REGION, "origin_key", "^[0-9a-f]{64}$", "origin_key"),
+        ]
+    )
+
+
+def candidate_bounds_contract(candidates: DataFrame, eligible: DataFrame) -> DataFrame:
+    """Every region stores at least one candidate and at most as many as there are eligible facilities."""
+    sizes = candidates.groupBy(*REGION).agg(F.count(F.lit(1)).alias("n"))
+    return C.in_range(sizes, REGION, "n", 1, eligible.count(), "candidate_number")
+
+
+def explained_quality_contract(staffing: DataFrame, detail: DataFrame) -> DataFrame:
+    """A region with a withheld total must be explained by its excluded facilities."""
+    gaps = quality_gaps(staffing, detail).withColumn("region_key", region_key(F.col("province"), F.col("district")))
+    return C.holds(gaps, REGION, F.col("explained"), "quality_unexplained", F.col("additional_needed"))
+
+
 def route_rows_contract(routes: DataFrame, key: list[str], name: str) -> DataFrame:
     """Success carries values and code 0 or 104, failure carries none, zero needs code 104."""
     ok = F.col("route_status").isin(V.ROUTE_OK, V.ROUTE_OK_ZERO)

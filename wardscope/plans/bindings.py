@@ -178,11 +178,12 @@ def components(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     }
 
 
-def region_risk(spark: SparkSession, sf: str) -> DataFrame:
-    """Composite risk, one row per region."""
+def region_risk(spark: SparkSession, sf: str, readers: int = 2) -> DataFrame:
+    """Composite risk, one row per region; written once if it has more than one reader."""
     c = components(spark, sf)
     risk = composite_risk(c["load"], c["access"], c["population"], c["staff"])
-    return cut_lineage(risk.withColumn("n_reporting", F.coalesce("n_reporting", F.lit(0).cast("bigint"))))
+    risk = risk.withColumn("n_reporting", F.coalesce("n_reporting", F.lit(0).cast("bigint")))
+    return cut_lineage(risk) if readers > 1 else risk
 
 
 # ------------------------------------------------------------------------ feed

@@ -13,6 +13,7 @@ from wardscope.operators import joins as J
 from wardscope.operators import matching as M
 from wardscope.operators import nearest as R
 from wardscope.operators import population as P
+from wardscope.operators import publication as PUB
 from wardscope.plans import bindings as B
 from wardscope.plans.registry import query, table, with_ctes
 
@@ -233,3 +234,32 @@ def one_to_one_join(spark: SparkSession, sf: str) -> DataFrame:
     joined, violations = J.one_to_one(left, right, ["key"], check="orders")
     total = joined.agg(F.count(F.lit(1)).cast("string").alias("detail")).select(F.lit("joined").alias("check"), F.lit(None).cast("string").alias("key"), "detail")
     return violations.select("check", "key", "detail").unionByName(total)
+
+
+# seeded: every 20th latitude outside the country, every 30th probe failed, every 40th key cut, every 50th an average of facilities
+@query(
+    "q82_origin_contract",
+    """
+SELECT 'origin_base_lat' AS "check", c_custkey::VARCHAR AS key FROM customer WHERE c_custkey % 20 = 0
+UNION ALL SELECT 'origin_probe', c_custkey::VARCHAR FROM customer WHERE c_custkey % 30 = 1
+UNION ALL SELECT 'origin_key', c_custkey::VARCHAR FROM customer WHERE c_custkey % 40 = 2
+UNION ALL SELECT 'origin_method', c_custkey::VARCHAR FROM customer WHERE c_custkey % 50 = 3
+UNION ALL SELECT 'origin_version', c_custkey::VARCHAR FROM customer WHERE c_custkey % 60 = 4
+UNION ALL SELECT 'origin_adjustment', c_custkey::VARCHAR FROM customer WHERE c_custkey % 70 = 5
+UNION ALL SELECT 'origin_population', c_custkey::VARCHAR FROM customer WHERE c_custkey % 80 = 6""",
+)
+def origin_contract(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    region = F.when(k % 80 == 6, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string"))
+    lat, lon = B.spread_lat(k), B.spread_lon(k)
+    digest = R.origin_key(k.cast("string"), lat, lon, F.lit("m"), F.lit("1"))
+    origins = table(spark, sf, "customer").select(
+        region.alias("region_key"), F.when(k % 20 == 0, 10.0).otherwise(lat).alias("base_lat"), lon.alias("base_lon"), lat.alias("origin_lat"), lon.alias("origin_lon"),
+        F.when(k % 70 == 5, -1.0).otherwise(0.0).alias("adjust_km"), F.when(k % 30 == 1, "경로오류:1").otherwise(V.ROUTE_OK).alias("probe_status"),
+        F.when(k % 60 == 4, "0").otherwise("1").alias("boundary_version"), F.when(k % 50 == 3, V.WEAK_ORIGIN_METHOD).otherwise("m").alias("method"),
+        F.when(k % 40 == 2, F.substring(digest, 1, 40)).otherwise(digest).alias("origin_key"),
+    )
+    master = table(spark, sf, "customer").select(k.cast("string").alias("region_key"))
+    # a region under a wrong name is missing on one side and unknown on the other; other findings carry that name too
+    found = PUB.origin_contract(origins, master, "1").filter("not (check = 'origin_population' and detail = 'only_left')")
+    return found.select("check", F.regexp_replace("key", "^x", "").alias("key"))

@@ -80,7 +80,7 @@ RISK_COLUMNS_SQL = """region_key, district, round(s_load, 6) AS s_load, n_report
 
 @query("q05_composite_risk", with_ctes(B.RISK_SQL, select=f"SELECT {RISK_COLUMNS_SQL} FROM risks"))
 def composite_risk(spark: SparkSession, sf: str) -> DataFrame:
-    return B.region_risk(spark, sf).select(
+    return B.region_risk(spark, sf, readers=1).select(
         "region_key", "district", r6("s_load"), "n_reporting", r6("s_access"), r6("s_pop"), r6("s_staff"),
         "n_components", r6("risk"), F.col("risk_grade").cast("double").alias("risk_grade"), "risk_grade_name", "calc_state",
     )
@@ -331,7 +331,7 @@ UNION ALL SELECT 's_staff', 0.15::DOUBLE, round(d, 6), round(0.15::DOUBLE * d, 6
     ),
 )
 def contribution(spark: SparkSession, sf: str) -> DataFrame:
-    return S.contributions(B.region_risk(spark, sf)).select("component", "weight", r6("mean_score"), r6("points"))
+    return S.contributions(B.region_risk(spark, sf, readers=1)).select("component", "weight", r6("mean_score"), r6("points"))
 
 
 @query(

@@ -138,7 +138,7 @@ def deadline_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def region_sentence(spark: SparkSession, sf: str) -> DataFrame:
-    return D.region_sentence(B.region_risk(spark, sf))
+    return D.region_sentence(B.region_risk(spark, sf, readers=1))
 
 
 # -------------------------------------------------------------------- streaming
