@@ -116,7 +116,7 @@ def test_freshness_states(spark):
     assert (region["n_facilities"], region["n_reporting"], region["coverage_label"], region["freshness"]) == (3, 2, V.COVERAGE_PART, "last-known")
     assert region["risk_valid_until"] == dt.datetime(2026, 9, 3, 11, 0)
     assert tables["next_expiry"].first()[0] is None
-    assert "39.5점 (보통)" in tables["sentences"].first()["sentence"] and "병상포화도과 접근성이" in tables["sentences"].first()["sentence"]
+    assert "39.5점 (보통)" in tables["sentences"].first()["sentence"] and "병상포화도(50점)과 접근성(40점)이" in tables["sentences"].first()["sentence"]
     unknown = D.region_detail(risk.withColumn("n_reporting", F.lit(3).cast("long")), D.facility_detail(master, snapshot)).first()
     assert unknown["freshness_unknown"] and unknown["risk_valid_until"] is None
     health = D.health_summary(tables["regions"], tables["facilities"], N.moment("2026-09-04 00:30:00"), now).first()
