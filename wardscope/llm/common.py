@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from wardscope.session import cut_lineage, fresh_path  # noqa: F401  (re-exported for the operators)
 
+TEXTS_AT_ONCE = 1000
 #: Rows with this remainder of crc32(doc_id as text) mod 4 are never learned from.
 HELD_OUT = 2
 
@@ -25,19 +27,16 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(spark, "_wardscope_shipped", False):
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp(prefix="wardscope-code-")
-    try:
-        target = os.path.join(folder, "wardscope_code.zip")
-        with zipfile.ZipFile(target, "w") as z:
-            for at, _, names in os.walk(package):
-                for name in names:
-                    if name.endswith(".py"):
-                        full = os.path.join(at, name)
-                        z.write(full, os.path.relpath(full, os.path.dirname(package)))
-        spark.sparkContext.addPyFile(target)
-    except Exception:
-        shutil.rmtree(folder, ignore_errors=True)
-        raise
+    folder = tempfile.mkdtemp(prefix="wardscope-code-")  # the driver serves the file to its executors from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "wardscope_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(target)
     spark._wardscope_shipped = True
 
 
@@ -63,13 +62,15 @@ def per_text(df: DataFrame, make: Callable[[list], dict[str, list]], schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = None
-        for batch in batches:
-            made = make(batch.column(len(keep)).to_pylist())
-            arrays = [batch.column(k) for k in range(len(keep))]
-            types = types or arrow_types(schema)
-            for name, values in made.items():
-                arrays.append(pa.array(values, type=types[name]))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *made])
+        for whole in batches:
+            # few texts at a time are Python strings
+            for batch in (whole.slice(k, TEXTS_AT_ONCE) for k in range(0, whole.num_rows, TEXTS_AT_ONCE)):
+                made = make(batch.column(len(keep)).to_pylist())
+                arrays = [batch.column(k) for k in range(len(keep))]
+                types = types or arrow_types(schema)
+                for name, values in made.items():
+                    arrays.append(pa.array(values, type=types[name]))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *made])
 
     return source.mapInArrow(run, out)
 

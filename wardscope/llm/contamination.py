@@ -267,7 +267,9 @@ def contaminated(df: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
 
         made = per_text(df, make, "items array<string>, first array<int>, end array<int>, share array<double>, close array<double>", keep=keep)
         hit = made.filter(F.size("items") > 0).select(*keep, F.explode(F.arrays_zip("items", "first", "end", "share", "close")).alias("h"))
-        found = found.unionByName(
+        rows = cut_lineage(
             hit.select(*keep, F.col("h.items").cast(kind).alias("item_id"), F.col("h.first").alias("first_word"), F.col("h.end").alias("end_word"), F.col("h.share").alias("share"), F.col("h.close").alias("cosine"))
         )
-    return found if blocks == 1 else cut_lineage(found)
+        shared.destroy()  # workers keep what is broadcast until told otherwise
+        found = found.unionByName(rows)
+    return found

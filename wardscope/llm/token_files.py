@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardscope.llm.common import crc_of_ids, cut_lineage, fresh_path, ship_package
+from wardscope.llm.common import TEXTS_AT_ONCE, crc_of_ids, cut_lineage, fresh_path, ship_package
 from wardscope.llm.tokens import encoder, tokenizer_path
 
 BLOCK = 4096
@@ -169,7 +169,7 @@ def write_token_files(df: DataFrame, root: str, path: str | None = None, end_id:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encode, sink, uri, total = encoder(path).encode, None, "", 0
-        for batch in batches:
+        for batch in (b.slice(k, TEXTS_AT_ONCE) for b in batches for k in range(0, b.num_rows, TEXTS_AT_ONCE)):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if sink is None:
                     uri = f"{root}/part-{part:06d}-{uuid.uuid4().hex}.pfr"

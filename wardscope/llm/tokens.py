@@ -32,14 +32,13 @@ class WordEncoder:
     bare word.
     """
 
-    def __init__(self, path: str, limit: int = 1_200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.limit = limit
-        self.cache = _Words(self.tokenizer)
+        self.cache = _Words(self.tokenizer, limit)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; null and empty give none."""
@@ -48,8 +47,6 @@ class WordEncoder:
         if any(s in text for s in self.special):
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         cache = self.cache
-        if len(cache) > self.limit:
-            cache.clear()
         return b"".join([cache[w] for w in text.replace("\n", " ").split(" ")])
 
 
@@ -65,15 +62,22 @@ class _Words(dict):
 
     Characters below U+0250 lower one by one and do not compose; a word of such
     letters is one pre-token, and a mixed word without apostrophe splits into
-    letter runs, single digits and runs of other signs.
+    letter runs, single digits and runs of other signs.  At most twice ``limit``
+    words are kept: a full generation becomes the old one, and of that only the
+    words that are asked for again come back.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, limit: int):
+        self.limit = limit
+        self.old: dict[str, bytes] = {}
         self.tokenizer = tokenizer
         self.merge = tokenizer.model.tokenize
         self.letters = byte_letters()
 
     def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is not None:
+            return self._keep(word, ids)
         plain = word.isascii() or max(word) < "\u0250" and not NOT_SIMPLE.search(word)
         if word.isalpha() and plain:
             low = word.lower()
@@ -85,6 +89,12 @@ class _Words(dict):
             return b"".join([self[p] for p in parts])
         else:
             ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._keep(word, ids)
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
         self[word] = ids
         return ids
 
