@@ -28,6 +28,7 @@ BATCH = 2048
 TRAIN_DOCS = 600
 TRAIN_CHARS = 400
 STEPS = 160
+SALTS = 64
 UNDETERMINED = "und"
 
 
@@ -216,8 +217,12 @@ def training_sample(df: DataFrame, per_language: int = TRAIN_DOCS, characters: i
     known = df.filter(~held_out() & F.col("lang").isNotNull() & (F.length("text") > 0))
     at = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - characters, F.lit(1))).cast("int") + 1
     part = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("_order"), F.substring(F.col("text"), at, F.lit(characters)).alias("part"))
-    order = Window.partitionBy("lang").orderBy("_order", "doc_id", "part")
-    rows = part.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_language).orderBy("lang", "_n").collect()
+    # first within salted groups of a language, so that a common one is no single task's work
+    salted = part.withColumn("_salt", F.pmod(F.col("_order"), F.lit(SALTS)))
+    for keys, most in ((("lang", "_salt"), -(-2 * per_language // SALTS)), (("lang",), per_language)):
+        turn = F.row_number().over(Window.partitionBy(*keys).orderBy("_order", "doc_id", "part"))
+        salted = salted.withColumn("_n", turn).filter(F.col("_n") <= most)
+    rows = salted.orderBy("lang", "_n").collect()
     return [r.part for r in rows], [r.lang for r in rows]
 
 
