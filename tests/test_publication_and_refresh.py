@@ -139,14 +139,14 @@ def test_refresh_publishes_a_checked_version(spark, tmp_path):
         residents=regions.withColumn("population", 1000 + number * number), staffing=regions.withColumn("specialists", number % 4),
         access_routes=regions.select(F.concat_ws("|", "province", "district").alias("region_key"), (number + 1).alias("road_km")),
     )
-    audit = refresh.publish_refresh(spark, inputs, NOW, str(tmp_path / "out"), "7", refresh.Limits(minimum_live=20, complete_regions=12, max_clusters=3))
+    audit = refresh.publish_refresh(spark, inputs, NOW, str(tmp_path / "out"), "7", refresh.Limits(minimum_live=20, complete_regions=12, max_clusters=3, cluster_restarts=2))
     assert audit["usable"] == 24 and audit["regression"]["status"] == "complete"
     root = sinks.current_version(spark, str(tmp_path / "out"))
     assert root.endswith("version=7")
     assert spark.read.parquet(f"{root}/risk").filter("risk is not null").count() == 12
     assert spark.read.parquet(f"{root}/heatmap").filter("day_no = 4 and h09 is not null").count() == 1
     with pytest.raises(RuntimeError, match="risk_floor"):
-        refresh.publish_refresh(spark, inputs, NOW, str(tmp_path / "out"), "8", refresh.Limits(minimum_live=20, complete_regions=13, max_clusters=2))
+        refresh.publish_refresh(spark, inputs, NOW, str(tmp_path / "out"), "8", refresh.Limits(minimum_live=20, complete_regions=13, max_clusters=2, cluster_restarts=2))
     assert sinks.current_version(spark, str(tmp_path / "out")) == root
     with pytest.raises(ValueError, match="already"):
         sinks.publish(spark, {}, inputs.master.limit(0), str(tmp_path / "out"), "7")

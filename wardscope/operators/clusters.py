@@ -84,13 +84,15 @@ def choose_clusters(
     top = min(max_k, n - 1, scaled.select(*z).distinct().count())
     if top < 2:
         return no_eval, empty
-    features = VectorAssembler(inputCols=z, outputCol="features").transform(scaled)
+    # every start reads the vectors again; few rows need few tasks
+    features = VectorAssembler(inputCols=z, outputCol="features").transform(scaled).coalesce(max(1, n // 10_000)).cache()
     found = []
     for k in range(2, top + 1):
         fitted, used = _fit(features, k, seed, restarts)
         if used >= 2:
             labelled = cut_lineage(fitted.drop("features"))
             found.append((k, silhouette(labelled, z, "cluster"), labelled))
+    features.unpersist()
     if not found:
         return no_eval, empty
     evaluation = spark.createDataFrame([(k, s) for k, s, _ in found], "k int, silhouette double")

@@ -173,7 +173,7 @@ def groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("q36_kmeans_k_choice")
 def kmeans_k_choice(spark: SparkSession, sf: str) -> DataFrame:
-    evaluation, labelled = K.choose_clusters(groups(spark, sf).drop("cluster").withColumn("risk", F.col("s_load")), GROUP_FEATURES)
+    evaluation, labelled = K.choose_clusters(groups(spark, sf).drop("cluster").withColumn("risk", F.col("s_load")), GROUP_FEATURES, restarts=3)
     sizes = labelled.groupBy("cluster").agg(F.count(F.lit(1)).alias("n_regions"))
     return evaluation.select(F.lit("k").alias("kind"), "k", r6("silhouette", "value")).unionByName(
         sizes.select(F.lit("size").alias("kind"), F.col("cluster").alias("k"), F.col("n_regions").cast("double").alias("value"))

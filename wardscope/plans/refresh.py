@@ -55,6 +55,7 @@ class Limits:
     retention_days: int | None = 30
     complete_regions: int = 0
     max_clusters: int = 8
+    cluster_restarts: int = 20
     entities: int | None = None
     regions: int | None = None
     resident_period: str | None = None
@@ -87,7 +88,7 @@ def refresh_tables(inputs: Inputs, now, limits: Limits | None = None) -> tuple[d
     risk = cut_lineage(score.composite_risk(parts["load"], parts["access"], parts["population"], parts["staff"]))
     history = snapshot.append_history(inputs.history, rows, ["status"])
     history = cut_lineage(snapshot.trim_history(history, "collected_ts", snapshot.moment(now), limits.retention_days))
-    evaluation, labelled = clusters.choose_clusters(risk, COMPONENTS, limits.max_clusters)
+    evaluation, labelled = clusters.choose_clusters(risk, COMPONENTS, limits.max_clusters, restarts=limits.cluster_restarts)
     measures = parts["access"].select("region_key", "road_km").join(parts["population"].select("region_key", "residents_per_bed"), "region_key", "full")
     model = risk.join(measures, "region_key", "left")
     coefficients, fit = statistics.linear_regression(model, "region_key", REGRESSION, "risk")
