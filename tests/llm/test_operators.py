@@ -248,6 +248,28 @@ def test_contamination_finds_planted_passages(spark, block):
     assert got == want
 
 
+def test_contamination_at_any_benchmark_size(spark):
+    """Over a thousand passages in one block, some of 500 words, some of three; copies stand in words of their own."""
+    rng = random.Random(18)
+    items = [prose(rng, (500, 3, 9)[k % 50] if k % 50 < 3 else rng.randrange(15, 60)) for k in range(1040)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts, want, spans = [], set(), {}
+    for k in range(0, 1040, 5):
+        part = items[k].split()
+        if k % 2 and len(part) > 9:  # a paraphrase: every sixth word is another
+            part = [w if n % 6 else f"other{k}x{n}" for n, w in enumerate(part)]
+        else:
+            spans[k] = (31 + k % 4, 31 + k % 4 + len(part))
+        texts.append(" ".join([f"before{k}x{n}" for n in range(31 + k % 4)] + part + [f"after{k}x{n}" for n in range(100)]))
+        want.add((len(texts) - 1, k))
+    for k in (1, 2, 51, 52):  # short ones
+        texts.append(" ".join([f"before{k}x{n}" for n in range(33)] + items[k].split() + [f"after{k}x{n}" for n in range(50)]))
+        want.add((len(texts) - 1, k))
+    got = contamination.contaminated(table(spark, texts), bench).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in got}
+    assert {k: (r.first_word, r.end_word) for r in got for k in [r.item_id] if k in spans and r.doc_id == k // 5} == spans
+
+
 def test_latent_space_equals_a_direct_svd(spark):
     rng = np.random.default_rng(3)
     dense = rng.random((12, 30)) * (rng.random((12, 30)) < 0.5)

@@ -1,19 +1,21 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Document frequencies of all benchmark terms are counted over every whole document.
-2. The benchmark's passages become TF-IDF rows; a distributed randomised SVD (sketch, power
-   steps and products over partitions of passages; orthogonalisation on the driver, whose
-   matrices are bounded by the passages of one block) gives the latent space.
-3. Every whole document is cut into overlapping word windows at three scales.  What each term can
-   add to a cosine with any passage bounds a window's cosine, so windows below the threshold by
-   that bound are dropped without loss; the others are projected, and passages above the
-   threshold are candidates.
+2. The benchmark's passages become TF-IDF rows of length one; a distributed randomised SVD (sketch,
+   power steps and products over partitions of passages; orthogonalisation on the driver) gives a
+   latent space to every ``RANK`` passages.  A space has as many dimensions as passages, so none
+   loses any of its length in it, and the driver's matrices are bounded.
+3. Every whole document is cut into overlapping word windows at several scales, from the shortest
+   passages to the longest.  What each term can add to a cosine with any passage bounds a window's
+   cosine, so windows below the threshold by that bound are dropped without loss; the others are
+   projected, and passages above the threshold are candidates.
 4. A candidate is settled on the words themselves: the longest common subsequence of the passage
-   and the text around the window, and, for paraphrases, the passage's answer.
+   and the text around the window, and, for paraphrases, the passage's answer.  Verbatim copies
+   need no window: words are compared wherever the rarest word of a passage stands.
 
-Passages are taken in blocks of ``ITEM_BLOCK``; documents are read once more per block.  Terms
-that no passage has count with the highest inverse frequency.  Null or wordless passages and
-documents match nothing; equal passages are each reported; a repeated document is reported for
+Passages are taken in blocks of ``ITEM_BLOCK``; documents are read once more per block, whatever
+the number of its spaces.  Terms that no passage has count with the highest inverse frequency.
+Null or wordless passages and documents match nothing; equal passages are each reported; a repeated document is reported for
 each of its rows.  An answer is what follows ``answer:`` in a passage, else its last
 ``ANSWER_WORDS`` words.
 """
@@ -37,15 +39,16 @@ WORD = re.compile(r"[^\W_]+")
 ANSWER = re.compile(r"\banswer\s*:", re.IGNORECASE)
 ANSWER_WORDS = 6
 ITEM_BLOCK = 1024
+#: Passages that share a latent space, and its dimensions at most.
 RANK = 256
 STEP = 4
-#: Window lengths in steps of ``STEP`` words.
+#: Window lengths in steps of ``STEP`` words; shorter and longer ones are added for passages that need them.
 SCALES = (3, 6, 12)
 COSINE = 0.4
 #: Share of the passage's words found in order: enough by itself, or together with the answer.
 ALONE, WITH_ANSWER, ANSWER_SHARE = 0.7, 0.5, 0.6
 ROWS = 4096
-#: Windows projected at once.
+#: Windows projected at once, fewer of the long ones.
 SPAN = 256
 
 
@@ -53,6 +56,14 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def scales_of(lengths: list[int]) -> list[int]:
+    """Window lengths, each up to twice the one before, down to the shortest passage and up to the longest."""
+    scales = [k for k in (1, 2) if min(lengths) < 2 * k * STEP and min(lengths) < SCALES[0] * STEP] + list(SCALES)
+    while 2 * scales[-1] * STEP <= max(lengths):
+        scales.append(2 * scales[-1])
+    return scales
+
+
 # ---- longest common subsequence ----
 
 def lcs_length(a: list, b: list) -> int:
@@ -128,7 +139,10 @@ def latent_space(rows: DataFrame, n_rows: int, n_terms: int, rank: int = RANK, o
 # ---- search and settlement ----
 
 class Retriever:
-    """One block of passages: terms, their weights, the latent vectors, and the words to settle on."""
+    """The passages of one space: terms, their weights, the latent vectors, and the words to settle on.
+
+    The passages' own terms come first and have a row of the space each; other terms only have a weight.
+    """
 
     def __init__(self, items: list[tuple], terms: list[str], idf: np.ndarray, unknown: float, space: np.ndarray):
         self.names = [i for i, _ in items]
@@ -137,7 +151,16 @@ class Retriever:
         self.place = {t: k for k, t in enumerate(terms)}
         self.idf = idf.astype(np.float32)
         self.unknown = float(unknown)
-        self.weighted = (self.idf[:, None] * space).astype(np.float32)
+        self.own = len(space)
+        self.scales = scales_of([len(words) for words in self.words])
+        self.weighted = (self.idf[: self.own, None] * space).astype(np.float32)
+        # passages by their rarest word
+        self.rarest: dict[int, list[tuple[int, int]]] = {}
+        for item, words in enumerate(self.words):
+            at = max(range(len(words)), key=lambda k: self.idf[self.place[words[k]]])
+            self.rarest.setdefault(self.place[words[at]], []).append((item, at))
+        self.is_rarest = np.zeros(len(terms) + 1, bool)  # the last one is for unknown words
+        self.is_rarest[list(self.rarest)] = True
         vectors = []
         for words in self.words:
             counts = Counter(words)
@@ -146,30 +169,43 @@ class Retriever:
         self.items = np.array(vectors, np.float32).reshape(len(items), -1)
         self.items /= np.maximum(np.linalg.norm(self.items, axis=1, keepdims=True), 1e-12)
         # what one occurrence of a term can add to the product with any passage
-        most = np.concatenate([(space[k : k + ROWS] @ self.items.T).max(axis=1, initial=0) for k in range(0, len(terms), ROWS)])
-        self.gain = np.append(self.idf * most, 0).astype(np.float32)
+        most = np.concatenate([(space[k : k + ROWS] @ self.items.T).max(axis=1, initial=0) for k in range(0, self.own, ROWS)])
+        self.gain = np.append(self.idf[: self.own] * most, np.zeros(len(terms) - self.own + 1)).astype(np.float32)
         self.square = np.append(self.idf**2, self.unknown**2).astype(np.float32)
 
-    def candidates(self, words: list[str], cosine: float = COSINE) -> list[tuple[int, int, int, float]]:
-        """(passage, first word, end word, cosine) of the windows above the threshold."""
-        n = len(words)
+    def ids_of(self, words: list[str]) -> np.ndarray:
         get = self.place.get
-        ids = np.fromiter([get(w, -1) for w in words], np.int64, n)
-        padded = np.append(ids, np.full(STEP * (1 + max(SCALES)), -1))
+        return np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+
+    def copies(self, words: list[str], ids: np.ndarray) -> list[tuple[int, int]]:
+        """(passage, first word) of every verbatim copy."""
+        out = []
+        for k in np.flatnonzero(self.is_rarest[ids]).tolist():
+            for item, at in self.rarest[int(ids[k])]:
+                own = self.words[item]
+                if k >= at and words[k - at : k - at + len(own)] == own:
+                    out.append((item, k - at))
+        return out
+
+    def candidates(self, ids: np.ndarray, cosine: float = COSINE) -> list[tuple[int, int, int, float]]:
+        """(passage, first word, end word, cosine) of the windows above the threshold."""
+        n = len(ids)
+        padded = np.append(ids, np.full(STEP * (1 + max(self.scales)), -1))
         starts = np.arange(0, n, STEP)
         sums = np.add.reduceat(np.stack([self.gain[ids], self.square[ids]]), starts, axis=1)
         both = np.concatenate([[[0.0], [0.0]], sums.cumsum(axis=1, dtype=np.float64)], axis=1)
         out = []
         blocks = len(starts)
-        for scale in SCALES:
+        for scale in self.scales:
             scale = min(scale, blocks)
+            span = max(1, SPAN * max(SCALES) // max(scale, max(SCALES)))
             sums = both[:, scale:] - both[:, : blocks + 1 - scale]
             # a repeated term makes the window's length greater than the sum of squares, so this bound holds
             rows = np.flatnonzero(sums[0] ** 2 >= cosine**2 * sums[1] * (1 - 1e-5))
-            for at in range(0, len(rows), SPAN):
-                part = rows[at : at + SPAN]
+            for at in range(0, len(rows), span):
+                part = rows[at : at + span]
                 inside = padded[part[:, None] * STEP + np.arange(scale * STEP)]
-                vectors = np.stack([self.weighted[one[one >= 0]].sum(axis=0) for one in inside])
+                vectors = np.stack([self.weighted[one[(one >= 0) & (one < self.own)]].sum(axis=0) for one in inside])
                 close = (vectors @ self.items.T) / np.sqrt(sums[1][part])[:, None]
                 for k in np.flatnonzero((close >= cosine).any(axis=1)):
                     # repeated words count squared in the true length
@@ -186,7 +222,13 @@ class Retriever:
         if not words:
             return []
         out, covered = [], {}
-        for item, first, end, close in sorted(self.candidates(words), key=lambda c: (c[0], -c[3], c[1])):
+        ids = self.ids_of(words)
+        for item, first in self.copies(words, ids):
+            end = first + len(self.words[item])
+            if not any(a < end and first < b for a, b in covered.get(item, [])):
+                covered.setdefault(item, []).append((first, end))
+                out.append((self.names[item], first, end, 1.0, 1.0))
+        for item, first, end, close in sorted(self.candidates(ids), key=lambda c: (c[0], -c[3], c[1])):
             if any(a < end and first < b for a, b in covered.get(item, [])):
                 continue
             own = self.words[item]
@@ -248,19 +290,25 @@ def contaminated(df: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLO
         terms = sorted({w for _, t in items for w in words_of(t)})
         counts, n = _frequencies(df, terms)
         unknown = math.log(n + 1) + 1
-        idf = np.array([math.log((n + 1) / (counts[t] + 1)) + 1 for t in terms])
-        place = {t: k for k, t in enumerate(terms)}
-        rows = []
-        for _, text in items:
-            c = Counter(words_of(text))
-            ids = [place[w] for w in c]
-            rows.append((ids, [float(m * idf[k]) for m, k in zip(c.values(), ids)]))
-        passages = spark.createDataFrame(rows, "ids array<int>, weights array<double>").repartition(max(1, len(rows) // 64))
-        space = latent_space(passages, len(rows), len(terms), rank)
-        shared = spark.sparkContext.broadcast(Retriever(items, terms, idf, unknown, space))  # bounded by item_block and rank
+        retrievers = []
+        for at in range(0, len(items), rank):
+            part = items[at : at + rank]
+            own = {w for _, t in part for w in words_of(t)}
+            ordered = sorted(own) + [t for t in terms if t not in own]
+            idf = np.array([math.log((n + 1) / (counts[t] + 1)) + 1 for t in ordered])
+            place = {t: k for k, t in enumerate(ordered)}
+            rows = []
+            for _, text in part:
+                c = Counter(words_of(text))
+                ids = [place[w] for w in c]
+                weights = np.array(list(c.values())) * idf[ids]
+                rows.append((ids, (weights / np.linalg.norm(weights)).tolist()))
+            passages = spark.createDataFrame(rows, "ids array<int>, weights array<double>").repartition(max(1, len(rows) // 64))
+            retrievers.append(Retriever(part, ordered, idf, unknown, latent_space(passages, len(rows), len(own), rank)))
+        shared = spark.sparkContext.broadcast(retrievers)  # bounded by item_block and rank
 
         def make(texts: list, shared=shared) -> dict[str, list]:
-            hits = [shared.value.settle(words_of(t)) for t in texts]
+            hits = [[h for one in shared.value for h in one.settle(words)] for words in map(words_of, texts)]
             return {"items": [[str(h[0]) for h in one] for one in hits]} | {
                 name: [[h[k] for h in one] for one in hits] for k, name in ((1, "first"), (2, "end"), (3, "share"), (4, "close"))
             }
