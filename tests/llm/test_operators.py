@@ -324,6 +324,23 @@ def test_passages_of_planted_documents(spark):
 
 # ---- secrets ----
 
+@pytest.mark.parametrize("ends", [(0, 45), (5, 50), (3, 48)])
+def test_passages_among_documents_with_a_part_of_it(spark, ends):
+    """Two documents share 50 words, ten with ids between them only 45 of these, so the two are no neighbours by their 32 words."""
+    rng = random.Random(23)
+    texts, want = [], []
+    for _ in range(25):
+        passage = prose(rng, 50).split()
+        for k in range(12):
+            part = passage if k in (0, 11) else passage[ends[0] : ends[1]]
+            texts.append(" ".join([f"l{len(texts)}x{n}" for n in range(40)] + part + [f"r{len(texts)}x{n}" for n in range(40)]))
+        want.append([len(texts) - 12, len(texts) - 1])
+    classes = defaultdict(set)
+    for r in passages.repeated_passages(table(spark, texts)).collect():
+        classes[r.class_id].add(r.doc_id)
+    assert sorted(map(sorted, classes.values())) == want
+
+
 def brute_base(text):
     text = text or ""
     out = []
