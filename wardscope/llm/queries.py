@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardscope.llm import contamination, language, packing, passages, quality, repeats, secret_scan, simhash, token_files, topk
+from wardscope.llm import alignment, contamination, language, packing, passages, quality, repeats, secret_scan, simhash, token_files, topk
 from wardscope.llm.common import documents, held_out
 
 
@@ -59,6 +59,10 @@ def op10_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return alignment.align_tokenizers(documents(spark, folder), digest=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_repeats": op9_repeats,
     "op10_language": op10_language,
+    "op11_alignment": op11_alignment,
 }
 
 #: None of the contracts so far is plain SQL: tokens, XXH64 and reachability are not in DuckDB.
