@@ -21,9 +21,11 @@ along, in front of the results and under their own names.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +40,11 @@ from wardscope.llm.tokens import byte_letters, tokenizer_path
 BYTE_BPE = "byte_bpe_50k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 #: Texts and characters of a chunk; a longer text is a chunk of its own.
-CHUNK_TEXTS, CHUNK_CHARS = 1000, 4_000_000
-#: Parts a worker keeps encoded, and the longest part it keeps.
-CACHED_PARTS, LONGEST_CACHED = 200_000, 60
-#: A single space between two characters that are no white space: neither tokenizer looks across it.
-CLEAN_SPACE = re.compile(r"(?<=\S) (?=\S)")
+CHUNK_TEXTS, CHUNK_CHARS = 1000, 2_000_000
+#: Signs, digits and blanks that regular expression engines may class differently, and runs too long for ``tiktoken``.
+NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u024f]|[\u00aa\u00b2\u00b3\u00b9\u00ba\u00bc-\u00be\u0130]|\S{400}|\s{400}")
+#: The public pre-token pattern of byte-level BPE.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEX_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 
 Links = tuple[np.ndarray, np.ndarray]
@@ -112,10 +114,11 @@ def _within(lengths: np.ndarray) -> np.ndarray:
 
 
 class TokenizerPair:
-    """Both tokenizers, the bytes of their tokens, and a bounded cache of encoded parts.
+    """Both tokenizers and the bytes of their tokens.
 
-    A text is cut at clean single spaces.  A's pre-tokens never span one, and no piece of B holds
-    a space behind another character (checked when loading), so parts encode on their own.
+    Plain texts of A go through ``tiktoken`` with the ranks of the same file, which is faster and
+    gives the same ids there; other texts, and files whose ids are no merge ranks, go through
+    ``tokenizers``.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -133,42 +136,46 @@ class TokenizerPair:
             self.bytes_a[k] = bytes([letters[c] for c in entry]) if all(c in letters for c in entry) else entry.encode()
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(m.group(1), 16)]) if (m := HEX_PIECE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
-        self.splits = not any("▁" in p.lstrip("▁") for p in pieces)
         self.length_a = np.array([len(x) for x in self.bytes_a], np.int64)
         self.length_b = np.array([len(x) for x in self.bytes_b], np.int64)
         n, m = len(self.bytes_a), len(self.bytes_b)
         numbers = [str(k).encode() for k in range(max(n, m))]
         # A inside its group, A at its end, B inside, B at its end
         self.written = [x + s for count, s in ((n, b","), (n, b"|"), (m, b","), (m, b";")) for x in numbers[:count]]
-        self.parts: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def parts_of(self, text: str) -> list[str]:
-        if not self.splits:
-            return [text]
-        if text.isprintable() and "  " not in text and text[0] != " " and text[-1] != " ":
-            return text.split(" ")
-        return CLEAN_SPACE.split(text)
-
-    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
-        """Ids of A and of B as little-endian 32-bit integers; none for a text without tokens."""
-        cut = [self.parts_of(t) if t else [] for t in texts]
-        if len(self.parts) > CACHED_PARTS:
-            self.parts = {}
-        missing = [p for p in {p for parts in cut for p in parts} if p not in self.parts]
-        ids_a = self.a.encode_batch([" " + p for p in missing], add_special_tokens=False)
-        ids_b = self.b.encode(missing, num_threads=1)
-        long: dict[str, tuple[bytes, bytes] | None] = {}
-        for part, made, b in zip(missing, ids_a, ids_b):
-            a, raw = made.ids, (" " + part).encode()
-            same = b"".join([self.bytes_a[k] for k in a]) == raw == b"".join([self.bytes_b[k] for k in b])
-            value = (np.asarray(a, "<u4").tobytes(), np.asarray(b, "<u4").tobytes()) if same else None
-            (self.parts if len(part) <= LONGEST_CACHED else long)[part] = value
-        known = self.parts
-        done = []
-        for parts in cut:
-            pairs = [known[p] if p in known else long[p] for p in parts]
-            done.append((b"", b"") if None in pairs else (b"".join([p[0] for p in pairs]), b"".join([p[1] for p in pairs])))
-        return done
+        self.ranked = self._ranked(path_a)
+
+    def _ranked(self, path: str):
+        """``tiktoken`` with the entries of A as ranks, or None where A's ids do not rise with its merges."""
+        with open(path, encoding="utf-8") as file:
+            made = json.load(file)
+        model = made["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        ids = [model["vocab"].get(x + y) for x, y in merges]
+        if made.get("pre_tokenizer", {}).get("type") != "ByteLevel" or made.get("normalizer") or ids != list(range(256, 256 + len(ids))):
+            return None
+        import tiktoken
+
+        ranks = {self.bytes_a[k]: k for k in range(256 + len(ids))}
+        return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids_a(self, text: str) -> list[int]:
+        """A's ids of space+text."""
+        if self.ranked and not NOT_PLAIN.search(text):
+            return self.ranked.encode_ordinary(" " + text)
+        return self.a.encode(" " + text, add_special_tokens=False).ids
+
+    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of A and of B; none for a text without tokens."""
+        of_a, of_b = [], []
+        for text in texts:
+            a = b = []
+            if text:
+                a, b, raw = self.ids_a(text), self.b.encode(text), (" " + text).encode()
+                if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+                    a = b = []
+            of_a.append(a)
+            of_b.append(b)
+        return of_a, of_b
 
 
 _PAIRS: dict[tuple[str, str], TokenizerPair] = {}
@@ -185,11 +192,10 @@ class Chunk:
     """Alignment of several texts at once; offsets run on from text to text, so text ends are group ends."""
 
     def __init__(self, pair: TokenizerPair, texts: list[str | None]):
-        coded = pair.encode(texts)
-        a = np.frombuffer(b"".join([x for x, _ in coded]), "<u4").astype(np.int64)
-        b = np.frombuffer(b"".join([x for _, x in coded]), "<u4").astype(np.int64)
-        self.n_a = np.array([len(x) // 4 for x, _ in coded], np.int64)
-        self.n_b = np.array([len(x) // 4 for _, x in coded], np.int64)
+        coded_a, coded_b = pair.encode(texts)
+        self.n_a, self.n_b = (np.array([len(x) for x in coded], np.int64) for coded in (coded_a, coded_b))
+        a = np.fromiter(chain.from_iterable(coded_a), np.int64, int(self.n_a.sum()))
+        b = np.fromiter(chain.from_iterable(coded_b), np.int64, int(self.n_b.sum()))
         group_a, group_b, links = align_ends(np.cumsum(pair.length_a[a]).tolist(), np.cumsum(pair.length_b[b]).tolist())
         text_of = np.repeat(np.arange(len(texts)), self.n_a)
         self.n_groups = np.bincount(text_of[group_a - 1], minlength=len(texts))
