@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardscope.llm import alignment, contamination, language, packing, passages, quality, repeats, secret_scan, simhash, token_files, topk
+from wardscope.llm import alignment, contamination, language, packing, passages, phrases, quality, repeats, secret_scan, simhash, token_files, topk
 from wardscope.llm.common import documents, held_out
 
 
@@ -63,6 +63,10 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_tokenizers(documents(spark, folder), digest=True)
 
 
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_token_files": op2_token_files,
@@ -75,7 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_language": op10_language,
     "op11_alignment": op11_alignment,
+    "op13_phrases": op13_phrases,
 }
 
-#: None of the contracts so far is plain SQL: tokens, XXH64 and reachability are not in DuckDB.
-ORACLES: dict[str, str] = {}
+#: The other contracts are not plain SQL: tokens, XXH64, reachability, models and decoding are not in DuckDB.
+ORACLES: dict[str, str] = {"op13_phrases": phrases.ORACLE}
