@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardscope.llm import alignment, contamination, language, packing, passages, phrases, quality, repeats, secret_scan, simhash, token_files, topk
+from wardscope.llm import alignment, contamination, language, main_text, packing, passages, phrases, quality, repeats, secret_scan, simhash, token_files, topk
 from wardscope.llm.common import documents, held_out
 
 
@@ -63,6 +63,11 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return alignment.align_tokenizers(documents(spark, folder), digest=True)
 
 
+def op12_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = main_text.extract_main_text(_table(spark, folder, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return phrases.collocations(documents(spark, folder))
 
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_repeats": op9_repeats,
     "op10_language": op10_language,
     "op11_alignment": op11_alignment,
+    "op12_main_text": op12_main_text,
     "op13_phrases": op13_phrases,
 }
 
