@@ -1,14 +1,15 @@
 """Phrase collocations: an FM-index per shard over word ids, extended in both directions.
 
 Texts are cut into pieces and words; words of one language in one task form shards of bounded size.
-Counts are summed across shards level by level, and each level only goes on with what is frequent
-in the whole corpus, which loses nothing, since no phrase is more frequent than a part of it:
 
-1. every shard lists its words with their counts; the sums give each frequent word an id;
-2. a shard gets the ids of its own frequent words back (others become breaks), indexes the
-   sequence and enumerates two-word phrases with their counts;
-3. a shard learns which of its own two-word phrases are frequent (others become breaks), indexes
-   again and enumerates the longer ones.
+1. Every shard lists its words with their counts; the sums give each frequent word an id.  No phrase
+   is more frequent than a word of it, so other words become breaks.
+2. A shard gets the ids of its own frequent words back, indexes its sequence and enumerates the
+   phrases of every length with their counts.
+3. The counts are summed across shards.  A shard sends one entry per different phrase, in sorted and
+   compressed blocks per bucket of phrase digests; the number of buckets follows the number of
+   words, so a bucket has the same size at every scale, and a phrase that every text repeats is
+   one entry per shard.
 
 The index holds the Burrows-Wheeler transform of the sequence and of its reverse, sorted to the
 depth asked for.  A phrase is a pair of intervals, of the places it starts at and of those it ends
@@ -37,8 +38,8 @@ from pyspark.sql import functions as F
 
 from wardscope.llm.common import arrow_types, cut_lineage, ship_package
 
-#: UTF-8 bytes of a shard (some 1.3 million words), and what a task holds of all languages together.
-SHARD_BYTES, HELD_BYTES = 8_000_000, 24_000_000
+#: UTF-8 bytes of a shard (some million words), and what a task holds of all languages together.
+SHARD_BYTES, HELD_BYTES = 6_000_000, 16_000_000
 UNDETERMINED = "und"
 #: Classes of bytes: 0 in a word, 1 blank, 2 between pieces; separators are ASCII, so UTF-8 needs no decoding.
 CLASS = np.zeros(256, np.uint8)
@@ -134,21 +135,6 @@ class BidirectionalIndex:
         return self.sequence[self.order[phrases.low][:, None] + np.arange(phrases.size)]
 
 
-def frequent_runs(sequence: np.ndarray, kept: np.ndarray) -> np.ndarray:
-    """The sequence with a break wherever two neighbours are not one of the kept two-word phrases.
-
-    ``kept`` are places in the list of two-word phrases in the order of their symbols, which is the
-    order in which the index enumerates them.
-    """
-    wide = sequence.astype(np.int64)
-    key = wide[:-1] * (int(wide.max(initial=0)) + 1) + wide[1:]
-    inner = (wide[:-1] > 0) & (wide[1:] > 0)
-    place = np.full(len(key), -1)
-    place[inner] = np.unique(key[inner], return_inverse=True)[1]
-    cut = np.flatnonzero(inner & ~np.isin(place, kept)) + 1
-    return without_rare(np.insert(wide, cut, 0), np.arange(int(wide.max(initial=0)) + 1))
-
-
 def _press(sequence: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(sequence.astype("<i4").tobytes())
 
@@ -192,46 +178,89 @@ def _shards(df: DataFrame, text: str, lang: str) -> DataFrame:
     return cut_lineage(source.mapInArrow(run, SHARD))
 
 
-PAIRED = "shard string, ids array<long>, sequence binary, one array<long>, two array<long>, n array<long>"
-
-
-def _two_words(own: pa.Table, known: pa.Table) -> pa.Table:
-    """Index a shard over its frequent words and list its two-word phrases."""
-    types = arrow_types(PAIRED)
-    rows = []
-    for shard, data in zip(own.column("shard").to_pylist(), own.column("sequence")):
-        sequence = _sequence(data.as_py())
-        new = np.zeros(int(sequence.max(initial=0)) + 1, np.int32)
-        place = known.column("place").to_numpy() + 1
-        new[place] = np.arange(1, len(place) + 1)
-        ids = np.concatenate([[0], known.column("id").to_numpy()])
-        sequence = without_rare(sequence, new)
-        index = BidirectionalIndex(sequence, 2)
-        found = index.extend(index.single(), right=True)
-        both = ids[index.words(found)]
-        rows.append({"shard": shard, "ids": ids, "sequence": _press(sequence), "one": both[:, 0], "two": both[:, 1], "n": found.count})
-    return pa.table({c: pa.array([r[c] for r in rows], types[c]) for c in types})
-
-
-def _longer(longest: int):
-    def make(own: pa.Table, kept: pa.Table) -> pa.Table:
-        """Index a shard over its frequent two-word phrases and list the longer phrases."""
-        keys, counts = [], []
-        for data, ids in zip(own.column("sequence"), own.column("ids")):
-            ids = ids.values.to_numpy()
-            index = BidirectionalIndex(frequent_runs(_sequence(data.as_py()), kept.column("place").to_numpy()), longest)
-            found = index.extend(index.single(), right=True)
-            while found.size < longest:
-                found = index.extend(found, right=found.size % 2 == 1)  # to the left, then to the right
-                keys.append(_lists(ids[index.words(found)]))
-                counts.append(pa.array(found.count, pa.int64()))
-        return pa.table({"key": pa.chunked_array(keys, pa.list_(pa.int64())), "n": pa.chunked_array(counts, pa.int64())})
+#: Entries of a bucket, about.
+BUCKET = 3_000_000
+BLOCKS = "size int, bucket long, entries binary"
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    mixed = np.zeros(len(keys), np.uint64)
+    for column in keys.T:
+        mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(buckets)).astype(np.int64)
+
+
+def _enumerated(longest: int, buckets: int):
+    def make(own: pa.Table, known: pa.Table) -> pa.Table:
+        """Index a shard over its frequent words and list its phrases, a block per length and bucket."""
+        made = {"size": [], "bucket": [], "entries": []}
+        for data in own.column("sequence"):
+            sequence = _sequence(data.as_py())
+            new = np.zeros(int(sequence.max(initial=0)) + 1, np.int32)
+            # ranks of ids as symbols: phrases then come in the order of their ids
+            order = np.argsort(known.column("id").to_numpy())
+            ids = np.concatenate([[0], known.column("id").to_numpy()[order]])
+            new[known.column("place").to_numpy()[order] + 1] = np.arange(1, len(ids))
+            index = BidirectionalIndex(without_rare(sequence, new), longest)
+            found = index.single()
+            while found.size < longest and len(found.count):
+                found = index.extend(found, right=found.size % 2 == 1)  # to the right, then to the left
+                entries = np.column_stack([ids[index.words(found)], found.count])
+                bucket = _bucket(entries[:, :-1], buckets)
+                order = np.argsort(bucket, kind="stable")
+                starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                for part in np.split(order, starts[1:]) if len(order) else []:
+                    made["size"].append(found.size)
+                    made["bucket"].append(int(bucket[part[0]]))
+                    made["entries"].append(_press_entries(entries[part]))
+        types = arrow_types(BLOCKS)
+        return pa.table({c: pa.array(made[c], types[c]) for c in types})
+
+    return make
+
+
+def _press_entries(entries: np.ndarray) -> bytes:
+    """Column by column; ids are below 2^32, and a count of 2^32 or more in one shard is not possible."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(entries.T.astype("<u4")).tobytes())
+
+
+def _summed(least: int):
+    def make(blocks: pa.Table) -> pa.Table:
+        """Sums of one bucket's entries, as far as they are frequent."""
+        size = blocks.column("size")[0].as_py()
+        unpress = zstandard.ZstdDecompressor()
+        parts = [np.frombuffer(unpress.decompress(b.as_py()), "<u4").reshape(size + 1, -1) for b in blocks.column("entries")]
+        columns = np.concatenate(parts, axis=1).astype(np.int64)
+        pairs = [columns[k] << 32 | (columns[k + 1] if k + 1 < size else 0) for k in range(0, size, 2)]
+        order = np.lexsort(pairs[::-1])
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for pair in pairs:
+            new[1:] |= np.diff(pair[order]) != 0
+        starts = np.flatnonzero(new)
+        n = np.add.reduceat(columns[size][order], starts)
+        frequent = n >= least
+        keys = columns[:size, order[starts[frequent]]].T
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * size, pa.int32()), pa.array(keys.ravel(), pa.int64()))
+        return pa.table({"key": lists, "n": pa.array(n[frequent], pa.int64())})
 
     return make
 
 
-def _lists(rows: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel(), pa.int64()))
+def _with_ids(words: DataFrame) -> DataFrame:
+    """Written rows with ids from 1 without gaps, in any order."""
+    placed = cut_lineage(words.withColumn("id", F.monotonically_increasing_id()))
+    part = F.shiftright("id", 33)
+    sizes = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
+    before, offsets = 1, []
+    for number, n in sizes:
+        offsets.append((number, before))
+        before += n
+    if before > 1 << 32:
+        raise ValueError("more than 2^32 frequent words")
+    starts = words.sparkSession.createDataFrame(offsets, "part long, start long")
+    return placed.withColumn("part", part).join(F.broadcast(starts), "part").withColumn("id", F.col("start") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).drop("part", "start")
 
 
 def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", least: int = 30, longest: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -242,21 +271,16 @@ def phrase_counts(df: DataFrame, text: str = "text", lang: str = "lang", least:
     shards = _shards(df, text, lang)
     listed = shards.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("e"))
     counted = cut_lineage(listed.groupBy("lang", F.col("e.words").alias("word")).agg(F.sum("e.counts").alias("n")))
-    words = cut_lineage(counted.filter(F.col("n") >= least).withColumn("id", F.monotonically_increasing_id()))
+    totals = counted.groupBy("lang").agg(F.sum("n").alias("n"))
+    words = cut_lineage(_with_ids(counted.filter(F.col("n") >= least)))
 
     own = shards.select(F.col("shard").alias("of"), "lang", F.posexplode("words").alias("place", "word"))
     known = own.join(words, ["lang", "word"]).select("of", "place", "id")
-    paired = cut_lineage(shards.select("shard", "sequence").groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_two_words, PAIRED))
-
-    pairs = paired.select("shard", F.posexplode(F.arrays_zip("one", "two", "n")).alias("place", "e")).select("shard", "place", "e.one", "e.two", "e.n")
-    frequent = cut_lineage(pairs.groupBy("one", "two").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    two = frequent.select(F.array("one", "two").alias("key"), "n")
-    every = words.select(F.array("id").alias("key"), "n").unionByName(two)
-    if longest > 2:
-        kept = pairs.join(frequent.select("one", "two"), ["one", "two"]).select(F.col("shard").alias("of"), "place")
-        more = paired.select("shard", "sequence", "ids").groupBy("shard").cogroup(kept.groupBy("of")).applyInArrow(_longer(longest), "key array<long>, n long")
-        every = every.unionByName(more.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    return words, cut_lineage(every), counted.groupBy("lang").agg(F.sum("n").alias("n"))
+    positions = words.agg(F.sum("n")).first()[0] or 0
+    buckets = 1 + positions // BUCKET
+    blocks = shards.select("shard", "sequence").groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(_enumerated(longest, buckets), BLOCKS)
+    phrases = blocks.groupBy("size", "bucket").applyInArrow(_summed(least), "key array<long>, n long")
+    return words, cut_lineage(words.select(F.array("id").alias("key"), "n").unionByName(phrases)), totals
 
 
 def collocations(
