@@ -114,3 +114,30 @@ def test_regression_display_keeps_order_and_drops_incomplete(spark):
     got = T.regression_display(table, {"status": "complete"}, labels).collect()
     assert [(r["label"], r["coefficient"]) for r in got] == [("first", 1.0), ("second", 2.0)]
     assert T.regression_display(table, {"status": "insufficient_data"}, labels).isEmpty()
+
+
+def test_joint_starts_equal_single_runs(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(m, 0.4, (60, 2)) for m in ((0, 0), (3, 0), (0, 3), (3, 3))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in x], "a double, b double").repartition(3)
+    fitted = K.fit_many(df, ["a", "b"], [2, 4], seed=1, restarts=5)
+    drawn = np.array([list(r) for r in df.orderBy(F.xxhash64("a", "b"), "a", "b").collect()])
+    for k in (2, 4):
+        costs = []
+        for turn in range(5):
+            centres = K._first_centres(drawn, k, np.random.default_rng(1 + 1000 * k + turn))
+            while True:
+                gaps = ((x[:, None] - centres[None]) ** 2).sum(2)
+                new = np.array([x[gaps.argmin(1) == j].mean(0) if (gaps.argmin(1) == j).any() else centres[j] for j in range(k)])
+                if np.abs(new - centres).max() <= 1e-9:
+                    break
+                centres = new
+            costs.append(gaps.min(1).sum())
+        assert fitted[k][1] == pytest.approx(min(costs))
+    labelled = K.with_clusters(df, ["a", "b"], fitted)
+    assert sorted(r["count"] for r in labelled.groupBy(F.col("clusters")[1]).count().collect()) == [60] * 4
+    each = labelled.select("a", "b", F.posexplode("clusters").alias("at", "cluster"))
+    joint = {r["at"]: r.s for r in K.silhouette_per_row(each, ["a", "b"], "cluster", "at").groupBy("at").agg(F.avg("silhouette").alias("s")).collect()}
+    for at in (0, 1):
+        alone = K.silhouette(labelled.withColumn("cluster", F.col("clusters")[at]), ["a", "b"], "cluster")
+        assert joint[at] == pytest.approx(alone)
