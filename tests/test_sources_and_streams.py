@@ -189,3 +189,56 @@ def test_misses_since_the_last_sighting(spark):
     seen = spark.createDataFrame([("a", 1), ("b", 3)], "entity_id string, last_seen int")
     polls = spark.createDataFrame([(1,), (2,), (3,)], "polled_at int")
     assert rows(S.misses_since(seen, polls, "entity_id", most=1)) == [("a", 2, 2, 3, True)]
+
+
+def test_changelog_equals_the_whole_state(spark, tmp_path):
+    import random
+
+    from wardscope.streaming import changelog
+
+    rng, state, written = random.Random(2), {}, []
+    out = str(tmp_path / "log")
+    for batch in range(11):
+        changed = rng.sample(range(30), rng.randrange(0, 6)) if batch else list(range(30))
+        facts = [(k, batch * 100 + k, rng.random() < 0.3) for k in changed]
+        for _ in range(2 if batch == 5 else 1):  # a replayed batch changes nothing
+            changelog.advance(spark.createDataFrame(facts, "k long, v long, _gone boolean"), out, batch, ["k"])
+        for k, v, gone in facts:
+            state.pop(k, None)
+            if not gone:
+                state[k] = v
+        assert rows(changelog.state_after(spark, out), "k", "v") == sorted(state.items())
+        written.append(spark.read.parquet(f"{out}/batch={batch}").count())
+    assert changelog.covering(11) == [11, 10, 8] and changelog.covering(6, 4) == [6]
+    assert all(n <= 12 for n in written[2::2])  # every other batch writes its own changes and at most one part more
+    assert rows(changelog.state_after(spark, out, 0), "k").__len__() <= 30
+
+
+def test_a_state_that_empties_stays_empty(spark, tmp_path):
+    from wardscope.streaming import changelog
+
+    out = str(tmp_path / "log")
+    for batch, gone in enumerate([False, False, False, True]):
+        changelog.advance(spark.createDataFrame([(1, batch, gone)], "k long, v long, _gone boolean"), out, batch, ["k"])
+    assert changelog.state_after(spark, out).collect() == []
+
+
+def test_entities_expire_and_may_come_back(spark, tmp_path):
+    day = "2026-09-{:02d}T00:00:00".format
+    batches = [[("a", day(1), 1.0), ("b", day(1), 2.0), ("b", day(1), 5.0)], [("b", day(9), 3.0)], [("c", day(10), 4.0)], [("a", day(11), 6.0), ("c", day(3), 9.0)], [("d", day(20), 7.0)]]
+    out = {}
+    for k in (3, 4, 5):
+        stream = arrivals(spark, str(tmp_path / f"in{k}"), batches[:k])
+        found = S.expiring_state(stream, "entity_id", "ts", 48, "1 hour")
+        out[k] = rows(S.latest_state(spark, S.run_available(found, "e", "update", location=str(tmp_path / f"o{k}"), newest_of=["entity_id"])), "entity_id", "value")
+    assert out == {3: [("b", 3.0), ("c", 4.0)], 4: [("a", 6.0), ("b", 3.0), ("c", 4.0)], 5: [("d", 7.0)]}
+
+
+def test_old_days_are_dropped_as_folders(spark, tmp_path):
+    day = "2026-09-{:02d}T00:00:00".format
+    stream = arrivals(spark, str(tmp_path / "in"), [[("a", day(d), 1.0) for d in (1, 2, 3)], [("b", day(4), 1.0), ("b", day(2), 2.0)], [("c", day(9), 1.0)]])
+    root = str(tmp_path / "history")
+    out = S.run_available(stream, "k", shape=S.keep_days("ts", 2, root), location=str(tmp_path / "o"))
+    assert rows(spark.read.parquet(root), "entity_id", "value") == [("c", 1.0)]
+    assert rows(S.read_output(spark, out), "run", "folders", "dropped")[:2] == [(0, 3, 0), (1, 4, 1)]
+    assert len(list((tmp_path / "history").glob("batch=*/day=*"))) == 1

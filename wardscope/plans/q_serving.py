@@ -12,7 +12,7 @@ from wardscope.operators import snapshot as N
 from wardscope.plans import bindings as B
 from wardscope.plans import q_feed as Q
 from wardscope.plans.registry import query, r6, with_ctes
-from wardscope.session import cut_lineage
+from wardscope.session import cut_lineage, fresh_path
 from wardscope.streaming import feeds as S
 
 # facility values of the merged snapshot, expiring twelve hours after their source time
@@ -220,3 +220,33 @@ def omission_counters(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select(
         "user_id", "consecutive_misses", F.date_format("first_missing_at", "yyyy-MM-dd").alias("first_missing"), F.date_format("last_missing_at", "yyyy-MM-dd").alias("last_missing")
     )
+
+
+KEPT_HOURS, KEPT_DAYS = 6, 9
+
+
+@query(
+    "q83_stream_expiry",
+    f"""
+WITH last AS (SELECT user_id, max(ts) AS ts, arg_max(struct_pack(event_id, value), struct_pack(ts, event_id)) AS row FROM events GROUP BY 1)
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, row.event_id AS event_id, round(row.value, 6) AS value FROM last
+WHERE date_trunc('millisecond', ts) + INTERVAL {KEPT_HOURS} HOUR > (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)""",
+)
+def stream_expiry(spark: SparkSession, sf: str) -> DataFrame:
+    """Last rows of users heard of lately; the others leave the state as the watermark passes, over four batches."""
+    rows = event_stream(spark, sf).select("user_id", "ts", "event_id", "value")
+    out = S.run_available(S.expiring_state(rows, "user_id", "ts", KEPT_HOURS, "1 day"), "expiry", "update", newest_of=["user_id"])
+    return S.latest_state(spark, out).select("user_id", Q.stamp("ts"), "event_id", r6("value"))
+
+
+@query(
+    "q84_stream_retention",
+    f"""
+SELECT event_id, user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts FROM events
+WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) FROM events) - {KEPT_DAYS}""",
+)
+def stream_retention(spark: SparkSession, sf: str) -> DataFrame:
+    """History in a folder per day; four batches add rows and drop whole days that have become too old."""
+    root = fresh_path(spark, "history")
+    S.run_available(event_stream(spark, sf), "retention", shape=S.keep_days("ts", KEPT_DAYS, root))
+    return spark.read.parquet(root).select("event_id", "user_id", Q.stamp("ts"))

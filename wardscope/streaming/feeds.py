@@ -8,14 +8,17 @@ overwrites its own output and nothing passes through the driver.
 
 from __future__ import annotations
 
-from typing import Callable
+import datetime as dt
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardscope.functions import fixed_values as V
-from wardscope.session import cut_lineage, fresh_path
+from wardscope.session import fresh_path
+from wardscope.streaming import changelog
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, name_filter: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -41,10 +44,9 @@ def run_available(
     """Process everything that has arrived, then stop; returns the output folder.
 
     Every micro-batch writes ``batch=<id>``; writing the same batch twice
-    replaces it, which makes the sink exactly-once.  With ``newest_of`` a batch
-    folder holds the whole state up to it, one row per those keys, so a reader
-    needs the newest folder only.  A run with the same ``location`` goes on where
-    the last one stopped.
+    replaces it, which makes the sink exactly-once.  With ``newest_of`` the folders are
+    a log of changes to the state keyed by those columns (see ``changelog``), read by
+    ``latest_state``.  A run with the same ``location`` goes on where the last one stopped.
     """
     spark = stream.sparkSession
     root = location or fresh_path(spark, label)
@@ -52,10 +54,9 @@ def run_available(
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         rows = shape(batch, batch_id) if shape else batch
-        if newest_of and batch_id:
-            rows = cut_lineage(rows)  # the state is advanced once, whoever reads the rows
-            before = spark.read.schema(rows.schema).parquet(f"{out}/batch={batch_id - 1}")
-            rows = before.join(rows.select(*newest_of), newest_of, "left_anti").unionByName(rows)
+        if newest_of:
+            changelog.advance(rows, out, batch_id, newest_of)
+            return
         rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
@@ -88,11 +89,67 @@ def last_known_state(stream: DataFrame, key: str, order: list[str], values: list
     ).select(key, "n_seen", "row.*")
 
 
+def expiring_state(stream: DataFrame, key: str, event_time: str, keep_hours: float, delay: str) -> DataFrame:
+    """Last row per entity, dropped from the state store once the watermark is ``keep_hours`` past it.
+
+    Use update mode with ``newest_of=[key]``: a changed entity comes with its newest row, an expired one with
+    ``_gone``.  Of two rows of one time the one with the greater remaining values counts.  An entity that
+    expired and is heard of again starts anew.
+    """
+    rest = [f for f in stream.schema.fields if f.name not in (key, event_time)]
+    names, keep = [f.name for f in rest], int(keep_hours * 3_600_000)
+    schema = ", ".join(["_us long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rest]])
+    kind = stream.schema[key].dataType.simpleString()
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            row, gone = state.get, True
+            state.remove()
+        else:
+            rows = [tuple(r) for b in batches for r in b[["_us", *names]].astype(object).itertuples(index=False)]
+            row = max(rows + ([state.get] if state.exists else []))
+            ends = int(row[0]) // 1000 + keep
+            gone = ends <= state.getCurrentWatermarkMs()  # too old to be kept at all
+            if gone:
+                if state.exists:
+                    state.remove()
+            else:
+                state.update(row)
+                state.setTimeoutTimestamp(ends)
+        yield pd.DataFrame([(*group, *row, gone)], columns=[key, "_us", *names, changelog.GONE])
+
+    marked = stream.withWatermark(event_time, delay).withColumn("_us", F.unix_micros(event_time))
+    found = marked.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, {schema}, {changelog.GONE} boolean", schema, "update", "EventTimeTimeout")
+    return found.withColumn(event_time, F.timestamp_micros("_us")).drop("_us")
+
+
+def keep_days(event_time: str, days: int, root: str) -> Callable[[DataFrame, int], DataFrame]:
+    """Batch step: rows go to a folder per day below ``root``; days older than ``days`` before the newest day are dropped.
+
+    Dropping removes whole folders; no row is read or rewritten for it.  A batch that is replayed
+    replaces its own folders.  The step returns what the batch added and how many folders it dropped.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> DataFrame:
+        spark = batch.sparkSession
+        added = f"{root}/batch={batch_id}"
+        batch.withColumn("day", F.to_date(event_time)).write.partitionBy("day").mode("overwrite").parquet(added)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = {str(s.getPath()): str(s.getPath()).rsplit("day=", 1)[1] for s in files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch=*/day=*"))}
+        dated = {p: dt.date.fromisoformat(d) for p, d in found.items() if d[:1].isdigit()}  # rows without a readable time stay
+        last = max(dated.values(), default=None)
+        old = [p for p, d in dated.items() if d < last - dt.timedelta(days=days)]
+        for folder in old:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder), True)
+        return spark.createDataFrame([(batch_id, len(found) - len(old), len(old))], "run long, folders long, dropped long")
+
+    return step
+
+
 def latest_state(spark: SparkSession, path: str) -> DataFrame:
     """The state after the newest micro-batch of a run with ``newest_of``."""
-    log = read_output(spark, path)
-    newest = log.agg(F.max("batch")).first()[0]
-    return log.filter(F.col("batch") == newest).drop("batch")
+    return changelog.state_after(spark, path)
 
 
 def land_in_slices(rows: DataFrame, arrival: Column, slices: int, label: str) -> tuple[str, int]:
