@@ -242,3 +242,16 @@ def test_old_days_are_dropped_as_folders(spark, tmp_path):
     assert rows(spark.read.parquet(root), "entity_id", "value") == [("c", 1.0)]
     assert rows(S.read_output(spark, out), "run", "folders", "dropped")[:2] == [(0, 3, 0), (1, 4, 1)]
     assert len(list((tmp_path / "history").glob("batch=*/day=*"))) == 1
+
+
+def test_failed_regions_keep_their_last_good_rows(spark, tmp_path):
+    for k, data in enumerate(([("a", 1.0), ("b", 1.0)], [("a", 2.0), ("b", 2.0)], [("a", 3.0)])):
+        stamped = [(e, dt.datetime(2026, 9, 4, k), v) for e, v in data]
+        spark.createDataFrame(stamped, EVENT).coalesce(1).write.parquet(f"{tmp_path}/in/slice={k}")
+    stream = S.with_run(S.read_stream(spark, f"{tmp_path}/in/*", spark.createDataFrame([], EVENT).schema, files_per_batch=1)).withColumn("region", F.col("entity_id"))
+    failed = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (0, "b")], "run int, region string")
+    state = S.keep_last_good(stream, failed, ["run", "region"], "entity_id", ["ts"], ["ts", "value", "run"])
+    out = S.run_available(state, "g", "update", location=str(tmp_path / "o"), newest_of=["entity_id"])
+    assert rows(S.latest_state(spark, out), "entity_id", "value", "run", "n_seen") == [("a", 3.0, 2, 2), ("b", 2.0, 1, 1)]
+    found = S.deadline_per_batch(spark, out, "ts", 12)
+    assert rows(found, "run", "deadline_at", "n_entities") == [(0, dt.datetime(2026, 9, 4, 12), 1), (1, dt.datetime(2026, 9, 4, 12), 2), (2, dt.datetime(2026, 9, 4, 13), 2)]

@@ -250,3 +250,46 @@ def stream_retention(spark: SparkSession, sf: str) -> DataFrame:
     root = fresh_path(spark, "history")
     S.run_available(event_stream(spark, sf), "retention", shape=S.keep_days("ts", KEPT_DAYS, root))
     return spark.read.parquet(root).select("event_id", "user_id", Q.stamp("ts"))
+
+
+#: The slice each event arrives in, as in ``event_stream``.
+ARRIVAL_SQL = f"""
+span AS (SELECT epoch(min(ts)) AS a, (epoch(max(ts)) - epoch(min(ts))) / {SLICES} AS w FROM events),
+placed AS (SELECT e.*, w, (epoch(ts) - a) / w AS place FROM events e, span),
+arrived AS (
+  SELECT *, least(floor(place) + CASE WHEN event_id % 5 = 0 AND ((floor(place) + 1) - place) * w <= 43200 THEN 1 ELSE 0 END, {SLICES - 1})::INT AS run FROM placed)
+"""
+
+
+@query(
+    "q85_stream_failed_regions",
+    with_ctes(
+        ARRIVAL_SQL,
+        "good AS (SELECT * FROM arrived WHERE user_id % 5 <> (run * 2 + 1) % 5)",
+        select="""
+SELECT user_id, event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, run, n_seen FROM (
+  SELECT *, count(*) OVER (PARTITION BY user_id) AS n_seen, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM good) WHERE rn = 1""",
+    ),
+)
+def stream_failed_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """In every run one fifth of the users, a region, fails; its entities keep their last good rows."""
+    stream = S.with_run(event_stream(spark, sf)).withColumn("region", (F.col("user_id") % 5).cast("int"))
+    failed = spark.range(SLICES).select(F.col("id").cast("int").alias("run"), ((F.col("id") * 2 + 1) % 5).cast("int").alias("region"))
+    state = S.keep_last_good(stream, failed, ["run", "region"], "user_id", ["ts", "event_id"], ["ts", "event_id", "run"])
+    out = S.run_available(state, "lastgood", "update", newest_of=["user_id"])
+    return S.latest_state(spark, out).select("user_id", "event_id", Q.stamp("ts"), "run", "n_seen")
+
+
+@query(
+    "q86_stream_deadline",
+    with_ctes(
+        ARRIVAL_SQL,
+        f"last AS (SELECT r.run, user_id, max(ts) AS ts FROM (SELECT unnest(range({SLICES}))::INT AS run) r JOIN arrived a ON a.run <= r.run GROUP BY 1, 2)",
+        select="SELECT run, strftime(min(ts) + INTERVAL 12 HOUR, '%Y-%m-%d %H:%M:%S') AS deadline_at, count(*) AS n_entities FROM last GROUP BY 1",
+    ),
+)
+def stream_deadline(spark: SparkSession, sf: str) -> DataFrame:
+    """Earliest expiry after each of four runs; an entity's older rows stop counting when a newer one arrives."""
+    state = S.last_known_state(event_stream(spark, sf), "user_id", ["ts", "event_id"], ["ts", "event_id"])
+    out = S.run_available(state, "deadline", "update", newest_of=["user_id"])
+    return S.deadline_per_batch(spark, out, "ts", 12.0).select("run", Q.stamp("deadline_at"), "n_entities")

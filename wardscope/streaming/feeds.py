@@ -89,6 +89,38 @@ def last_known_state(stream: DataFrame, key: str, order: list[str], values: list
     ).select(key, "n_seen", "row.*")
 
 
+def with_run(stream: DataFrame, column: str = "run") -> DataFrame:
+    """The number of the slice a row landed in, from the folder of its file."""
+    return stream.withColumn(column, F.regexp_extract("_metadata.file_path", r"slice=(\d+)", 1).cast("int"))
+
+
+def keep_last_good(stream: DataFrame, failed: DataFrame, on: list[str], key: str, order: list[str], values: list[str]) -> DataFrame:
+    """Last good row per entity where regions may fail in single runs.
+
+    ``failed`` is a table of (run, region) keys.  What a failed region delivered in that run is not trusted and does not enter
+    the state, so its entities keep the rows of their last good run.  Use update mode with ``newest_of=[key]``.
+    """
+    good = stream.join(failed.select(*on).distinct(), on, "left_anti")
+    return last_known_state(good, key, order, values)
+
+
+def deadline_per_batch(spark: SparkSession, path: str, source_at: str, max_age_hours: float = V.SOURCE_MAX_AGE_HOURS) -> DataFrame:
+    """Earliest expiry after every micro-batch of a run with ``newest_of``.
+
+    A row that was replaced or has left the state no longer counts: the minimum is taken over the
+    state as it stood after each batch, which the changelog still holds.
+    """
+    from wardscope.functions.scalars import hours
+
+    newest = read_output(spark, path).agg(F.max(changelog.PART)).first()[0]
+    found = None
+    for batch in range(newest + 1):
+        state = changelog.state_after(spark, path, batch)
+        one = state.agg(F.lit(batch).alias("run"), F.min(F.col(source_at) + hours(max_age_hours)).alias("deadline_at"), F.count(F.lit(1)).alias("n_entities"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def expiring_state(stream: DataFrame, key: str, event_time: str, keep_hours: float, delay: str) -> DataFrame:
     """Last row per entity, dropped from the state store once the watermark is ``keep_hours`` past it.
 
