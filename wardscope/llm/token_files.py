@@ -43,23 +43,36 @@ def pack_block(ids: np.ndarray, percentile: float = 95.0) -> bytes:
     """One block of at most ``BLOCK`` unsigned 32-bit ids."""
     low = int(ids.min())
     rest = (ids - np.uint32(low)).astype("<u4")
-    lengths = np.frexp(rest.astype(np.float64))[1]  # bits each needs; 0 for 0
-    width = int(np.percentile(lengths, percentile, method="higher"))
-    over = np.flatnonzero(lengths > width)
-    bits = np.unpackbits(rest.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width) if width else np.zeros((0, 0), np.uint8)
-    packed = np.packbits(bits.reshape(-1), bitorder="little").tobytes()
-    return HEAD.pack(low, len(ids), len(over), width) + packed + over.astype("<u2").tobytes() + rest[over].tobytes()
+    place = int(np.ceil((len(rest) - 1) * percentile / 100))
+    width = int(np.partition(rest, place)[place]).bit_length()
+    over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
+    return HEAD.pack(low, len(ids), len(over), width) + _pack_bits(rest, width) + over.astype("<u2").tobytes() + rest[over].tobytes()
+
+
+def _pack_bits(rest: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each value, one after another."""
+    wide = rest.view(np.uint8).reshape(-1, 4)
+    if width % 8 == 0:  # whole bytes
+        return wide[:, : width // 8].tobytes()
+    return np.packbits(np.unpackbits(wide, axis=1, bitorder="little", count=width).reshape(-1), bitorder="little").tobytes()
+
+
+def _unpack_bits(data: bytes, at: int, n: int, width: int) -> np.ndarray:
+    packed = np.frombuffer(data, np.uint8, (n * width + 7) // 8, at)
+    if width % 8 == 0:
+        wide = np.zeros((n, 4), np.uint8)
+        wide[:, : width // 8] = packed.reshape(n, width // 8)
+        return wide.view("<u4").reshape(-1)
+    bits = np.zeros((n, 32), np.uint8)
+    bits[:, :width] = np.unpackbits(packed, bitorder="little", count=n * width).reshape(n, width)
+    return np.packbits(bits, axis=1, bitorder="little").view("<u4").reshape(-1)
 
 
 def unpack_block(data: bytes, at: int = 0) -> np.ndarray:
     low, n, n_over, width = HEAD.unpack_from(data, at)
     at += HEAD.size
-    size = (n * width + 7) // 8
-    wide = np.zeros((n, 32), np.uint8)
-    if width:
-        wide[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), bitorder="little", count=n * width).reshape(n, width)
-    rest = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
-    at += size
+    rest = _unpack_bits(data, at, n, width)
+    at += (n * width + 7) // 8
     over = np.frombuffer(data, "<u2", n_over, at)
     rest[over] = np.frombuffer(data, "<u4", n_over, at + 2 * n_over)
     return rest + np.uint32(low)
