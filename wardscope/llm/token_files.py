@@ -214,7 +214,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out: list[tuple] = []
                 for doc_id, start, ids in TokenFile(uri).documents():
-                    out.append((doc_id, base + start, len(ids), crc_of_ids(ids.astype("<u4").tobytes())))
+                    out.append((doc_id, base + start, len(ids), crc_of_ids(ids)))
                     if len(out) >= 20_000:
                         yield _rows(out)
                         out = []

@@ -10,6 +10,8 @@ import numpy as np
 #: Below U+0250: numbers that are no digits, and the capital that lowers to two characters.
 NOT_SIMPLE = re.compile("[\u00b2\u00b3\u00b9\u00bc-\u00be\u0130]")
 PARTS = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+|\s")
+#: Signs that often end a word; each is a pre-token of its own there.
+SIGNS = tuple(".,;:!?")
 WORD_BPE = "word_bpe_49k.json"
 
 
@@ -78,6 +80,8 @@ class _Words(dict):
         ids = self.old.get(word)
         if ids is not None:
             return self._keep(word, ids)
+        if word.isascii() and word[-1:] in SIGNS and word[:-1].isalpha():  # letters and one sign
+            return self[word[:-1]] + self[word[-1]]
         plain = word.isascii() or max(word) < "\u0250" and not NOT_SIMPLE.search(word)
         if word.isalpha() and plain:
             low = word.lower()
