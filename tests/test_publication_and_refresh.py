@@ -158,3 +158,23 @@ def test_refresh_publishes_a_checked_version(spark, tmp_path):
     broken = {**read, "clusters": read["clusters"].limit(3), "missingness": read["missingness"].limit(0), "snapshot": read["snapshot"].limit(21)}
     assert names(refresh.gate(read, inputs, limits)) == {"resident_code", "resident_code_unique"}
     assert names(refresh.gate(broken, inputs, limits)) >= {"serving_clustered", "snapshot_population", "resident_code"}
+
+
+def test_manifest_in_the_gate(spark, tmp_path):
+    from wardscope.operators import manifest as MF
+    from wardscope.operators.missingness import staffing_by_region
+
+    d = "entity_id string, province string, district string, catalog_id string, match_score double, match_state string, specialists double"
+    data = [("A", "P", "D", "c1", 1.0, V.STATE_AUTOMATIC, 2.0), ("B", "P", "D", None, None, V.STATE_EXCLUDED, None), ("C", "P", "E", "c3", 1.0, V.STATE_MANUAL, 1.0)]
+    detail = spark.createDataFrame(data, d)
+    ledger = spark.createDataFrame([("B", "n", "closed", "r", "old", "https://x", "2026-01-02")], ", ".join(f"{c} string" for c in MF.LEDGER))
+    catalog = spark.range(9)
+    staffing = staffing_by_region(detail)
+    made = MF.build_manifest(detail, staffing, ledger, catalog, 2, detail.withColumn("match_state", F.lit(V.STATE_MANUAL)))
+    assert rows(made["gaps"], "district", "additional_needed") == [("D", 1)]
+    assert rows(made["gap_codes"], "entity_id") == rows(made["transitions"], "entity_id") == [("B",)]
+    assert MF.manifest_contract(made, detail, staffing, ledger, catalog, detail, 2).isEmpty()
+    empty = {name: df.limit(0) for name, df in made.items()}
+    assert names(MF.manifest_contract(empty, detail, staffing, ledger, catalog, detail, 2)) == {"manifest_counter", "manifest_manual", "manifest_exclusion", "manifest_gap", "manifest_gap_code"}
+    none = MF.build_manifest(detail.limit(0), staffing.limit(0), ledger.limit(0), catalog.limit(0), 0)
+    assert dict(rows(none["counters"], "name", "value"))["specialist_total"] == 0.0 and none["gaps"].isEmpty()

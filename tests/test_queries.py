@@ -14,7 +14,7 @@ import __spark_entry__ as entry  # noqa: E402
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="tables not present")
 # one query of each family; tools/check.py runs all of them
-NAMES = ["q05", "q07", "q08", "q15", "q17", "q22", "q31", "q34", "q37", "q40", "q41", "q45", "q52", "q58", "q61", "q63"]
+NAMES = ["q05", "q07", "q08", "q15", "q17", "q22", "q31", "q34", "q37", "q40", "q41", "q45", "q52", "q58", "q61", "q63", "q88", "q89", "q90", "q91", "q92", "q93"]
 
 
 @pytest.fixture(scope="module")

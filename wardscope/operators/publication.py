@@ -102,9 +102,10 @@ def resident_contract(residents: DataFrame, master: DataFrame, period: str | Non
 
 
 def match_contract(
-    detail: DataFrame, master: DataFrame, review: DataFrame, staffing: DataFrame, no_candidate: DataFrame, other_review: DataFrame, logic_version: str | None = None
+    detail: DataFrame, master: DataFrame, review: DataFrame, staffing: DataFrame, no_candidate: DataFrame, other_review: DataFrame, logic_version: str | None = None,
+    overrides: DataFrame | None = None, exclusions: DataFrame | None = None, evidence: str | None = None,
 ) -> DataFrame:
-    """Match table, candidate audit, staffing table and review queues against each other."""
+    """Match table, candidate audit, staffing table, ledgers and review queues against each other."""
     state = F.col("match_state")
     matched = detail.filter(state.isin(V.MATCHED_STATES))
     automatic = detail.filter(state == V.STATE_AUTOMATIC)
@@ -129,7 +130,20 @@ def match_contract(
         C.equal_tables(staffing, again, place, ["quality", "n_total", "n_matched"], ["specialists", "match_rate"], "staffing"),
     ]
     if logic_version is not None:
-        checks.append(C.single_value(review, "logic_version", "review_logic", logic_version))
+        checks.append(C.in_domain(review, ["entity_id", "rank"], "logic_version", [logic_version], "review_logic"))
+    if "collected_ts" in review.columns:
+        checks.append(C.holds(review, ["entity_id", "rank"], F.col("collected_ts").try_cast("timestamp").isNotNull(), "review_stamp", F.col("collected_ts")))
+    if evidence is not None:
+        checks.append(C.in_domain(review, ["entity_id", "rank"], "evidence", [evidence], "review_evidence"))
+    if overrides is not None:
+        checks.append(C.same_set(overrides, manual, ID, "manual_is_ledger"))
+    if exclusions is not None:
+        old = review.filter(non_empty(F.col("catalog_id"))).join(exclusions.select(*ID), ID, "left_semi")
+        checks += [
+            C.same_set(exclusions, excluded, ID, "excluded_is_ledger"),
+            C.disjoint(old, exclusions, ["catalog_id"], "excluded_id_reviewed"),
+            C.subset(exclusions, review, ID, "excluded_without_review"),
+        ]
     return C.union_all(checks)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardscope.plans import q_feed, q_matching, q_operations, q_routes, q_scores, q_serving, q_stats  # noqa: F401  (they register their queries)
+from wardscope.plans import q_contracts, q_feed, q_matching, q_operations, q_routes, q_scores, q_serving, q_stats  # noqa: F401  (they register their queries)
 from wardscope.plans.registry import ORACLES, QUERIES
 
 

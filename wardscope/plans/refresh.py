@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardscope.functions import fixed_values as V
-from wardscope.operators import clusters, contract, missingness, publication, score, snapshot, statistics
+from wardscope.operators import clusters, contract, manifest, missingness, publication, score, snapshot, statistics
 from wardscope.session import cut_lineage
 from wardscope.sources import sinks
 
@@ -45,6 +45,11 @@ class Inputs:
     route_facilities: DataFrame | None = None
     facility_routes: DataFrame | None = None
     polygons: DataFrame | None = None
+    boundary_source: DataFrame | None = None
+    overrides: DataFrame | None = None
+    exclusions: DataFrame | None = None
+    catalog: DataFrame | None = None
+    match_manifest: dict[str, DataFrame] | None = None
     feed_order: list[str] = field(default_factory=lambda: ["seq"])
     previous_order: list[str] = field(default_factory=lambda: ["seq"])
 
@@ -61,6 +66,12 @@ class Limits:
     resident_period: str | None = None
     boundaries: int | None = None
     boundary_version: str | None = None
+    usable_regions: int = 0
+    logic_version: str | None = None
+
+
+#: What a table of route origins carries when it was made from boundaries.
+ORIGIN_COLUMNS = {"base_lat", "base_lon", "adjust_km", "probe_status", "boundary_version", "method", "origin_key"}
 
 
 def component_tables(snapshot_rows: DataFrame, inputs: Inputs) -> dict[str, DataFrame]:
@@ -125,8 +136,19 @@ def gate(tables: dict[str, DataFrame], inputs: Inputs, limits: Limits | None = N
     if inputs.match_staffing is not None:
         checks.append(publication.risk_table_contract(risk, master, inputs.match_staffing, limits.complete_regions))
     if inputs.matches is not None and inputs.match_review is not None:
-        checks.append(publication.match_contract(inputs.matches, master, inputs.match_review, inputs.match_staffing, *inputs.match_queues))
+        checks.append(publication.match_contract(inputs.matches, master, inputs.match_review, inputs.match_staffing, *inputs.match_queues, limits.logic_version, inputs.overrides, inputs.exclusions))
+    if inputs.matches is not None and inputs.match_staffing is not None:
+        checks.append(publication.explained_quality_contract(inputs.match_staffing, inputs.matches))
+    if inputs.match_manifest is not None:
+        checks.append(
+            manifest.manifest_contract(inputs.match_manifest, inputs.matches, inputs.match_staffing, inputs.exclusions, inputs.catalog, master, limits.usable_regions)
+        )
+    if inputs.boundary_source is not None:
+        checks.append(publication.boundary_source_contract(inputs.boundary_source, limits.boundary_version))
+    if inputs.route_origins is not None and ORIGIN_COLUMNS <= set(inputs.route_origins.columns):
+        checks.append(publication.origin_contract(inputs.route_origins, master, limits.boundary_version))
     if inputs.route_candidates is not None:
+        checks.append(publication.candidate_bounds_contract(inputs.route_candidates, inputs.route_facilities))
         access = tables["component_access"].join(inputs.access_routes.drop("road_km"), "region_key", "left")
         checks.append(
             publication.route_contract(inputs.route_origins, inputs.route_candidates, inputs.route_best, access, inputs.route_facilities, inputs.facility_routes, master)
