@@ -357,10 +357,10 @@ def test_base_spans_by_definition():
     parts = ["password", "ToKen", "api_key", "apikey", "=", ":", " ", '"', "'", "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "deadbeef" * 4, "é", "ſecret", "x=1", "=", "\n", "%41", "\\u0041"]
     for _ in range(1500):
         text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 14)))
-        base, found, _ = secret_scan.scan_deep(text)
+        base, found = secret_scan.scan_deep(text)
         assert base == brute_base(text), text
         assert set(base) <= set(found) and found == sorted(found)
-    assert secret_scan.scan_deep(None) == secret_scan.scan_deep("") == ([], [], False)
+    assert secret_scan.scan_deep(None) == secret_scan.scan_deep("") == ([], [])
 
 
 def test_nested_layers_map_back():
@@ -368,9 +368,9 @@ def test_nested_layers_map_back():
     once = base64.b64encode(inner.encode()).decode()
     for layer in (once, base64.b64encode(once.encode()).decode(), base64.b64encode(gzip.compress(inner.encode())).decode(), base64.b64encode(bz2.compress(inner.encode())).decode(), base64.b64encode(zlib.compress(once.encode())).decode()):
         text = f"é before {layer} after"
-        base, found, cut = secret_scan.scan_deep(text)
+        base, found = secret_scan.scan_deep(text)
         added = set(found) - set(base)
-        assert added and not cut
+        assert added
         for start, _, end in added:
             assert 9 <= start < end <= 9 + len(layer)
     text = "see pass%77ord%3Dqwertyu and \\u0074oken=abcdefg \\ud83d\\ude00"
@@ -380,11 +380,40 @@ def test_nested_layers_map_back():
     assert secret_scan.without_secrets(text, "#") == "see # and # \\ud83d\\ude00"
 
 
-def test_bounded_decompression(monkeypatch):
-    monkeypatch.setattr(secret_scan, "MOST_BYTES", 10_000)
-    bomb = base64.b64encode(gzip.compress(b"password=abcdefgh " * 100_000)).decode()
-    base, found, cut = secret_scan.scan_deep(bomb)
-    assert cut and (0, 0, len(bomb)) in found
+def test_long_streams_are_read_to_their_end():
+    bomb = base64.b64encode(gzip.compress(b"a b " * 20_000_000 + b"password=abcdefgh")).decode()
+    late = base64.b64encode(gzip.compress(b"a b " * 20_000_000)).decode() + " " + base64.b64encode(b"password=abcdefgh").decode()
+    assert (0, 0, len(bomb)) in secret_scan.scan_deep(bomb)[1]
+    assert any(start > 0 for start, _, _ in secret_scan.scan_deep(late)[1])
+
+
+def test_borders_of_pieces(monkeypatch):
+    monkeypatch.setattr(secret_scan, "PIECE", 50)
+    monkeypatch.setattr(secret_scan, "OVERLAP", 30)
+    for n in range(120):
+        for pack in (gzip.compress, bz2.compress, zlib.compress):
+            text = base64.b64encode(pack(b"- " * n + b"password=abcdefgh" + " é".encode() * n)).decode()
+            assert [(s, k) for s, k, _ in secret_scan.scan_deep(text)[1]] == [(0, 0)]
+
+
+def test_wrapped_lines_members_and_partial_runs():
+    inner = "some words first, then password=abcdefgh and more words to fill lines of a letter, more than two of them"
+    coded = base64.b64encode(inner.encode()).decode()
+    for head, tail in (("", ""), ("mail\n", "\nregards"), ("mail:\n", "\nregards and more\n")):
+        text = head + "\n".join(coded[k : k + 40] for k in range(0, len(coded), 40)) + tail
+        spans = secret_scan.scan_deep(text)[1]
+        assert len(spans) == 1, text
+        start, kind, end = spans[0]
+        assert kind == 0 and len(head) < start < end <= len(text) - len(tail)
+    two = base64.b64encode(gzip.compress(b"nothing here") + gzip.compress(b"password=abcdefgh")).decode()
+    assert secret_scan.scan_deep(two)[1]
+    nested = base64.b64encode(gzip.compress(b"x = 1; password=abcdefgh")).decode()  # its content looks like a zlib header
+    assert secret_scan.scan_deep(nested)[1]
+    partial = "%ffpass%77ord%3Dqwertyu %41%ff%70%61%73%73%77%6f%72%64%3dqwertyu"
+    found = [partial[a:b] for a, _, b in secret_scan.scan_deep(partial)[1]]
+    assert found == ["pass%77ord%3Dqwertyu", "%70%61%73%73%77%6f%72%64%3dqwertyu"]
+    lone = "\\ud800\\u0074oken=abcdefg"
+    assert [lone[a:b] for a, _, b in secret_scan.scan_deep(lone)[1]] == ["\\u0074oken=abcdefg"]
 
 
 # ---- repeats ----
