@@ -210,6 +210,17 @@ def test_top_k_equals_brute_force(spark):
         assert got == brute_top([(i, v) for i, v in rows], 5, 10)
 
 
+def test_top_k_of_repeated_ids(spark):
+    same = [0.5, -0.25, 1.0]
+    data = [(50, same), (50, same)] + [(k, same) for k in (61, 62, 63, 64, 65)] + [(62, [0.0, 0.0, 0.1])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    got = sorted(tuple(r)[:3] for r in topk.top_k(df).collect())
+    assert got == sorted([(50, r + 1, 61 + r) for r in range(5)] * 2)
+    twice = spark.createDataFrame([(100, same)] + [(101, same)] * 9 + [(102, same)], "vec_id long, embedding array<float>")
+    assert [r.vec_id for r in topk.top_k(twice).orderBy("rank").collect()] == [101] * 5
+    assert [r.vec_id for r in topk.top_k(spark.createDataFrame([(100, same)] + [(101, same)] * 3 + [(102, same)], df.schema)).orderBy("rank").collect()] == [101, 101, 101, 102]
+
+
 # ---- contamination ----
 
 def test_lcs():

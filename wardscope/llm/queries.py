@@ -89,4 +89,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: The other contracts are not plain SQL: tokens, XXH64, reachability, models and decoding are not in DuckDB.
-ORACLES: dict[str, str] = {"op13_phrases": phrases.ORACLE}
+ORACLES: dict[str, str] = {"op5_topk": topk.ORACLE, "op13_phrases": phrases.ORACLE}

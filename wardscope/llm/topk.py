@@ -9,12 +9,13 @@ among its k best, or all segments are done - and the possible members are scored
 integers.
 
 Every pair of a vector block and a query block is one group of bounded size.  Vectors with equal
-components tie, so only the ``k + 1`` smallest ids of each are kept (one may be the query's own);
-Spark applies that limit before it shuffles.
+components tie, so only the ``k + 1`` smallest ids of each are kept (one may be the query's own),
+each at most ``k`` times; Spark counts and limits them before it shuffles.
 
 Rows with a null id, a null vector, or a null or non-finite component take no part; empty vectors
-score 0 among themselves, and vectors are compared with those of as many components.  A repeated
-id gives each of its rows a place.  No usable row gives no result.
+score 0 among themselves, and vectors are compared with those of as many components.  Rows that
+repeat an id are queries of their own and take a place each in the results of other ids; no row
+with the query's id is a candidate for it.  No usable row gives no result.
 """
 
 from __future__ import annotations
@@ -95,29 +96,43 @@ def top_k(df: DataFrame, k: int = K, every: int = EVERY, vector_block: int = VEC
     part = F.transform(vector, lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long"))
     usable = F.col(id_column).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull() & (F.abs(x.cast("double")) < float("inf")) & ~F.isnan(x.cast("double")))
     rows = df.filter(usable).select(F.col(id_column).cast("long").alias("vec_id"), part.alias("v"))
-    queries = cut_lineage(rows.filter(F.col("vec_id") % every == 0))
+    # rows of one id are told apart by a number that is written once
+    queries = cut_lineage(rows.filter(F.col("vec_id") % every == 0).withColumn("q", F.monotonically_increasing_id()))
     order = Window.partitionBy("v").orderBy("vec_id")
-    vectors = cut_lineage(rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1).drop("_n"))
+    counted = rows.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    few = counted.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= k + 1)
+    vectors = cut_lineage(few.select(F.explode(F.array_repeat("vec_id", F.col("n"))).alias("vec_id"), "v"))
     n_v, n_q = (max(1, math.ceil(t.count() / b)) for t, b in ((vectors, vector_block), (queries, query_block)))
     # each block meets each block of the other side once
     left = vectors.select(F.size("v").alias("d"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_v)).alias("vb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))).alias("qb"), "vec_id", "v")
-    right = queries.select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))).alias("vb"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_q)).alias("qb"), "vec_id", "v")
+    right = queries.select(F.size("v").alias("d"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))).alias("vb"), F.pmod(F.xxhash64("q"), F.lit(n_q)).alias("qb"), "vec_id", "v", "q")
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
+        out: dict[str, list] = {"q": [], "query_id": [], "vec_id": [], "score": []}
         if len(a) and len(b):
             width = int(a["d"].iloc[0])
             matrix = [np.array(t["v"].tolist(), np.int64).reshape(len(t), width) for t in (a, b)]
             index = ImpactIndex(a["vec_id"].to_numpy(np.int64), matrix[0])
-            own = b["vec_id"].to_numpy(np.int64)
+            own, numbers = b["vec_id"].to_numpy(np.int64), b["q"].to_numpy(np.int64)
             for at in range(0, len(own), 256):
-                for query_id, (ids, scores) in zip(own[at : at + 256], index.search(matrix[1][at : at + 256], own[at : at + 256], k)):
+                for q, query_id, (ids, scores) in zip(numbers[at : at + 256], own[at : at + 256], index.search(matrix[1][at : at + 256], own[at : at + 256], k)):
+                    out["q"] += [q] * len(ids)
                     out["query_id"] += [query_id] * len(ids)
                     out["vec_id"] += ids.tolist()
                     out["score"] += scores.tolist()
         return pd.DataFrame(out).astype("int64")
 
     keys = ["d", "vb", "qb"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "q long, query_id long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+ORACLE = f"""
+WITH rows AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+scored AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, CASE WHEN len(q.v) = len(c.v) THEN list_dot_product(q.v, c.v)::BIGINT END AS score
+  FROM rows q JOIN rows c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % {EVERY} = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= {K}"""
