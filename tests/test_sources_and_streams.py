@@ -255,3 +255,25 @@ def test_failed_regions_keep_their_last_good_rows(spark, tmp_path):
     assert rows(S.latest_state(spark, out), "entity_id", "value", "run", "n_seen") == [("a", 3.0, 2, 2), ("b", 2.0, 1, 1)]
     found = S.deadline_per_batch(spark, out, "ts", 12)
     assert rows(found, "run", "deadline_at", "n_entities") == [(0, dt.datetime(2026, 9, 4, 12), 1), (1, dt.datetime(2026, 9, 4, 12), 2), (2, dt.datetime(2026, 9, 4, 13), 2)]
+
+
+def test_lines_are_numbered_across_splits(spark, tmp_path):
+    from wardscope.sources import readers
+
+    names = ["가", "나다", "x, y"]
+    for name, n in (("a", 700), ("b", 3)):
+        body = [f"제목 {name}", "", "둘째", "c0,c1,c2"] + [f'{k},"{names[k % 3]}",{k * k}' for k in range(n)]
+        (tmp_path / f"{name}.csv").write_bytes("\n".join(body).encode("cp949"))
+    (tmp_path / "empty.csv").write_bytes(b"")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        lines = readers.numbered_lines(spark, str(tmp_path), readers.KOREAN_CHARSET)
+        assert lines.filter("path like '%/a.csv'").select("line").distinct().count() == 703
+        assert lines.agg({"line": "max"}).first()[0] == 702
+        got = sorted(tuple(r) for r in readers.read_positional(spark, str(tmp_path), 3).collect())
+        whole = sorted(tuple(r) for r in readers.read_positional(spark, str(tmp_path), 3, multi_line=True).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = sorted((str(k), names[k % 3], str(k * k)) for n in (700, 3) for k in range(n))
+    assert got == whole == want

@@ -17,6 +17,8 @@ from wardscope.operators import missingness as MS
 from wardscope.operators import publication as PUB
 from wardscope.plans import bindings as B
 from wardscope.plans.registry import query, table, with_ctes
+from wardscope.session import fresh_path
+from wardscope.sources import readers as R
 
 TARGET = 20
 
@@ -304,3 +306,20 @@ def sources_and_gaps(spark: SparkSession, sf: str) -> DataFrame:
             PUB.origins_from_table(centres, p.select("region_key"))[1],
         ]
     )
+
+
+@query(
+    "q94_positional_lines",
+    """SELECT o_orderkey::VARCHAR AS c0, '상태 ' || o_orderstatus AS c1, CASE WHEN o_custkey % 3 = 0 THEN 'a, "b"' ELSE o_orderpriority END AS c2 FROM orders""",
+)
+def positional_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders written as files in the Korean code page, each with a header line, and read by position."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(
+        key.cast("string").alias("key"), F.concat(F.lit("상태 "), "o_orderstatus").alias("state"),
+        F.when(F.col("o_custkey") % 3 == 0, 'a, "b"').otherwise(F.col("o_orderpriority")).alias("note"),
+    )
+    path = fresh_path(spark, "lines")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    rows.write.option("header", True).option("encoding", R.KOREAN_CHARSET).csv(path)
+    return R.read_positional(spark, path, 3, skip=0)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,14 +88,38 @@ def read_registry(spark: SparkSession, path) -> DataFrame:
     return spark.read.option("header", True).option("encoding", KOREAN_CHARSET).csv(path)
 
 
-def read_positional(spark: SparkSession, path, columns: int = 6, skip: int = 2, charset: str = KOREAN_CHARSET) -> DataFrame:
-    """Korean code page file with ``skip`` leading lines and a header line, addressed by position.
+def numbered_lines(spark: SparkSession, path, charset: str = "UTF-8") -> DataFrame:
+    """(path, line, value): the lines of each file that are not blank, numbered from 0 in file order.
 
-    Lines are split per file by their offset, so only the first lines of each
-    file are looked at specially.
+    A file is read by as many tasks as it has splits.  Each split counts its lines, the counts of the
+    splits before it are summed per file, and a line's number is that sum and its place in its split.
+    """
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # the scan looks it up when it runs
+    split = ["path", "_start"]
+    # one column: a separator that no text has, and no quotes; unlike the text source this one knows code pages
+    text = spark.read.schema("value string").option("encoding", charset).option("sep", "\u0001").option("quote", "").csv(path)
+    lines = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"), "value").filter(F.trim("value") != "")
+    # counts rows within a task; a split's lines follow each other in one task
+    lines = lines.withColumn("_place", F.monotonically_increasing_id())
+    splits = lines.groupBy(*split).agg(F.min("_place").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum("_lines").over(before), F.lit(0)) - F.col("_first")
+    return lines.join(splits.select(*split, offset.alias("_offset")), split).select("path", (F.col("_place") + F.col("_offset")).alias("line"), "value")
+
+
+def read_positional(
+    spark: SparkSession, path, columns: int = 6, skip: int = 2, charset: str = KOREAN_CHARSET, multi_line: bool = False
+) -> DataFrame:
+    """Korean code page file with ``skip`` leading lines and a header line, addressed by position; blank lines do not count.
+
+    One file is read by many tasks.  ``multi_line`` is for files whose quoted fields hold line breaks: their
+    lines cannot be told from a split, so each file is one task's work.
     """
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(columns)])
+    if not multi_line:
+        fields = F.from_csv("value", ", ".join(f"c{i} string" for i in range(columns)))
+        return numbered_lines(spark, path, charset).filter(F.col("line") > skip).select(fields.alias("_f")).select("_f.*")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     rows = spark.read.schema(schema).option("encoding", charset).option("multiLine", True).csv(path)
     # a multi-line file is read as one split, so this id counts lines from 0 within each file
     line = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
