@@ -87,6 +87,16 @@ def test_longest_contained_name_wins_within_scope(spark):
     assert rows(J.longest_contained(texts, names, "id", "t", "n", "p"), "id", "matched_name") == [(1, "수원시영통구"), (2, None), (3, "남구"), (4, None)]
 
 
+def test_substrings_are_never_the_collected_side(spark):
+    texts = spark.range(2000).selectExpr("id", "concat('Brand ', id % 7, ' hot bolt of large ring ', repeat('x', 40)) AS t")
+    names = frame(spark, [("hot bolt",), ("large ring",), ("bolt",)], "n string")
+    found = J.longest_contained(texts, names, "id", "t", "n")
+    assert rows(found, "id", "matched_name") == [(i, "large ring") for i in range(2000)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan and "strategy=merge" in plan
+    assert found.filter("id = 5").count() == 1
+
+
 def test_changes_between_versions(spark):
     a = frame(spark, [("1", "x"), ("2", "x"), ("3", "x")], "id string, v string")
     b = frame(spark, [("2", "x"), ("3", "y"), ("4", "x")], "id string, v string")

@@ -1,7 +1,8 @@
 """Population-preserving joins, ledgers, key fallbacks and set comparisons.
 
-No join carries a broadcast hint: a side is broadcast only when the optimizer
-or adaptive execution has measured it below ``autoBroadcastJoinThreshold``.
+A side is broadcast only when the optimizer or adaptive execution has measured it below
+``autoBroadcastJoinThreshold``; where a side is exploded before the join, which the optimizer
+cannot see, the operator measures the other side itself and names the join.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 from wardscope.functions import fixed_values as V
 from wardscope.functions.scalars import parent_city
 from wardscope.operators.dedupe import keep_first
+from wardscope.session import cut_lineage
+
+# names of a table sent to all tasks, in characters with 64 for each row
+MOST_SENT = 8_000_000
 
 
 def conform(population: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
@@ -132,11 +137,14 @@ def longest_contained(
     """Longest name occurring inside each text (spaces ignored), ties by name.
 
     Each text lists its substrings of the lengths that names really have, and
-    those are joined to the names by equality.  Only true occurrences are ever
+    those are joined to the names by equality; equal texts are listed once.  Only true occurrences are ever
     paired, and the work follows text length instead of texts times names.
+    The substrings are never the side that is collected: the optimizer takes them for
+    as small as their texts, so names measured as small are broadcast by name, and
+    all else is joined by sorting.
     """
-    keys = [text_id] + ([scope] if scope else [])
     scoped = [scope] if scope else []
+    keys = scoped + ["_text"]
     wanted = (
         names.select(*scoped, F.col(name).alias("_name"))
         .withColumn("_bare", F.regexp_replace("_name", r"\s+", ""))
@@ -144,12 +152,15 @@ def longest_contained(
         .groupBy(*scoped, "_bare")
         .agg(F.min("_name").alias("_name"))
     )
+    wanted = cut_lineage(wanted)
+    weight = wanted.agg(F.sum(F.length("_bare") + F.length("_name") + 64)).first()[0] or 0
+    wanted = wanted.hint("broadcast" if weight <= MOST_SENT else "merge")
     # distinct name lengths: a handful, never more than the longest name has characters
     lengths = sorted(r[0] for r in wanted.select(F.length("_bare")).distinct().collect())
     if not lengths:
         return texts.withColumn("matched_name", F.lit(None).cast("string"))
     squeezed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"\s+", "")
-    source = texts.select(*keys, squeezed.alias("_text")).filter(F.length("_text") >= lengths[0])
+    source = texts.select(*scoped, squeezed.alias("_text")).filter(F.length("_text") >= lengths[0]).distinct()
     parts = F.flatten(
         F.transform(
             F.array(*[F.lit(w) for w in lengths]),
@@ -161,7 +172,7 @@ def longest_contained(
     )
     found = source.select(*keys, F.explode(F.array_distinct(parts)).alias("_bare")).join(wanted, scoped + ["_bare"])
     best = keep_first(found, keys, [-F.length("_bare"), F.col("_name")]).select(*keys, F.col("_name").alias("matched_name"))
-    return texts.join(best, keys, "left")
+    return texts.withColumn("_text", squeezed).join(best.hint("merge"), keys, "left").select(*texts.columns, "matched_name")
 
 
 def list_changes(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
