@@ -153,6 +153,36 @@ def test_pools_equal_the_definition(spark, monkeypatch, salts):
     assert rows(made.select(*key)) == rows(wanted.select(*key))
 
 
+def pool_of(spark, n_targets, n_candidates):
+    random.seed(11)
+    words = ["새봄", "중앙", "푸른", "한빛", "병원", "의료원", "의원", "12", "71"]
+
+    def name():
+        return "".join(random.choice(words) for _ in range(random.randint(1, 4)))
+
+    targets = [target(f"T{i}", name=name(), address=f"서울특별시 강남구 테헤란로 {random.randint(1, 400)}") for i in range(n_targets)]
+    candidates = [candidate(f"C{i:03}", name=name(), address=f"서울특별시 강남구 테헤란로 {random.randint(1, 400)}") for i in range(n_candidates)]
+    return M.prepare_targets(spark.createDataFrame(targets, T)), M.prepare_catalog(spark.createDataFrame(candidates, C))
+
+
+@pytest.mark.parametrize("similarity", ["edit", "sequence"])
+def test_best_pairs_equal_the_best_of_all_pairs(spark, monkeypatch, similarity):
+    monkeypatch.setattr(M, "PARTS", (8, 2))
+    t, c = pool_of(spark, 12, 200)
+    tiers = M.target_tiers(t, c)
+    key = ["entity_id", "catalog_id", "rank", "match_score", "name_similarity", "address_similarity", "gate_reason"]
+    made = M.best_pairs(t, c, tiers, similarity=similarity, limit=5)
+    assert rows(made, *key) == rows(M.ranked_pairs(M.scored_pairs(M.pool_pairs(t, c, tiers), similarity), 5), *key)
+
+
+def test_a_crowded_pool_is_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(M, "POOL_PAIRS", 100)
+    t, c = pool_of(spark, 20, 150)
+    pairs = M.pool_pairs(t, c, M.target_tiers(t, c)).select("entity_id", F.spark_partition_id().alias("p"))
+    assert pairs.count() == 3000
+    assert pairs.select("p").distinct().count() >= 8
+
+
 def brute(edges):
     targets = sorted({t for t, _, _ in edges})
     options = [[(None, 0.0)] + [(c, s) for t, c, s in edges if t == name] for name in targets]
