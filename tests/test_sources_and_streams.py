@@ -277,3 +277,14 @@ def test_lines_are_numbered_across_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     want = sorted((str(k), names[k % 3], str(k * k)) for n in (700, 3) for k in range(n))
     assert got == whole == want
+
+
+def test_slices_have_as_many_files_whatever_their_rows(spark):
+    """A stream that takes that many files at a time takes one whole slice, also where a slice has few rows."""
+    rows = spark.range(0, 1000, 1, 8)
+    arrival = F.when(F.col("id") < 3, 0).when(F.col("id") < 900, 1).otherwise(2)
+    folder, files = S.land_in_slices(rows, arrival, 3, "slices")
+    stream = S.with_run(S.read_stream(spark, folder, rows.schema, files_per_batch=files))
+    out = S.run_available(stream, "slices_read")
+    per_batch = S.read_output(spark, out).groupBy("batch", "run").count()
+    assert sorted(tuple(r) for r in per_batch.collect()) == [(0, 0, 3), (1, 1, 897), (2, 2, 100)]

@@ -132,14 +132,16 @@ def expiring_state(stream: DataFrame, key: str, event_time: str, keep_hours: flo
     names, keep = [f.name for f in rest], int(keep_hours * 3_600_000)
     schema = ", ".join(["_us long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in rest]])
     kind = stream.schema[key].dataType.simpleString()
+    columns = [key, "_us", *names, changelog.GONE]
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             row, gone = state.get, True
             state.remove()
         else:
-            rows = [tuple(r) for b in batches for r in b[["_us", *names]].astype(object).itertuples(index=False)]
-            row = max(rows + ([state.get] if state.exists else []))
+            # an entity has few rows in a batch: plain lists cost less than a frame of them
+            rows = (max(zip(*(b[c].tolist() for c in ("_us", *names)))) for b in batches if len(b))
+            row = max([*rows, *([state.get] if state.exists else [])])
             ends = int(row[0]) // 1000 + keep
             gone = ends <= state.getCurrentWatermarkMs()  # too old to be kept at all
             if gone:
@@ -148,7 +150,7 @@ def expiring_state(stream: DataFrame, key: str, event_time: str, keep_hours: flo
             else:
                 state.update(row)
                 state.setTimeoutTimestamp(ends)
-        yield pd.DataFrame([(*group, *row, gone)], columns=[key, "_us", *names, changelog.GONE])
+        yield pd.DataFrame({c: [v] for c, v in zip(columns, (*group, *row, gone))})
 
     marked = stream.withWatermark(event_time, delay).withColumn("_us", F.unix_micros(event_time))
     found = marked.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, {schema}, {changelog.GONE} boolean", schema, "update", "EventTimeTimeout")
@@ -185,14 +187,20 @@ def latest_state(spark: SparkSession, path: str) -> DataFrame:
 
 
 def land_in_slices(rows: DataFrame, arrival: Column, slices: int, label: str) -> tuple[str, int]:
-    """Write rows as files that arrive in order of ``arrival`` (0 to slices - 1); (folder, files of the largest slice)."""
+    """Write rows as files that arrive in order of ``arrival`` (0 to slices - 1); (folder, files of every slice).
+
+    All slices have the same number of files, some of them without rows where a slice is small, so that a stream
+    that takes that many files at a time takes one whole slice.
+    """
     spark = rows.sparkSession
     root = fresh_path(spark, label)
-    most = 1
+    files = rows.rdd.getNumPartitions()
     for k in range(slices):
-        rows.filter(arrival == k).write.parquet(f"{root}/slice={k}")
-        most = max(most, len(spark.read.schema(rows.schema).parquet(f"{root}/slice={k}").inputFiles()))
-    return f"{root}/*", most
+        path = f"{root}/slice={k}"
+        rows.filter(arrival == k).repartition(files).write.parquet(path)
+        for _ in range(files - len(spark.read.schema(rows.schema).parquet(path).inputFiles())):
+            rows.limit(0).write.mode("append").parquet(path)
+    return f"{root}/*", files
 
 
 def hourly_means(stream: DataFrame, event_time: str, value: str, delay: str = "1 hour") -> DataFrame:
