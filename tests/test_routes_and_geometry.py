@@ -186,3 +186,22 @@ def test_rounding_and_box(spark):
 def test_distance_basis(spark):
     df = spark.createDataFrame([(1.0, 2.0, 3.0, V.ROUTE_OK), (1.0, 2.0, None, V.ROUTE_OK), (1.0, None, None, "x"), (None, None, None, None)], "straight_km double, road_km double, eta_min double, route_status string")
     assert [tuple(r) for r in R.distance_basis(df).select("distance_km", "distance_basis").collect()] == [(2.0, V.BASIS_ROAD), (1.0, V.BASIS_STRAIGHT), (1.0, V.BASIS_STRAIGHT), (None, V.BASIS_NONE)]
+
+
+def test_a_spot_with_many_origins_is_searched_once(spark):
+    origins = spark.createDataFrame([(f"r{i}", 37.5 + i % 2 / 10, 127.0) for i in range(200)], O)
+    places = spark.createDataFrame([(f"e{j}", 37.4 + j / 50, 127.01) for j in range(20)], D)
+    near = R.nearest_candidates(origins, places, 3)
+    assert near.count() == 600
+    assert "Window [row_number() windowspecdefinition(origin_lat" in near._jdf.queryExecution().optimizedPlan().toString()
+    wide = origins.withColumn("own", F.when(F.col("region_key") == "r0", 50000.0).otherwise(12.0))
+    shared = R.within_own_radius(wide, places, F.col("own"), strict=False)
+    alone = R.within_radius(wide, places, F.col("own"), strict=False)
+    assert rows(shared, "region_key", "entity_id", "straight_km") == rows(alone, "region_key", "entity_id", "straight_km")
+
+
+def test_points_on_one_spot_are_tested_once(spark):
+    points = spark.createDataFrame([(f"p{i}", 2.0 + i % 2 * 20, 2.0) for i in range(50)], "p string, lon double, lat double")
+    found = P.points_in_polygons(points, shapes(spark, [("b", [SQUARE])]), ["p"])
+    assert found.count() == 25
+    assert "Aggregate [lat" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -99,20 +99,38 @@ def within_radius(origins: DataFrame, facilities: DataFrame, radius: Column, str
     return pairs.filter(near | (F.col("_radius") >= HALF_WORLD_KM)).drop("_cell", "_level", "_radius")
 
 
+SPOT = ["origin_lat", "origin_lon"]
+
+
+def within_own_radius(origins: DataFrame, facilities: DataFrame, radius: Column, strict: bool) -> DataFrame:
+    """``within_radius`` where many origins may share a spot: a spot is searched once, as far as its widest origin.
+
+    Origins that search the whole world are searched on their own, so that they widen no other's circle.
+    """
+    reach = origins.withColumn("_own", F.least(radius, F.lit(HALF_WORLD_KM)))
+    some = reach.filter(F.col("_own") < HALF_WORLD_KM)
+    spots = some.groupBy(*SPOT).agg(F.max("_own").alias("_widest"))
+    found = within_radius(spots, facilities, F.col("_widest"), strict).drop("_widest")
+    near = F.col("straight_km") < F.col("_own") if strict else F.col("straight_km") <= F.col("_own")
+    world = within_radius(reach.filter(F.col("_own") >= HALF_WORLD_KM), facilities, F.col("_own"), strict)
+    return some.join(found, SPOT).filter(near).unionByName(world).drop("_own")
+
+
 def nearest_candidates(origins: DataFrame, facilities: DataFrame, k: int = V.ROUTE_INITIAL_CANDIDATES) -> DataFrame:
     """The k nearest facilities of each origin by straight line, ties by id.
 
     ``origins``: region_key, origin_lat, origin_lon; ``facilities``: entity_id,
     dest_lat, dest_lon.  Of facilities on one spot only the k smallest ids can
     be among k nearest, so a spot shared by many is cut to k before the join.
+    Origins on one spot have the same candidates, which are searched once.
     """
     reduced = top_per_group(facilities, ["dest_lat", "dest_lon"], [F.col("entity_id")], k, "_n").drop("_n")
-    levelled = _search_level(origins, reduced, k)
+    levelled = _search_level(origins.select(*SPOT).distinct(), reduced, k)
     radius = F.when(F.col("level") == 0, F.lit(HALF_WORLD_KM)).otherwise(
         G.cell_degrees(F.col("level")) * (BLOCK_REACH * G.KM_PER_DEGREE)
     )
     pairs = within_radius(levelled, reduced, radius, strict=False).drop("level")
-    return top_per_group(pairs, ["region_key"], [F.col("straight_km"), F.col("entity_id")], k)
+    return origins.join(top_per_group(pairs, SPOT, [F.col("straight_km"), F.col("entity_id")], k), SPOT)
 
 
 def evaluated_candidates(
@@ -147,7 +165,7 @@ def evaluated_candidates(
     reach = origins.join(best, "region_key").withColumn(
         "_circle", F.greatest(F.coalesce("_best", F.lit(HALF_WORLD_KM)), F.col("_seen") * (1 + 1e-12) + 1e-9)
     )
-    inside = within_radius(reach, facilities, F.col("_circle"), strict=False).drop("_best", "_seen", "_circle")
+    inside = within_own_radius(reach, facilities, F.col("_circle"), strict=False).drop("_best", "_seen", "_circle")
     by = Window.partitionBy("region_key").orderBy("straight_km", "entity_id")
     ranked = attach_route(inside).withColumn("rank", F.row_number().over(by))
     before = F.min(F.when(valid, F.col("road_km"))).over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -190,7 +208,7 @@ def proof_violations(
         F.lit("uncertain_failure").alias("check"), F.col("region_key").cast("string").alias("key"), F.col(keep).cast("string").alias("detail")
     )
     circle = origins.join(proven, "region_key")
-    near = within_radius(circle, facilities, F.col("best"), strict=True)
+    near = within_own_radius(circle, facilities, F.col("best"), strict=True)
     unseen = near.join(evaluated.select("region_key", keep), ["region_key", keep], "left_anti").select(
         F.lit("not_evaluated").alias("check"), F.col("region_key").cast("string").alias("key"), F.col(keep).cast("string").alias("detail")
     )
