@@ -173,17 +173,20 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: list[st
 
     Polygons are listed under the grid cells their box touches, points under
     their own cell, so the join is an equality on the cell; adaptive skew
-    handling splits a crowded cell on the point side.
+    handling splits a crowded cell on the point side.  Points on one spot are
+    tested once, and edges are only walked for points inside the box.
     """
     size = G.ROOT_DEGREES / 2**level
     boxed = polygons.withColumn("_box", bounding_box(F.col("rings")))
     rows = F.sequence(F.floor((F.col("_box.min_y") + 90.0) / size), F.floor((F.col("_box.max_y") + 90.0) / size))
     cols = F.sequence(F.floor((F.col("_box.min_x") + 180.0) / size), F.floor((F.col("_box.max_x") + 180.0) / size))
     cells = F.flatten(F.transform(rows, lambda r: F.transform(cols, lambda c: F.struct(r.alias("r"), c.alias("c")))))
-    listed = boxed.withColumn("_cell", F.explode(cells)).drop("_box")
-    placed = points.withColumn(
+    listed = boxed.withColumn("_cell", F.explode(cells))
+    placed = points.select("lat", "lon").distinct().withColumn(
         "_cell",
         F.struct(F.floor((F.col("lat") + 90.0) / size).alias("r"), F.floor((F.col("lon") + 180.0) / size).alias("c")),
     )
-    joined = placed.join(listed, "_cell")
-    return joined.filter(in_polygon(F.col("lon"), F.col("lat"), F.col("rings"))).drop("_cell", "rings")
+    x, y = F.col("lon"), F.col("lat")
+    boxes = x.between(F.col("_box.min_x"), F.col("_box.max_x")) & y.between(F.col("_box.min_y"), F.col("_box.max_y"))
+    held = placed.join(listed, "_cell").filter(boxes & in_polygon(x, y, F.col("rings"))).drop("_cell", "_box", "rings")
+    return points.join(held, ["lat", "lon"])
