@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from wardscope.functions import fixed_values as V
 from wardscope.operators import assignment as A
 from wardscope.operators import matching as M
+from wardscope.operators.assignment import _solve
 
 T = "entity_id string, name string, address string, phone string, lat string, lon string, province string, district string"
 C = "catalog_id string, name string, address string, phone string, lat string, lon string, kind string, province string, district string"
@@ -183,6 +185,15 @@ def test_a_crowded_pool_is_dealt_to_many_tasks(spark, monkeypatch):
     assert pairs.select("p").distinct().count() >= 8
 
 
+def test_components_are_solved_across_batches():
+    edges = [("1", "a", "x", 0.9), ("1", "a", "y", 0.85), ("1", "b", "x", 0.95), ("2", "c", "z", 0.9), ("3", "d", "w", 0.9), ("3", "e", "w", 0.95)]
+    names = ["component", "entity_id", "catalog_id", "score"]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(names, e)) for e in edges[i : i + 2]]) for i in range(0, len(edges), 2)]
+    found = [tuple(r.values()) for b in _solve(iter(batches)) for r in b.to_pylist()]
+    assert sorted(found) == [("a", "y", 0.85), ("b", "x", 0.95), ("c", "z", 0.9), ("e", "w", 0.95)]
+    assert [b.num_rows for b in _solve(iter([]))] == [0]
+
+
 def brute(edges):
     targets = sorted({t for t, _, _ in edges})
     options = [[(None, 0.0)] + [(c, s) for t, c, s in edges if t == name] for name in targets]

@@ -11,8 +11,9 @@ whose memory is linear in its edges.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,9 +86,23 @@ def solve_component(edges: list[tuple[str, str, float]]) -> list[tuple[str, str,
     return [(t, names[chosen[i]], scores[t, names[chosen[i]]]) for t, i in row_of.items() if chosen[i] in names]
 
 
-def _solve(group: pd.DataFrame) -> pd.DataFrame:
-    rows = solve_component(list(zip(group["entity_id"], group["catalog_id"], group["score"])))
-    return pd.DataFrame(rows, columns=["entity_id", "catalog_id", "score"])
+def _solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Solves the components of edges that come sorted by component; one component is held at a time."""
+    name, edges = None, []
+
+    def table(rows: list[tuple[str, str, float]]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=PAIR_SCHEMA.names)
+
+    for batch in batches:
+        solved = []
+        for component, *edge in zip(*(c.to_pylist() for c in batch.columns)):
+            if component != name:
+                solved += solve_component(edges)
+                name, edges = component, []
+            edges.append(tuple(edge))
+        yield table(solved)
+    yield table(solve_component(edges))
 
 
 def labelled(edges: DataFrame) -> DataFrame:
@@ -136,4 +151,6 @@ def assign(edges: DataFrame) -> DataFrame:
     rest = pairs.join(direct.select("entity_id"), "entity_id", "left_anti")
     if rest.isEmpty():
         return direct
-    return direct.unionByName(labelled(rest).groupBy("component").applyInPandas(_solve, PAIR_SCHEMA))
+    # components are many and mostly small: a task walks through its own in order instead of taking a frame for each
+    rows = labelled(rest).select("component", *PAIR_SCHEMA.names).repartition("component").sortWithinPartitions("component")
+    return direct.unionByName(rows.mapInArrow(_solve, PAIR_SCHEMA))
