@@ -28,9 +28,18 @@ def require_columns(df: DataFrame, columns: list[str], name: str) -> None:
         raise ValueError(f"{name} lacks columns: {', '.join(lost)}")
 
 
-def unique(df: DataFrame, columns: list[str], check: str) -> DataFrame:
-    """Keys that repeat, and keys with an empty part."""
-    counted = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+def _dealt(df: DataFrame, columns: list[str], tasks: int | None) -> DataFrame:
+    """Rows dealt to a fixed number of tasks.
+
+    Adaptive execution merges tasks by the size of their files, and keys in order shrink there to
+    a few bytes, so that one task would count the keys of a whole table.
+    """
+    return df.repartition(tasks, *columns) if tasks else df
+
+
+def unique(df: DataFrame, columns: list[str], check: str, tasks: int | None = None) -> DataFrame:
+    """Keys that repeat, and keys with an empty part; ``tasks`` bounds the memory where most keys differ."""
+    counted = _dealt(df.select(*columns), columns, tasks).groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
     empty = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
     return _rows(counted.filter((F.col("n") > 1) | empty), check, columns, F.col("n"))
 
@@ -128,9 +137,9 @@ def equal_rows(left: DataFrame, right: DataFrame, check: str) -> DataFrame:
     )
 
 
-def prefix_ranks(df: DataFrame, keys: list[str], rank: str, check: str) -> DataFrame:
-    """Ranks of each key are 1..n without holes or repeats."""
-    facts = df.groupBy(*keys).agg(
+def prefix_ranks(df: DataFrame, keys: list[str], rank: str, check: str, tasks: int | None = None) -> DataFrame:
+    """Ranks of each key are 1..n without holes or repeats; ``tasks`` bounds the memory where there are many keys."""
+    facts = _dealt(df.select(*keys, rank), keys, tasks).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max(rank).alias("hi"), F.min(rank).alias("lo"), F.count_distinct(rank).alias("d")
     )
     good = (F.col("lo") == 1) & (F.col("hi") == F.col("n")) & (F.col("d") == F.col("n"))

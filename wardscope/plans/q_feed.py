@@ -314,11 +314,12 @@ UNION ALL SELECT 'line_prefix', l_orderkey::VARCHAR, count(*)::VARCHAR FROM line
 def contract_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
     orders = table(spark, sf, "orders").select("o_orderkey")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return C.union_all(
         [
-            C.unique(lines, ["l_orderkey", "l_linenumber"], "line_key"),
-            C.unique(orders, ["o_orderkey"], "order_key"),
-            C.prefix_ranks(lines, ["l_orderkey"], "l_linenumber", "line_prefix"),
+            C.unique(lines, ["l_orderkey", "l_linenumber"], "line_key", tasks),
+            C.unique(orders, ["o_orderkey"], "order_key", tasks),
+            C.prefix_ranks(lines, ["l_orderkey"], "l_linenumber", "line_prefix", tasks),
         ]
     )
 
