@@ -135,12 +135,23 @@ class BidirectionalIndex:
         return self.sequence[self.order[phrases.low][:, None] + np.arange(phrases.size)]
 
 
+def _press_columns(columns: np.ndarray) -> bytes:
+    """Rows of 32-bit numbers, their bytes by place: the upper ones of small numbers are equal and take little room."""
+    planes = columns.astype("<u4").view(np.uint8).reshape(*columns.shape, 4).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def _columns(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(n, 4, -1)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4")[:, :, 0]
+
+
 def _press(sequence: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(sequence.astype("<i4").tobytes())
+    return _press_columns(sequence[None, :])
 
 
 def _sequence(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<i4")
+    return _columns(data, 1)[0].astype(np.int32)
 
 
 SHARD = "shard string, lang string, words array<string>, counts array<long>, sequence binary"
@@ -221,16 +232,23 @@ def _enumerated(longest: int, buckets: int):
 
 
 def _press_entries(entries: np.ndarray) -> bytes:
-    """Column by column; ids are below 2^32, and a count of 2^32 or more in one shard is not possible."""
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(entries.T.astype("<u4")).tobytes())
+    """Column by column, of the first one, which rises, the steps; ids are below 2^32, and a count of 2^32 or more in one shard is not possible."""
+    columns = np.ascontiguousarray(entries.T.astype("<u4"))
+    columns[0] = np.diff(columns[0], prepend=np.uint32(0))
+    return _press_columns(columns)
+
+
+def _entries(data: bytes, size: int) -> np.ndarray:
+    """Columns of ids and the counts."""
+    columns = _columns(data, size + 1)
+    return np.concatenate([np.cumsum(columns[:1], axis=1, dtype=np.uint32), columns[1:]])
 
 
 def _summed(least: int):
     def make(blocks: pa.Table) -> pa.Table:
         """Sums of one bucket's entries, as far as they are frequent."""
         size = blocks.column("size")[0].as_py()
-        unpress = zstandard.ZstdDecompressor()
-        parts = [np.frombuffer(unpress.decompress(b.as_py()), "<u4").reshape(size + 1, -1) for b in blocks.column("entries")]
+        parts = [_entries(b.as_py(), size) for b in blocks.column("entries")]
         columns = np.concatenate(parts, axis=1).astype(np.int64)
         pairs = [columns[k] << 32 | (columns[k + 1] if k + 1 < size else 0) for k in range(0, size, 2)]
         order = np.lexsort(pairs[::-1])
@@ -249,8 +267,8 @@ def _summed(least: int):
 
 
 def _with_ids(words: DataFrame) -> DataFrame:
-    """Written rows with ids from 1 without gaps, in any order."""
-    placed = cut_lineage(words.withColumn("id", F.monotonically_increasing_id()))
+    """Written rows with ids from 1 without gaps, about the smaller the more frequent, so that most ids in entries are small."""
+    placed = cut_lineage(words.orderBy(F.desc("n"), "lang", "word").withColumn("id", F.monotonically_increasing_id()))
     part = F.shiftright("id", 33)
     sizes = sorted((r.part, r.n) for r in placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row per partition
     before, offsets = 1, []
