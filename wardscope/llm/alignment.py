@@ -42,7 +42,9 @@ PIECE_BPE = "piece_bpe_32k.model"
 #: Texts and characters of a chunk; a longer text is a chunk of its own.
 CHUNK_TEXTS, CHUNK_CHARS = 1000, 2_000_000
 #: Signs, digits and blanks that regular expression engines may class differently, and runs too long for ``tiktoken``.
-NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u024f]|[\u00aa\u00b2\u00b3\u00b9\u00ba\u00bc-\u00be\u0130]|\S{400}|\s{400}")
+NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab-\u00b1\u00b4-\u00b8\u00bb\u00bf-\u012f\u0131-\u024f]")
+LONG_RUN = 400
+LONG_BLANK = re.compile(r"\s{%d}" % LONG_RUN)
 #: The public pre-token pattern of byte-level BPE.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 HEX_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
@@ -50,6 +52,11 @@ HEX_PIECE = re.compile(r"<0x([0-9A-Fa-f]{2})>")
 Links = tuple[np.ndarray, np.ndarray]
 
 
+def is_plain(text: str) -> bool:
+    """Whether both engines surely agree on the pre-tokens of a text."""
+    return not NOT_PLAIN.search(text) and max(map(len, text.split()), default=0) < LONG_RUN and not LONG_BLANK.search(text)
+
+
 def align_ends(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray, Links]:
     """Groups and links of two rising lists of end offsets whose last entries are equal.
 
@@ -64,19 +71,26 @@ def align_ends(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.nda
     i = j = 0
     while i < size:
         first_i, first_j, step = i, j, 1
-        while i < size and ends_a[i:i + step] == ends_b[j:j + step]:  # probe at the shift j - i
-            i += step
-            j += step
-            step += step
+        if ends_a[i] == ends_b[j]:  # probe at the shift j - i, one token first
+            i += 1
+            j += 1
+            step = 2
+            while i < size and ends_a[i:i + step] == ends_b[j:j + step]:
+                i += step
+                j += step
+                step += step
         if i >= size:  # the last slices were cut off by the end
             runs.append((first_i, first_j, size - first_i))
             irregular.append((0, 0))
             break
-        while step > 1:
+        while step > 2:
             step >>= 1
             if ends_a[i:i + step] == ends_b[j:j + step]:
                 i += step
                 j += step
+        if step > 1 and ends_a[i] == ends_b[j]:
+            i += 1
+            j += 1
         runs.append((first_i, first_j, i - first_i))
         end_a, end_b = ends_a[i], ends_b[j]
         local_a.append(i)
@@ -160,9 +174,15 @@ class TokenizerPair:
 
     def ids_a(self, text: str) -> list[int]:
         """A's ids of space+text."""
-        if self.ranked and not NOT_PLAIN.search(text):
-            return self.ranked.encode_ordinary(" " + text)
-        return self.a.encode(" " + text, add_special_tokens=False).ids
+        return self._coded_a(text)[0]
+
+    def _coded_a(self, text: str) -> tuple[list[int], bytes]:
+        """A's ids of space+text, and their joined bytes."""
+        if self.ranked and is_plain(text):
+            a = self.ranked.encode_ordinary(" " + text)
+            return a, self.ranked.decode_bytes(a)
+        a = self.a.encode(" " + text, add_special_tokens=False).ids
+        return a, b"".join(map(self.bytes_a.__getitem__, a))
 
     def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of A and of B; none for a text without tokens."""
@@ -170,8 +190,8 @@ class TokenizerPair:
         for text in texts:
             a = b = []
             if text:
-                a, b, raw = self.ids_a(text), self.b.encode(text), (" " + text).encode()
-                if b"".join(map(self.bytes_a.__getitem__, a)) != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
+                (a, whole), b, raw = self._coded_a(text), self.b.encode(text), (" " + text).encode()
+                if whole != raw or b"".join(map(self.bytes_b.__getitem__, b)) != raw:
                     a = b = []
             of_a.append(a)
             of_b.append(b)
