@@ -185,6 +185,82 @@ def test_a_crowded_pool_is_dealt_to_many_tasks(spark, monkeypatch):
     assert pairs.select("p").distinct().count() >= 8
 
 
+def odd_pool(spark):
+    """Places of all tiers, texts of 0 to 90 letters, ids that repeat, coordinates that are missing or just at a limit."""
+    random.seed(5)
+    words = ["새봄", "중앙", "푸른", "한빛", "병원", "의료원", "의원", "12", "71", "clinic", "annex"]
+    places = [("서울특별시", "강남구"), ("서울특별시", "중구"), ("부산광역시", "중구"), ("부산광역시", "동구"), ("제주도", "없는구"), ("", "")]
+
+    def text():
+        return "".join(random.choice(words) for _ in range(random.choice([0, 1, 2, 3, 30])))
+
+    def near():
+        return random.choice([("37.5", "127.0"), ("37.50225", "127.0"), ("37.6", "127.1"), ("", "")])
+
+    def row(i, side):
+        province, district = random.choice(places if side == "t" else places[:3])
+        address = f"{province} {district} 테헤란로 {random.randint(1, 40)} {text()}"
+        common = (i, text(), address, random.choice(["02-123-4567", "02-765-4321", ""]), *near())
+        return common + ((province, district) if side == "t" else (random.choice(["의원", None]), province, district))
+
+    targets = [row(f"T{i // 2 if i < 6 else i}", "t") for i in range(40)] + [target("twice")] * 2
+    candidates = [row(f"C{i:03}", "c") for i in range(150)] + [candidate("both", address="서울특별시 강남구 중구 테헤란로 10 부산광역시")]
+    return M.prepare_targets(spark.createDataFrame(targets, T)).cache(), M.prepare_catalog(spark.createDataFrame(candidates, C)).cache()
+
+
+@pytest.mark.parametrize("pairs", [1 << 24, 100])
+def test_scored_pools_equal_the_scores_of_all_pairs(spark, monkeypatch, pairs):
+    monkeypatch.setattr(M, "POOL_PAIRS", pairs)
+    t, c = odd_pool(spark)
+    tiers = M.target_tiers(t, c).cache()
+    key = ["entity_id", "catalog_id", "tier", "province_matches", "district_matches", F.coalesce(F.round("distance_km", 9), F.lit(-1.0)), "name_similarity", "address_similarity",
+           "name_exact", "name_contains", "address_exact", "road_matches", "phone_matches", "facility_matches", "match_score", "gate_reason", "gate_passed"]
+    wanted = rows(M.scored_pairs(M.pool_pairs(t, c, tiers)), *key)
+    assert {r[2] for r in wanted} == {1, 2, 3} and rows(M.scored_pool(t, c, tiers), *key) == wanted
+
+
+@pytest.mark.parametrize("similarity", ["edit", "sequence"])
+def test_best_of_cells_equal_the_best_of_odd_pools(spark, monkeypatch, similarity):
+    for name, value in (("BEST_TARGETS", 7), ("BEST_ROWS", 40), ("PARTS", (5, 9))):
+        monkeypatch.setattr(M, name, value)
+    t, c = odd_pool(spark)
+    tiers = M.target_tiers(t, c)
+    key = ["entity_id", "catalog_id", "rank", "match_score", "name_similarity", "address_similarity", "gate_reason"]
+    assert rows(M.best_pairs(t, c, tiers, similarity=similarity, limit=6), *key) == rows(M.ranked_pairs(M.scored_pairs(M.pool_pairs(t, c, tiers), similarity), 6), *key)
+
+
+def test_rows_of_a_crowded_place_travel_few_times(spark, monkeypatch):
+    """Thirty targets and 600 rows in cells of 100 pairs: each target goes to the parts of the other side, not to every cell."""
+    monkeypatch.setattr(M, "POOL_PAIRS", 100)
+    t, c = pool_of(spark, 30, 600)
+    tiers = M.target_tiers(t, c)
+    wanted, offered = M._pool_sides(t.join(tiers, "entity_id"), c, M.province_names(t))
+    left, right, _ = M._dealt(wanted, offered, M.pool_plan(wanted, offered, (10, 10)), "entity_id")
+    assert left.count() == 30 * 60 and right.count() == 600 * 3
+
+
+def test_few_pairs_of_a_pool_are_compared(monkeypatch):
+    """The best of 20 targets among 5,000 rows: texts of few pairs are compared step by step."""
+    import pyarrow as pa
+
+    from wardscope.operators import pools
+
+    random.seed(2)
+    names = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(5000)]
+    made = [(0, k < 20, n, random.random()) for k, n in enumerate([x[:9] + "!" for x in names[:20]] + names)]
+    columns = {x.split()[0]: [None] * len(made) for x in pools.SCHEMA.split(",")}
+    columns |= {"cell": [0] * len(made), "side": [0 if t else 1 for _, t, _, _ in made], "tid": [k if k < 20 else None for k in range(len(made))], "id": [str(k) for k in range(len(made))]}
+    columns |= {"name": [n for _, _, n, _ in made], "addr": [""] * len(made), "kind_key": [1] * len(made), "tier": [1 if t else None for _, t, _, _ in made]}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+    batch = pa.RecordBatch.from_arrays([pa.array(columns[x.split()[0]], kinds[x.split()[1]]) for x in pools.SCHEMA.split(",")], names=list(columns))
+    compared = []
+    texts = pools.Cell.texts
+    monkeypatch.setattr(pools.Cell, "texts", lambda self, what, how, i, j: compared.append(len(i)) or texts(self, what, how, i, j))
+    found = [r for b in pools.best_of_cells(1, "edit", (64, 512))(iter([batch])) for r in b.to_pylist()]
+    assert sorted((r["tid"], r["catalog_id"]) for r in found) == [(k, str(k + 20)) for k in range(20)]
+    assert sum(compared) < 0.2 * 20 * 5000
+
+
 def test_components_are_solved_across_batches():
     edges = [("1", "a", "x", 0.9), ("1", "a", "y", 0.85), ("1", "b", "x", 0.95), ("2", "c", "z", 0.9), ("3", "d", "w", 0.9), ("3", "e", "w", 0.95)]
     names = ["component", "entity_id", "catalog_id", "score"]
