@@ -142,6 +142,19 @@ def check_packed(rows, capacity):
     return len(by)
 
 
+def test_the_program_uses_every_length_whole():
+    """Three pieces fill a sequence at best: 2,000 pieces need 667, and the program leaves none of them to best fit."""
+    r = np.random.default_rng(0)
+    histogram = dict(zip(*(x.tolist() for x in np.unique(r.integers(120, 150, 2000), return_counts=True))))
+    lengths, counts = np.array(list(histogram)), np.array(list(histogram.values()))
+    used = np.zeros(len(lengths))
+    for key, times in packing.solve_configurations(lengths, counts.copy(), 409).items():
+        assert lengths[list(key)].sum() <= 409
+        np.add.at(used, list(key), times)
+    assert np.allclose(used, counts, atol=1e-3)
+    assert sum(n for _, n in packing.plan_sequences(histogram, 409)) <= 675
+
+
 def test_packing_holds_every_piece_once(spark):
     rng = random.Random(4)
     texts = TEXTS + [prose(rng, rng.randrange(1, 400)) for _ in range(60)] + ["same words here"] * 40
